@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import let
+
 ColumnOrName = Column | str
 
 # Fixed values (tokenizer and statement splitter; the oracle SQL uses the same)
@@ -41,9 +43,14 @@ def buckets(text: ColumnOrName, dim: int) -> Column:
 
 
 def bucket_counts(bucket_ids: Column, dim: int) -> Column:
-    """Dense ``array<float>`` of per-bucket counts (exact small integers)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                       lambda i: F.size(F.filter(bucket_ids, lambda b: b == i)).cast("float"))
+    """Dense ``array<float>`` of per-bucket counts (exact small integers).
+
+    The bucket array is bound once (see ``vectors.let``): referenced directly
+    inside the per-bucket lambda it would be recomputed ``dim`` times per row.
+    """
+    return let(bucket_ids, lambda bs: F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("float")))
 
 
 def hash_embedding(text: ColumnOrName, dim: int) -> Column:

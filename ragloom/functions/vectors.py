@@ -21,6 +21,16 @@ def _c(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Catalyst does not share a computed expression referenced inside a lambda:
+    ``transform(xs, x -> f(x, g(y)))`` recomputes ``g(y)`` for every element.
+    Binding it first keeps the cost at one evaluation per row.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def as_double(v: ColumnOrName) -> Column:
     return _c(v).cast("array<double>")
 
@@ -56,8 +66,10 @@ def clamp_unit(c: Column) -> Column:
 
 def cosine_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Cosine in [-1, 1]; null for a zero, null or NaN-bearing vector."""
-    s = F.try_divide(dot(a, b), F.sqrt(sq_norm(a) * sq_norm(b)))
-    return clamp_unit(_nan_to_null(s))
+    def body(x, y):
+        s = F.try_divide(dot(x, y), F.sqrt(sq_norm(x) * sq_norm(y)))
+        return clamp_unit(_nan_to_null(s))
+    return let(as_double(a), lambda x: let(as_double(b), lambda y: body(x, y)))
 
 
 def cosine_distance(a: ColumnOrName, b: ColumnOrName) -> Column:
@@ -67,8 +79,8 @@ def cosine_distance(a: ColumnOrName, b: ColumnOrName) -> Column:
 
 def l2_normalise(v: ColumnOrName) -> Column:
     """Unit vector in double; null for a zero or null vector."""
-    n = l2_norm(v)
-    return F.when(n > 0, F.transform(as_double(v), lambda x: x / n))
+    return let(as_double(v), lambda d: let(l2_norm(d), lambda n: F.when(
+        n > 0, F.transform(d, lambda x: x / n))))
 
 
 def to_text(v: ColumnOrName) -> Column:
