@@ -54,8 +54,8 @@ def bucket_counts(bucket_ids: Column, dim: int) -> Column:
 
 
 def hash_embedding(text: ColumnOrName, dim: int) -> Column:
-    """The offline stand-in embedder as one native expression."""
-    return bucket_counts(buckets(text, dim), dim)
+    """The offline stand-in embedder as one native expression (null text -> null)."""
+    return F.when(_c(text).isNotNull(), bucket_counts(buckets(text, dim), dim))
 
 
 def statements(text: ColumnOrName) -> Column:

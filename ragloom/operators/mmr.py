@@ -45,16 +45,17 @@ def greedy_mmr(rel: np.ndarray, gram: np.ndarray, k: int, lam: float) -> list[in
     n = len(rel)
     if n == 0:
         return []
-    rel = np.where(np.isnan(rel), -np.inf, rel)
+    known = np.isfinite(rel)
     chosen = [0]                           # candidates come in rank order: rank 1 first
     while len(chosen) < min(k, n):
-        red = np.nanmax(np.where(np.isnan(gram[:, chosen]), -np.inf, gram[:, chosen]), axis=1)
-        score = np.round(lam * rel - (1.0 - lam) * red, _ROUND)
+        sims = gram[:, chosen]
+        red = np.where(np.isnan(sims), -np.inf, sims).max(axis=1)
+        with np.errstate(invalid="ignore"):
+            score = np.where(np.isfinite(red), lam * rel - (1.0 - lam) * red, lam * rel)
+        # a null similarity to the question ranks after every defined score, in rank order
+        score = np.where(known, np.round(score, _ROUND), -1e300)
         score[chosen] = -np.inf
-        nxt = int(np.argmax(score))        # first maximum = best-ranked candidate
-        if score[nxt] == -np.inf:
-            break
-        chosen.append(nxt)
+        chosen.append(int(np.argmax(score)))   # first maximum = best-ranked candidate
     return chosen
 
 
