@@ -68,11 +68,11 @@ def distinct_tokens(text: ColumnOrName) -> Column:
     return F.array_distinct(tokens(text))
 
 
-def token_coverage(part: Column, whole: Column) -> Column:
+def token_coverage(part: Column, whole: Column, whole_distinct: bool = False) -> Column:
     """|distinct(part) ∩ distinct(whole)| / |distinct(part)| for token arrays; null if part is empty."""
-    p = F.array_distinct(part)
-    return F.try_divide(F.size(F.array_intersect(p, F.array_distinct(whole))).cast("double"),
-                        F.size(p).cast("double"))
+    w = whole if whole_distinct else F.array_distinct(whole)
+    return let(F.array_distinct(part), lambda p: F.try_divide(
+        F.size(F.array_intersect(p, w)).cast("double"), F.size(p).cast("double")))
 
 
 def format_score(score: ColumnOrName, decimals: int = 4) -> Column:

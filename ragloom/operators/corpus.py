@@ -10,7 +10,9 @@ Scale notes
 * "First row per id wins" is a hash aggregate (``min_by``) with a map-side
   partial step, so an id that holds a third of the load collapses to one row
   per task before the shuffle instead of landing in one task.
-* The anti join only ever shuffles narrow id columns.
+* The anti join never shuffles the corpus when the load's ids fit a checked
+  broadcast (semi-join reduction); beyond that bound it shuffles only narrow
+  id columns.
 """
 
 from __future__ import annotations
@@ -97,11 +99,30 @@ def first_per_id(load: DataFrame, id_col: str = "id", order_col: str = "load_seq
             .select(id_col, "_r.*"))
 
 
+MAX_BROADCAST_IDS = 2_000_000
+MAX_BROADCAST_ID_BYTES = 128 << 20
+
+
 def rows_to_insert(load: DataFrame, corpus_ids: DataFrame, id_col: str = "id",
-                   order_col: str = "load_seq") -> DataFrame:
-    """``INSERT ... ON CONFLICT (id) DO NOTHING`` as first-per-id + left anti join."""
+                   order_col: str = "load_seq", max_broadcast_ids: int = MAX_BROADCAST_IDS,
+                   max_broadcast_bytes: int = MAX_BROADCAST_ID_BYTES) -> DataFrame:
+    """``INSERT ... ON CONFLICT (id) DO NOTHING`` as first-per-id + left anti join.
+
+    When the load's distinct ids are checked to fit a broadcast, the corpus is
+    never shuffled: its id column is scanned against the broadcast load ids
+    (semi join), and the load is anti-joined with that small present set.
+    Otherwise both id columns are shuffled (sort-merge anti join).
+    """
     first = first_per_id(load, id_col, order_col)
-    return first.join(corpus_ids.select(id_col), id_col, "left_anti")
+    ids = corpus_ids.select(id_col)
+    size = first.agg(F.count(F.lit(1)).alias("n"),
+                     F.coalesce(F.sum(F.octet_length(F.col(id_col).cast("string"))), F.lit(0)).alias("b")
+                     ).first()
+    if size.n <= max_broadcast_ids and size.b + 16 * size.n <= max_broadcast_bytes:
+        load_ids = first.select(id_col)
+        present = ids.join(F.broadcast(load_ids), id_col, "left_semi")
+        return first.join(F.broadcast(present), id_col, "left_anti")
+    return first.join(ids, id_col, "left_anti")
 
 
 def insert_if_absent(load: DataFrame, corpus_path: str, id_col: str = "id",

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts as P
+from ..functions import text as TX
 from ..functions import vectors as V
 from . import embed as E
 from . import judge as J
@@ -67,14 +68,75 @@ METRICS = ("context_precision", "context_recall", "faithfulness", "answer_releva
            "answer_similarity")
 
 
+def _mean(xs: F.Column) -> F.Column:
+    """Mean of a numeric array; null when empty."""
+    return F.try_divide(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), F.size(xs).cast("double"))
+
+
+def stand_in_scores(records: DataFrame, dim: int = 64, tau: float = J.TAU,
+                    answer: str = "answer", reference: str = "reference",
+                    contexts: str = "contexts", question: str = "question") -> DataFrame:
+    """The five metrics of the stand-in judge and embedder in one row-local projection.
+
+    Same definitions as ``stand_in_verdicts`` + ``verdict_metrics`` +
+    ``answer_relevancy`` + ``answer_similarity`` (a test keeps them equal), but
+    every judgement stays inside its record: no explode, no shuffle. The
+    verdict-table path is the one to use with a real judge model.
+    """
+    let = V.let
+    ctx = F.coalesce(F.col(contexts), F.array().cast("array<string>"))
+
+    def supported(stmts, ct):
+        return F.transform(stmts, lambda s: F.when(
+            TX.token_coverage(TX.tokens(s), ct, whole_distinct=True) >= F.lit(tau), 1.0).otherwise(0.0))
+
+    def precision(v):
+        terms = F.zip_with(v, F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1))),
+                           lambda x, i: x * F.aggregate(F.slice(v, 1, i), F.lit(0.0), lambda a, y: a + y) / i)
+        n_rel = F.aggregate(v, F.lit(0.0), lambda a, y: a + y)
+        return F.when(F.size(v) > 0, F.when(n_rel > 0, F.aggregate(terms, F.lit(0.0), lambda a, y: a + y)
+                                            / n_rel).otherwise(F.lit(0.0)))
+
+    def body(ctoks, ct, rt, ast):
+        # relevance of each context: share of the reference's distinct tokens it holds
+        v = F.transform(ctoks, lambda c: F.when(F.coalesce(
+            TX.token_coverage(rt, c, whole_distinct=True) >= F.lit(tau), F.lit(False)), 1.0).otherwise(0.0))
+        gen = F.slice(ast, 1, J.GENERATED_QUESTIONS)
+        rel = let(TX.hash_embedding(question, dim), lambda qv: _mean(
+            F.transform(gen, lambda g: V.cosine_similarity(qv, TX.hash_embedding(g, dim)))))
+        return F.struct(
+            precision(v).alias("context_precision"),
+            _mean(supported(TX.statements(reference), ct)).alias("context_recall"),
+            _mean(supported(ast, ct)).alias("faithfulness"),
+            F.when(F.size(gen) == 0, F.lit(None).cast("double"))
+             .when(P.refusal_flag(answer), F.lit(0.0)).otherwise(rel).alias("answer_relevancy"))
+
+    # every text is tokenised once per record: per-context distinct tokens, then their union
+    m = let(F.transform(ctx, lambda c: TX.distinct_tokens(c)), lambda ctoks: let(
+        F.array_distinct(F.flatten(ctoks)), lambda ct: let(
+            TX.distinct_tokens(reference), lambda rt: let(
+                TX.statements(answer), lambda ast: body(ctoks, ct, rt, ast)))))
+    sim = V.cosine_similarity(TX.hash_embedding(answer, dim), TX.hash_embedding(reference, dim))
+    return records.select("*", m.alias("_m"), sim.alias("answer_similarity")) \
+        .select(*records.columns, *[F.col(f"_m.{c}").alias(c) for c in METRICS[:4]], "answer_similarity")
+
+
 def score_table(records: DataFrame, keys=("qid",), verdicts: DataFrame | None = None,
                 errors: DataFrame | None = None, embedder=None, dim: int = 64) -> DataFrame:
-    """Records plus one column per metric (left joins: nothing is dropped)."""
+    """Records plus one column per metric (left joins: nothing is dropped).
+
+    Without given verdicts or embedder, the stand-in judge runs row-locally
+    (``stand_in_scores``); otherwise the verdict table is aggregated and the
+    embedder applied as separate stages joined back on the keys.
+    """
     keys = list(keys)
-    verdicts = verdicts if verdicts is not None else J.stand_in_verdicts(records, keys)
-    out = (records.join(verdict_metrics(verdicts, keys), keys, "left")
-           .join(answer_relevancy(records, keys, embedder=embedder, dim=dim), keys, "left")
-           .join(answer_similarity(records, keys, embedder=embedder, dim=dim), keys, "left"))
+    if verdicts is None and embedder is None:
+        out = stand_in_scores(records, dim)
+    else:
+        verdicts = verdicts if verdicts is not None else J.stand_in_verdicts(records, keys)
+        out = (records.join(verdict_metrics(verdicts, keys), keys, "left")
+               .join(answer_relevancy(records, keys, embedder=embedder, dim=dim), keys, "left")
+               .join(answer_similarity(records, keys, embedder=embedder, dim=dim), keys, "left"))
     if errors is not None:
         failed = errors.select(*keys, F.lit(True).alias("_failed")).distinct()
         out = out.join(failed, keys, "left")

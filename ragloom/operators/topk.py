@@ -14,6 +14,9 @@ pair is ever materialised as a row:
   question block) cell is one cogroup task that does the same matrix product
   and emits its local top-k. Cell sizes are bounded by construction, so no
   task holds more than one block of either side.
+* **scan_blocks form** - many questions against a corpus too large to
+  shuffle: the broadcast form once per bounded question block, unioned; the
+  corpus is re-scanned per block instead of being replicated through a shuffle.
 
 Both forms end with the same merge: ``row_number`` over the question ordered
 by score (nulls last) then id, ``<= k``. Spark plans it with a partial
@@ -180,10 +183,9 @@ def _local_schema(corpus: DataFrame, queries: DataFrame, qid_col, id_col, payloa
     return T.StructType(fields)
 
 
-def _broadcast_form(corpus, qtbl: pa.Table, schema, qid_col, qvec_col, id_col, vec_col,
-                    exclude_col, payload, k):
+def _broadcast_form(corpus, qtbl: pa.Table, qm: np.ndarray, dim: int, schema, qid_col, id_col,
+                    vec_col, exclude_col, payload, k):
     spark = corpus.sparkSession
-    qm, dim = _matrix(qtbl.column(qvec_col), None)
     qids = qtbl.column(qid_col).combine_chunks()
     excl = qtbl.column(exclude_col).to_pylist() if exclude_col else None
     bc = spark.sparkContext.broadcast((qm, qids, excl, dim))
@@ -233,6 +235,39 @@ def _blocked_form(corpus, queries, schema, qid_col, qvec_col, id_col, vec_col, e
             .applyInArrow(cell, schema))
 
 
+def _scan_blocks_form(corpus, queries, schema, qid_col, qvec_col, id_col, vec_col, exclude_col,
+                      payload, k, max_rows, max_bytes):
+    """Many questions, huge corpus: one broadcast form per question block, unioned.
+
+    The corpus is scanned once per block but never shuffled (the cogroup form
+    would write it to shuffle once per question block). Question blocks are
+    hash slices of a checkpointed question table, each within the broadcast
+    bound; the driver holds one block at a time.
+    """
+    from ..session import cut_lineage
+    q = cut_lineage(queries)
+    n = q.count()
+    nb = max(1, math.ceil(n / max(1, max_rows // 2)))
+    parts = []
+    for b in range(nb):
+        blk = q.where(F.pmod(F.xxhash64(qid_col), F.lit(nb)) == b).limit(max_rows + 1).toArrow()
+        if blk.num_rows == 0:
+            continue
+        if blk.num_rows > max_rows:
+            raise ValueError("question block exceeds the broadcast bound (skewed question ids?)")
+        qm, dim = _matrix(blk.column(qvec_col), None)
+        if qm.nbytes > max_bytes:
+            raise ValueError("question block exceeds the broadcast byte bound; use form='blocked'")
+        parts.append(_broadcast_form(corpus, blk, qm, dim, schema, qid_col, id_col, vec_col,
+                                     exclude_col, payload, k))
+    if not parts:
+        return corpus.sparkSession.createDataFrame([], schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
           vec_col: str = "embedding", qid_col: str = "qid", qvec_col: str = "qvec",
           exclude_col: str | None = None, payload: tuple[str, ...] | list[str] = (),
@@ -249,7 +284,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
     """
     if k < 1:
         raise ValueError("k must be >= 1")
-    if form not in ("auto", "broadcast", "blocked"):
+    if form not in ("auto", "broadcast", "blocked", "scan_blocks"):
         raise ValueError(f"unknown form {form!r}")
     if qid_col in (id_col, vec_col) or qid_col in payload:
         raise ValueError("question id column must differ from corpus columns")
@@ -261,14 +296,18 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
     if form in ("auto", "broadcast"):
         # bounded collect: never more than max_broadcast_queries + 1 rows reach the driver
         qtbl = q.limit(max_broadcast_queries + 1).toArrow()
-        fits = qtbl.num_rows <= max_broadcast_queries and qtbl.nbytes <= max_broadcast_bytes
-        if fits:
+        qm, dim = _matrix(qtbl.column(qvec_col), None) if qtbl.num_rows <= max_broadcast_queries \
+            else (None, None)
+        if qm is not None and qm.nbytes <= max_broadcast_bytes:
             if qtbl.num_rows == 0:
                 return _empty_result(corpus, q, qid_col, id_col, payload, rank_col)
-            local = _broadcast_form(corpus, qtbl, schema, qid_col, qvec_col, id_col, vec_col,
+            local = _broadcast_form(corpus, qtbl, qm, dim, schema, qid_col, id_col, vec_col,
                                     exclude_col, payload, k)
         elif form == "broadcast":
             raise ValueError("question block exceeds the broadcast bound; use form='blocked'")
+    if local is None and form == "scan_blocks":
+        local = _scan_blocks_form(corpus, q, schema, qid_col, qvec_col, id_col, vec_col, exclude_col,
+                                  payload, k, max_broadcast_queries, max_broadcast_bytes)
     if local is None:
         local = _blocked_form(corpus, q, schema, qid_col, qvec_col, id_col, vec_col,
                               exclude_col, payload, k, corpus_block_rows, query_block_rows)

@@ -77,3 +77,14 @@ def test_ingest_plan_embeds_only_new_rows(spark, tmp_dir):
     rep2 = I.ingest(I.prepare(raw2, ["o"]), path, dim=2, embedder=Counting()).first()
     assert (rep2.already_present, rep2.inserted) == (2, 1)
     assert spark.read.parquet(path).count() == 3
+
+
+def test_insert_both_join_strategies_agree(spark):
+    load = spark.range(0, 500).select((F.col("id") % 300).cast("string").alias("id"),
+                                      F.col("id").alias("load_seq"))
+    corpus = spark.range(0, 1000, 7).select(F.col("id").cast("string").alias("id"))
+    small = C.rows_to_insert(load, corpus)
+    big = C.rows_to_insert(load, corpus, max_broadcast_ids=10)
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
+    assert small.count() == 300 - len([i for i in range(0, 300) if i % 7 == 0])

@@ -62,3 +62,16 @@ def test_verdict_table_shape(spark):
     v = {(r.kind, r.pos): r.verdict for r in J.stand_in_verdicts(rec).collect()}
     assert v == {(J.KIND_FAITHFULNESS, 1): 1, (J.KIND_FAITHFULNESS, 2): 1, (J.KIND_FAITHFULNESS, 3): 0,
                  (J.KIND_RECALL, 1): 1, (J.KIND_RECALL, 2): 0, (J.KIND_PRECISION, 1): 1}
+
+
+def test_fused_stand_in_equals_verdict_path(spark):
+    import __spark_entry__ as SE
+    from conftest import SF_MID
+    rec = SE._records(spark, SF_MID)
+    fused = {r.qid: r for r in M.stand_in_scores(rec).collect()}
+    staged = {r.qid: r for r in M.score_table(rec, verdicts=J.stand_in_verdicts(rec)).collect()}
+    assert fused.keys() == staged.keys() and len(fused) > 200
+    for q in fused:
+        for m in M.METRICS:
+            a, b = getattr(fused[q], m), getattr(staged[q], m)
+            assert (a is None and b is None) or abs(a - b) < 1e-9, (q, m, a, b)

@@ -157,3 +157,11 @@ def test_variants_shape(spark):
     per_k = K.search_per_question_k(corpus, q.withColumn("k", F.lit(None).cast("int")), default_k=2,
                                     max_k=5, exclude_col="self_id")
     assert per_k.groupBy("qid").count().where("count > 2").count() == 0
+
+
+def test_scan_blocks_form_agrees(spark):
+    vc = TD.vector_corpus(spark, SF_SMALL)
+    q = TD.vector_queries(vc)
+    a = _rows(K.top_k(vc, q, 5, exclude_col="self_id", form="broadcast"))
+    b = _rows(K.top_k(vc, q, 5, exclude_col="self_id", form="scan_blocks", max_broadcast_queries=150))
+    assert a == b
