@@ -114,15 +114,28 @@ def rows_to_insert(load: DataFrame, corpus_ids: DataFrame, id_col: str = "id",
     Otherwise both id columns are shuffled (sort-merge anti join).
     """
     first = first_per_id(load, id_col, order_col)
-    ids = corpus_ids.select(id_col)
-    size = first.agg(F.count(F.lit(1)).alias("n"),
-                     F.coalesce(F.sum(F.octet_length(F.col(id_col).cast("string"))), F.lit(0)).alias("b")
-                     ).first()
-    if size.n <= max_broadcast_ids and size.b + 16 * size.n <= max_broadcast_bytes:
-        load_ids = first.select(id_col)
-        present = ids.join(F.broadcast(load_ids), id_col, "left_semi")
+    present = present_ids(first.select(id_col), corpus_ids, id_col, max_broadcast_ids,
+                          max_broadcast_bytes)
+    if present is not None:
         return first.join(F.broadcast(present), id_col, "left_anti")
-    return first.join(ids, id_col, "left_anti")
+    return first.join(corpus_ids.select(id_col), id_col, "left_anti")
+
+
+def present_ids(load_ids: DataFrame, corpus_ids: DataFrame, id_col: str = "id",
+                max_broadcast_ids: int = MAX_BROADCAST_IDS,
+                max_broadcast_bytes: int = MAX_BROADCAST_ID_BYTES) -> DataFrame | None:
+    """Ids of ``load_ids`` (distinct) already in the corpus, found without shuffling the corpus.
+
+    Returns None when the load's ids exceed the checked broadcast bound (count
+    and bytes, measured with one aggregate); the caller then joins by shuffle.
+    The result is a subset of the load ids, so it fits a broadcast too.
+    """
+    size = load_ids.agg(F.count(F.lit(1)).alias("n"),
+                        F.coalesce(F.sum(F.octet_length(F.col(id_col).cast("string"))), F.lit(0))
+                        .alias("b")).first()
+    if size.n > max_broadcast_ids or size.b + 16 * size.n > max_broadcast_bytes:
+        return None
+    return corpus_ids.select(id_col).join(F.broadcast(load_ids), id_col, "left_semi")
 
 
 def insert_if_absent(load: DataFrame, corpus_path: str, id_col: str = "id",
@@ -143,7 +156,9 @@ def insert_if_absent(load: DataFrame, corpus_path: str, id_col: str = "id",
 def load_report(load: DataFrame, corpus_ids: DataFrame, id_col: str = "id") -> DataFrame:
     """``attempted, distinct_ids, already_present, inserted`` in one row."""
     per_id = load.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
-    marked = per_id.join(corpus_ids.select(id_col).withColumn("_hit", F.lit(1)), id_col, "left")
+    present = present_ids(per_id.select(id_col), corpus_ids, id_col)
+    hits = (F.broadcast(present) if present is not None else corpus_ids.select(id_col))
+    marked = per_id.join(hits.withColumn("_hit", F.lit(1)), id_col, "left")
     return marked.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("attempted"),
         F.count(F.lit(1)).cast("long").alias("distinct_ids"),

@@ -46,6 +46,7 @@ DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 CORPUS_BLOCK_ROWS = 50_000
 QUERY_BLOCK_ROWS = 4_096
 PAIR_BUDGET = 1 << 22  # score-matrix cells per numpy block (32 MB of doubles)
+MERGE_FANIN = 200_000  # candidate rows one question may send to one merge task
 
 _NULL_KEY = -3.0       # sort key for a null score: below every real cosine
 _QI, _KEY, _SCORE = "_qi", "_key", "_score"
@@ -275,7 +276,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
           max_broadcast_queries: int = DEFAULT_MAX_BROADCAST_QUERIES,
           max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
           corpus_block_rows: int = CORPUS_BLOCK_ROWS,
-          query_block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
+          query_block_rows: int = QUERY_BLOCK_ROWS, merge_fanin: int = MERGE_FANIN) -> DataFrame:
     """For every question row, its k most similar corpus rows.
 
     Returns ``(qid, rk int, id, score double, *payload)``; ``rk`` runs 1..min(k, n).
@@ -312,13 +313,28 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
         local = _blocked_form(corpus, q, schema, qid_col, qvec_col, id_col, vec_col,
                               exclude_col, payload, k, corpus_block_rows, query_block_rows)
     return merge_topk(local, k, qid_col=qid_col, id_col=id_col, rank_col=rank_col,
-                      cols=[qid_col, rank_col, id_col, "score", *payload])
+                      cols=[qid_col, rank_col, id_col, "score", *payload],
+                      map_tasks=local.rdd.getNumPartitions(), merge_fanin=merge_fanin)
 
 
 def merge_topk(local: DataFrame, k: int, *, qid_col: str = "qid", id_col: str = "id",
-               score_col: str = "score", rank_col: str = "rk", cols=None) -> DataFrame:
-    """Global top-k from local candidates: one shuffle by question, partial limit before it."""
-    w = Window.partitionBy(qid_col).orderBy(F.col(score_col).desc_nulls_last(), F.col(id_col).asc())
+               score_col: str = "score", rank_col: str = "rk", cols=None,
+               map_tasks: int | None = None, merge_fanin: int = MERGE_FANIN) -> DataFrame:
+    """Global top-k from local candidates: one shuffle by question, partial limit before it.
+
+    A question receives up to ``map_tasks x k`` candidates. When that exceeds
+    ``merge_fanin`` (one question against a very wide scan), the merge runs in
+    two levels: first per (question, salt of the producing task), then per
+    question, so no single task sorts more than ``merge_fanin`` rows of one key.
+    """
+    order = [F.col(score_col).desc_nulls_last(), F.col(id_col).asc()]
+    if map_tasks and map_tasks * k > merge_fanin:
+        salts = math.ceil(map_tasks * k / merge_fanin)
+        salted = local.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        w1 = Window.partitionBy(qid_col, "_salt").orderBy(*order)
+        local = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= F.lit(k)) \
+            .drop("_salt", "_r1")
+    w = Window.partitionBy(qid_col).orderBy(*order)
     out = local.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= F.lit(k))
     return out.select(*(cols or out.columns))
 

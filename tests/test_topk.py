@@ -165,3 +165,13 @@ def test_scan_blocks_form_agrees(spark):
     a = _rows(K.top_k(vc, q, 5, exclude_col="self_id", form="broadcast"))
     b = _rows(K.top_k(vc, q, 5, exclude_col="self_id", form="scan_blocks", max_broadcast_queries=150))
     assert a == b
+
+
+def test_two_level_merge_for_wide_scans(spark):
+    vc = TD.vector_corpus(spark, SF_SMALL).repartition(16)
+    q = TD.vector_queries(TD.vector_corpus(spark, SF_SMALL)).limit(7)
+    one = K.top_k(vc, q, 5, exclude_col="self_id")
+    two = K.top_k(vc, q, 5, exclude_col="self_id", merge_fanin=20)
+    plan = two._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 3
+    assert _rows(one) == _rows(two)
