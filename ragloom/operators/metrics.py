@@ -73,52 +73,80 @@ def _mean(xs: F.Column) -> F.Column:
     return F.try_divide(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), F.size(xs).cast("double"))
 
 
-def stand_in_scores(records: DataFrame, dim: int = 64, tau: float = J.TAU,
-                    answer: str = "answer", reference: str = "reference",
-                    contexts: str = "contexts", question: str = "question") -> DataFrame:
-    """The five metrics of the stand-in judge and embedder in one row-local projection.
+def _coverage_verdicts(stmts, ct, tau):
+    return F.transform(stmts, lambda s: F.when(
+        TX.token_coverage(TX.tokens(s), ct, whole_distinct=True) >= F.lit(tau), 1.0).otherwise(0.0))
 
-    Same definitions as ``stand_in_verdicts`` + ``verdict_metrics`` +
-    ``answer_relevancy`` + ``answer_similarity`` (a test keeps them equal), but
-    every judgement stays inside its record: no explode, no shuffle. The
-    verdict-table path is the one to use with a real judge model.
+
+def _precision(v):
+    terms = F.zip_with(v, F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1))),
+                       lambda x, i: x * F.aggregate(F.slice(v, 1, i), F.lit(0.0), lambda a, y: a + y) / i)
+    n_rel = F.aggregate(v, F.lit(0.0), lambda a, y: a + y)
+    return F.when(F.size(v) > 0, F.when(n_rel > 0, F.aggregate(terms, F.lit(0.0), lambda a, y: a + y)
+                                        / n_rel).otherwise(F.lit(0.0)))
+
+
+def context_metric_struct(tau: float = J.TAU, answer: str = "answer", reference: str = "reference",
+                          contexts: str = "contexts") -> F.Column:
+    """E03-E05 of the stand-in judge as one row-local struct (every text tokenised once).
+
+    Select it as one column and extract the fields in a later projection: three
+    field accesses on the expression itself would evaluate it three times.
     """
     let = V.let
     ctx = F.coalesce(F.col(contexts), F.array().cast("array<string>"))
 
-    def supported(stmts, ct):
-        return F.transform(stmts, lambda s: F.when(
-            TX.token_coverage(TX.tokens(s), ct, whole_distinct=True) >= F.lit(tau), 1.0).otherwise(0.0))
-
-    def precision(v):
-        terms = F.zip_with(v, F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1))),
-                           lambda x, i: x * F.aggregate(F.slice(v, 1, i), F.lit(0.0), lambda a, y: a + y) / i)
-        n_rel = F.aggregate(v, F.lit(0.0), lambda a, y: a + y)
-        return F.when(F.size(v) > 0, F.when(n_rel > 0, F.aggregate(terms, F.lit(0.0), lambda a, y: a + y)
-                                            / n_rel).otherwise(F.lit(0.0)))
-
-    def body(ctoks, ct, rt, ast):
+    def body(ctoks, ct, rt):
         # relevance of each context: share of the reference's distinct tokens it holds
         v = F.transform(ctoks, lambda c: F.when(F.coalesce(
             TX.token_coverage(rt, c, whole_distinct=True) >= F.lit(tau), F.lit(False)), 1.0).otherwise(0.0))
+        return F.struct(_precision(v).alias("context_precision"),
+                        _mean(_coverage_verdicts(TX.statements(reference), ct, tau)).alias("context_recall"),
+                        _mean(_coverage_verdicts(TX.statements(answer), ct, tau)).alias("faithfulness"))
+
+    return let(F.transform(ctx, lambda c: TX.distinct_tokens(c)), lambda ctoks: let(
+        F.array_distinct(F.flatten(ctoks)), lambda ct: let(
+            TX.distinct_tokens(reference), lambda rt: body(ctoks, ct, rt))))
+
+
+def answer_metric_columns(dim: int = 64, answer: str = "answer", reference: str = "reference",
+                          question: str = "question") -> list[F.Column]:
+    """E06 and E02 with the stand-in embedder as row-local columns."""
+    let = V.let
+
+    def body(ast):
         gen = F.slice(ast, 1, J.GENERATED_QUESTIONS)
         rel = let(TX.hash_embedding(question, dim), lambda qv: _mean(
             F.transform(gen, lambda g: V.cosine_similarity(qv, TX.hash_embedding(g, dim)))))
-        return F.struct(
-            precision(v).alias("context_precision"),
-            _mean(supported(TX.statements(reference), ct)).alias("context_recall"),
-            _mean(supported(ast, ct)).alias("faithfulness"),
-            F.when(F.size(gen) == 0, F.lit(None).cast("double"))
-             .when(P.refusal_flag(answer), F.lit(0.0)).otherwise(rel).alias("answer_relevancy"))
-
-    # every text is tokenised once per record: per-context distinct tokens, then their union
-    m = let(F.transform(ctx, lambda c: TX.distinct_tokens(c)), lambda ctoks: let(
-        F.array_distinct(F.flatten(ctoks)), lambda ct: let(
-            TX.distinct_tokens(reference), lambda rt: let(
-                TX.statements(answer), lambda ast: body(ctoks, ct, rt, ast)))))
+        return F.when(F.size(gen) == 0, F.lit(None).cast("double")) \
+            .when(P.refusal_flag(answer), F.lit(0.0)).otherwise(rel)
+
     sim = V.cosine_similarity(TX.hash_embedding(answer, dim), TX.hash_embedding(reference, dim))
-    return records.select("*", m.alias("_m"), sim.alias("answer_similarity")) \
-        .select(*records.columns, *[F.col(f"_m.{c}").alias(c) for c in METRICS[:4]], "answer_similarity")
+    return [let(TX.statements(answer), body).alias("answer_relevancy"), sim.alias("answer_similarity")]
+
+
+def stand_in_scores(records: DataFrame, dim: int = 64, keys=("qid",),
+                    dedupe_answers: bool = False) -> DataFrame:
+    """The five metrics of the stand-in judge and embedder, row-local.
+
+    Same definitions as ``stand_in_verdicts`` + ``verdict_metrics`` +
+    ``answer_relevancy`` + ``answer_similarity`` (a test keeps them equal), but
+    every judgement stays inside its record: no explode, no shuffle. The
+    verdict-table path is the one to use with a real judge model.
+
+    ``dedupe_answers``: the answer metrics depend only on (question, answer,
+    reference); when many records share them (a k-sweep), compute them once
+    per distinct ``(qid, answer)`` and join back.
+    """
+    names = ["context_precision", "context_recall", "faithfulness"]
+    base = records.select("*", context_metric_struct().alias("_cm")) \
+        .select(*records.columns, *[F.col(f"_cm.{n}").alias(n) for n in names])
+    if not dedupe_answers:
+        return base.select("*", *answer_metric_columns(dim))
+    per_answer = (records.select("qid", "question", "answer", "reference")
+                  .dropDuplicates(["qid", "answer"])
+                  .select("qid", "answer", *answer_metric_columns(dim)))
+    return base.join(per_answer, ["qid", "answer"], "left")
 
 
 def score_table(records: DataFrame, keys=("qid",), verdicts: DataFrame | None = None,
@@ -131,7 +159,7 @@ def score_table(records: DataFrame, keys=("qid",), verdicts: DataFrame | None =
     """
     keys = list(keys)
     if verdicts is None and embedder is None:
-        out = stand_in_scores(records, dim)
+        out = stand_in_scores(records, dim, keys, dedupe_answers=len(keys) > 1)
     else:
         verdicts = verdicts if verdicts is not None else J.stand_in_verdicts(records, keys)
         out = (records.join(verdict_metrics(verdicts, keys), keys, "left")
