@@ -34,8 +34,9 @@ from ragloom.operators import metrics as M
 from ragloom.operators import mmr as MMR
 from ragloom.operators import runs as R
 from ragloom.operators import topk as K
+from ragloom.plans import answer as PA
 from ragloom.plans import evaluation as EV
-from ragloom.session import ensure_checkpoint_dir, work_path
+from ragloom.session import ensure_checkpoint_dir, ship_code, work_path
 from ragloom.sources import testdata as TD
 from ragloom.streaming import stream as ST
 
@@ -270,13 +271,23 @@ def q_chat_messages(spark, sf):
         "qid", (F.col("pos") + 1).cast("int").alias("pos"), "msg.role", "msg.content")
 
 
-def q_context_route(spark, sf):
-    corpus, q, hits = _qa_hits(spark, sf, 4)
-    # given documents: the previous Q/A pair of the same conversation (equi-join, no skew)
+def _given_docs(corpus):
+    """Given documents of a question: the previous Q/A pair of its conversation (equi-join, no skew)."""
     prev = corpus.select("conv_id", (F.col("turn") + 2).alias("turn"),
                          F.lit(1).alias("rk"), "input", "output")
-    given = corpus.select(F.col("id").alias("qid"), "conv_id", "turn").join(prev, ["conv_id", "turn"])
-    given_docs = CX.numbered_documents(given.select("qid", "rk", "input", "output"))
+    return corpus.select(F.col("id").alias("qid"), "conv_id", "turn").join(prev, ["conv_id", "turn"]) \
+        .select("qid", "rk", "input", "output")
+
+
+def q_answer_routed(spark, sf):
+    corpus, q = _qa(spark, sf)
+    out = PA.answer(corpus, q, _given_docs(corpus), exclude_col="self_id")
+    return out.select("qid", "source", "prompt", "answer")
+
+
+def q_context_route(spark, sf):
+    corpus, q, hits = _qa_hits(spark, sf, 4)
+    given_docs = CX.numbered_documents(_given_docs(corpus))
     retrieved = CX.contexts(hits).select("qid", CX.join_contexts("contexts").alias("contexts"))
     return CX.route(q, given_docs, retrieved)
 
@@ -412,6 +423,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prompt_reference": q_prompt_reference,
     "chat_messages": q_chat_messages,
     "context_route": q_context_route,
+    "answer_routed": q_answer_routed,
     "refusal_flag": q_refusal_flag,
     "generate_stand_in": q_generate_stand_in,
     "eval_records": q_eval_records,
@@ -428,14 +440,25 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Every query first makes sure the workers can import the package."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ensure_checkpoint_dir(spark)
+        ship_code(spark)
+        return fn(spark, sf_dir)
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the sf0.001 evaluation run (Q/A corpus -> embed -> top-3 -> prompt ->
     stand-in answer -> five metrics), one row per question."""
-    return q_score_table(spark, SMOKE_DIR)
+    return _prepared(q_score_table)(spark, SMOKE_DIR)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {name: _prepared(fn) for name, fn in _QUERIES.items()}
 
 
 # ===========================================================================
@@ -662,6 +685,7 @@ def _sql() -> dict[str, str]:
                     when r.rc is not null then 'retrieved' else 'none' end as source,
                case when coalesce(length(g.gd) > 0, false) then g.gd else r.rc end as context
         from qc q left join g on g.qid = q.id left join r on r.qid = q.id"""
+    s["answer_routed"] = _answer_routed_sql()
     s["refusal_flag"] = f"""with {_rec_cte()}
         select 'rag' as run_id, qid, contains(answer, '{_REFUSAL}') as refusal from rec
         union all select 'baseline' as run_id, id as qid, true as refusal from qc"""
@@ -689,11 +713,9 @@ def _fill_sql(template: str, **slots: str) -> str:
     return "(" + " || ".join(out) + ")"
 
 
-def _mmr_sql(k: int = MMR.MMR_K, fetch_k: int = MMR.MMR_FETCH_K, lam: float = MMR.MMR_LAMBDA) -> str:
-    """Greedy MMR unrolled into k steps (candidates: exact top fetch_k, own row excluded)."""
-    parts = [_vhits_cte(fetch_k) + f""",
-c as materialized (select qid, id, v, score, rk from vh),
-g as materialized (select x.qid, x.rk, y.rk as rk2, {_cos('x.v', 'y.v')} as sim
+def _mmr_steps(k: int, lam: float) -> str:
+    """Greedy MMR unrolled into k steps over a candidate CTE ``c(qid, id, v, score, rk)``."""
+    parts = [f"""g as materialized (select x.qid, x.rk, y.rk as rk2, {_cos('x.v', 'y.v')} as sim
                    from c x join c y on x.qid = y.qid),
 s1 as (select qid, rk, 1 as pos from c where rk = 1)"""]
     for step in range(2, k + 1):
@@ -705,8 +727,36 @@ s1 as (select qid, rk, 1 as pos from c where rk = 1)"""]
       where not exists (select 1 from {prev} z where z.qid = c.qid and z.rk = c.rk)
       group by c.qid, c.rk) where o = 1),
 s{step} as (select * from {prev} union all select * from p{step})""")
-    return ("with " + ",\n".join(parts) +
-            f"\nselect s.qid, s.pos::INTEGER as pos, c.id from s{k} s join c using (qid, rk)")
+    return ",\n".join(parts)
+
+
+def _mmr_sql(k: int = MMR.MMR_K, fetch_k: int = MMR.MMR_FETCH_K, lam: float = MMR.MMR_LAMBDA) -> str:
+    """MMR on ``embeddings`` (candidates: exact top fetch_k, own row excluded)."""
+    return (f"with {_vhits_cte(fetch_k)},\nc as materialized (select qid, id, v, score, rk from vh),\n"
+            f"{_mmr_steps(k, lam)}\nselect s.qid, s.pos::INTEGER as pos, c.id from s{k} s join c using (qid, rk)")
+
+
+def _answer_routed_sql(k: int = MMR.MMR_K, fetch_k: int = MMR.MMR_FETCH_K,
+                       lam: float = MMR.MMR_LAMBDA) -> str:
+    doc = f"printf({_lit(P.DOCUMENT_BLOCK)}, 1, coalesce(p.input, ''), coalesce(p.output, ''))"
+    given = "coalesce(length(gv.gd) > 0, false)"
+    return f"""with {_QC},
+gv as (select q.id as qid, {doc} as gd, p.output as gfirst
+       from qc q join qc p on p.conv_id = q.conv_id and p.turn = q.turn - 2),
+tp as (select q.id as qid, c.id, c.v, c.input, c.output, {_cos('q.v', 'c.v')} as score
+       from qc q join qc c on c.id <> q.id where q.id not in (select qid from gv)),
+c as materialized (select *, (row_number() over (partition by qid order by score desc nulls last, id))::INTEGER
+                          as rk from tp qualify rk <= {fetch_k}),
+{_mmr_steps(k, lam)},
+mm as (select s.qid, s.pos, c.input, c.output from s{k} s join c using (qid, rk)),
+ret as (select qid, array_to_string(list(input order by pos), {_lit(PA.CONTEXT_JOIN)}) as rt,
+               arg_min(output, pos) as first_out from mm group by qid)
+select q.id as qid,
+       case when {given} then 'given' else 'retrieved' end as source,
+       case when {given} then {_fill_sql(P.DOCUMENTS_TEMPLATE, context='gv.gd', question='q.input')}
+            else {_fill_sql(P.CONTEXT_TEMPLATE, reference='ret.rt', question='q.input')} end as prompt,
+       coalesce(case when {given} then gv.gfirst else ret.first_out end, '{_REFUSAL}') as answer
+from qc q left join gv on gv.qid = q.id left join ret on ret.qid = q.id"""
 
 
 def _run_summary_sql() -> str:

@@ -35,6 +35,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_code(spark)
     return spark
 
 
@@ -60,6 +61,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make ``ragloom`` importable in Python workers (``addPyFile``), once per context.
+
+    Tasks run numpy / Arrow code from this package (top-k, MMR, model stages);
+    workers must import it wherever the driver was started. The zip is written
+    to the shared checkpoint folder, from where Spark distributes it.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    target = work_path(spark, "code")
+    local = target[len("file:"):] if target.startswith("file:") else target
+    if "://" in local:   # a remote shared folder: build locally, Spark uploads from the driver
+        local = tempfile.mkdtemp(prefix="ragloom-code-")
+    os.makedirs(local, exist_ok=True)
+    archive = shutil.make_archive(os.path.join(local, "ragloom"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="ragloom")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
