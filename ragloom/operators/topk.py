@@ -269,6 +269,48 @@ def _scan_blocks_form(corpus, queries, schema, qid_col, qvec_col, id_col, vec_co
     return out
 
 
+def _bytes_conf(value: str) -> int:
+    v = value.strip().lower()
+    for suffix, mult in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("tb", 1 << 40),
+                         ("k", 1 << 10), ("m", 1 << 20), ("g", 1 << 30), ("t", 1 << 40), ("b", 1)):
+        if v.endswith(suffix):
+            return int(float(v[: -len(suffix)]) * mult)
+    return int(v)
+
+
+def _scan_tasks(df: DataFrame) -> int | None:
+    """Tasks a scan of ``df`` will run, from plan statistics only (no job).
+
+    None when the size is unknown (plans over RDDs report an effectively
+    infinite size); the merge then stays one level.
+    """
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        mpb = _bytes_conf(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    except Exception:  # noqa: BLE001 - statistics are advisory
+        return None
+    if size >= 1 << 60 or mpb <= 0:
+        return None
+    return max(1, math.ceil(size / mpb))
+
+
+SCAN_BLOCKS_MAX = 64      # most corpus re-scans the scan_blocks form may cost
+
+
+def _large_form(corpus: DataFrame, queries: DataFrame, max_rows: int) -> str:
+    """Choose a form for a question set beyond the broadcast bound (two count jobs).
+
+    Re-scanning a corpus costs less than replicating it through a shuffle, so
+    when the corpus is much larger than the questions and few blocks are
+    needed, scan per question block; otherwise replicate both sides over
+    bounded cogroup cells.
+    """
+    n_q = queries.count()
+    n_c = corpus.count()
+    blocks = math.ceil(n_q / max(1, max_rows // 2))
+    return "scan_blocks" if n_c >= 10 * n_q and blocks <= SCAN_BLOCKS_MAX else "blocked"
+
+
 def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
           vec_col: str = "embedding", qid_col: str = "qid", qvec_col: str = "qvec",
           exclude_col: str | None = None, payload: tuple[str, ...] | list[str] = (),
@@ -306,6 +348,8 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
                                     exclude_col, payload, k)
         elif form == "broadcast":
             raise ValueError("question block exceeds the broadcast bound; use form='blocked'")
+    if local is None and form == "auto":
+        form = _large_form(corpus, q, max_broadcast_queries)
     if local is None and form == "scan_blocks":
         local = _scan_blocks_form(corpus, q, schema, qid_col, qvec_col, id_col, vec_col, exclude_col,
                                   payload, k, max_broadcast_queries, max_broadcast_bytes)
@@ -314,7 +358,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
                               exclude_col, payload, k, corpus_block_rows, query_block_rows)
     return merge_topk(local, k, qid_col=qid_col, id_col=id_col, rank_col=rank_col,
                       cols=[qid_col, rank_col, id_col, "score", *payload],
-                      map_tasks=local.rdd.getNumPartitions(), merge_fanin=merge_fanin)
+                      map_tasks=_scan_tasks(corpus), merge_fanin=merge_fanin)
 
 
 def merge_topk(local: DataFrame, k: int, *, qid_col: str = "qid", id_col: str = "id",

@@ -168,10 +168,11 @@ def test_scan_blocks_form_agrees(spark):
 
 
 def test_two_level_merge_for_wide_scans(spark):
-    vc = TD.vector_corpus(spark, SF_SMALL).repartition(16)
+    vc = TD.vector_corpus(spark, SF_SMALL)
     q = TD.vector_queries(TD.vector_corpus(spark, SF_SMALL)).limit(7)
+    assert K._scan_tasks(vc) >= 1
     one = K.top_k(vc, q, 5, exclude_col="self_id")
-    two = K.top_k(vc, q, 5, exclude_col="self_id", merge_fanin=20)
+    two = K.top_k(vc, q, 5, exclude_col="self_id", merge_fanin=1)
     plan = two._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 3
     assert _rows(one) == _rows(two)
