@@ -68,26 +68,55 @@ def ship_code(spark: SparkSession) -> None:
     """Make ``ragloom`` importable in Python workers (``addPyFile``), once per context.
 
     Tasks run numpy / Arrow code from this package (top-k, MMR, model stages);
-    workers must import it wherever the driver was started. The zip is written
-    to the shared checkpoint folder, from where Spark distributes it.
+    workers must import it wherever the driver was started. Nothing is done
+    when the application already ships it (``spark-submit --py-files
+    ragloom.zip``). Otherwise the package is zipped into the shared checkpoint
+    folder (never a machine-local temporary folder) and added from there.
     """
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
         return
-    import shutil
+    shipped = spark.conf.get("spark.submit.pyFiles", "") or ""
+    if any(os.path.basename(p.rstrip("/")).startswith("ragloom") for p in shipped.split(",") if p):
+        _SHIPPED.add(key)
+        return
+    import io
+    import zipfile
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    target = work_path(spark, "code")
-    local = target[len("file:"):] if target.startswith("file:") else target
-    if "://" in local:   # a remote shared folder: build locally, Spark uploads from the driver
-        local = tempfile.mkdtemp(prefix="ragloom-code-")
-    os.makedirs(local, exist_ok=True)
-    archive = shutil.make_archive(os.path.join(local, "ragloom"), "zip",
-                                  root_dir=os.path.dirname(pkg_dir), base_dir="ragloom")
-    sc.addPyFile(archive)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    target = work_path(spark, "code") + "/ragloom.zip"
+    _write_bytes(target, buf.getvalue())
+    sc.addPyFile(target)
     _SHIPPED.add(key)
 
 
+def _write_bytes(uri: str, data: bytes) -> None:
+    """Write one file to the shared folder (local path, ``file:`` or a remote URI)."""
+    if "://" not in uri or uri.startswith("file:"):
+        path = uri[len("file:"):] if uri.startswith("file:") else uri
+        path = "/" + path.lstrip("/") if uri.startswith("file:") else path
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as fh:
+            fh.write(data)
+        return
+    from pyarrow import fs as pafs
+    try:
+        filesystem, path = pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+    except Exception as exc:  # noqa: BLE001
+        raise RuntimeError(f"cannot write the code archive to {uri}; ship the package with "
+                           "spark-submit --py-files ragloom.zip") from exc
+    filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with filesystem.open_output_stream(path) as out:
+        out.write(data)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)

@@ -21,10 +21,16 @@ from ..operators import topk as K
 from ..session import work_path
 
 
-def _source(spark: SparkSession, source: str, schema) -> DataFrame:
-    """File stream over ``source``: a folder, or one file (read as its folder + a name filter)."""
+def _source(spark: SparkSession, source: str, schema, max_files: int | None = None) -> DataFrame:
+    """File stream over ``source``: a folder, or one file (read as its folder + a name filter).
+
+    ``max_files`` bounds the files per micro-batch; ``availableNow`` still
+    drains the whole backlog, in several bounded batches.
+    """
     import os
     reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", int(max_files))
     if source.endswith(".parquet") and not source.endswith("/"):
         folder, name = os.path.split(source.rstrip("/"))
         return reader.option("pathGlobFilter", name).parquet(folder)
@@ -34,11 +40,12 @@ def _source(spark: SparkSession, source: str, schema) -> DataFrame:
 def question_stream(spark: SparkSession, source: str, schema, corpus: DataFrame, k: int,
                     prepare: Callable[[DataFrame], DataFrame], sink: str | None = None,
                     checkpoint: str | None = None, exclude_col: str | None = None,
-                    payload=(), available_now: bool = True) -> tuple[StreamingQuery, str]:
+                    payload=(), available_now: bool = True,
+                    max_files_per_trigger: int | None = None) -> tuple[StreamingQuery, str]:
     """ST1: start the stream; ``prepare`` turns a raw batch into ``(qid, qvec[, exclude])``."""
     sink = sink or work_path(spark, "stream-topk")
     checkpoint = checkpoint or work_path(spark, "stream-topk-ckpt")
-    src = _source(spark, source, schema)
+    src = _source(spark, source, schema, max_files_per_trigger)
 
     def each(batch: DataFrame, epoch_id: int) -> None:
         hits = K.top_k(corpus, prepare(batch), k, exclude_col=exclude_col, payload=list(payload))
@@ -52,10 +59,11 @@ def question_stream(spark: SparkSession, source: str, schema, corpus: DataFrame,
 def document_stream(spark: SparkSession, source: str, schema, corpus_path: str,
                     prepare: Callable[[DataFrame], DataFrame], checkpoint: str | None = None,
                     id_col: str = "id", order_col: str = "load_seq",
-                    available_now: bool = True) -> StreamingQuery:
+                    available_now: bool = True,
+                    max_files_per_trigger: int | None = None) -> StreamingQuery:
     """ST2: insert-if-absent of every micro-batch into the parquet corpus at ``corpus_path``."""
     checkpoint = checkpoint or work_path(spark, "stream-ingest-ckpt")
-    src = _source(spark, source, schema)
+    src = _source(spark, source, schema, max_files_per_trigger)
 
     def each(batch: DataFrame, epoch_id: int) -> None:
         C.insert_if_absent(prepare(batch), corpus_path, id_col=id_col, order_col=order_col)

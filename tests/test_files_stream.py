@@ -113,3 +113,22 @@ def test_document_stream_replay_is_idempotent(spark, tmp_dir):
     assert got.groupBy("id").count().where("count > 1").count() == 0
     first = docs.groupBy(C.content_id("text").alias("id")).agg(F.min("doc_id").alias("doc_id"))
     assert got.select("id", "doc_id").exceptAll(first).count() == 0
+
+
+def test_question_stream_bounded_batches(spark, tmp_dir):
+    """One file per micro-batch: the backlog drains in several epochs, same rows as batch."""
+    vc = TD.vector_corpus(spark, SF_SMALL)
+    src = f"{tmp_dir}/questions"
+    spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").repartition(3).write.parquet(src)
+    q, sink = ST.question_stream(
+        spark, src, spark.read.parquet(src).schema, vc, 2,
+        prepare=lambda b: b.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"),
+                                   F.col("vec_id").alias("self_id")),
+        exclude_col="self_id", sink=f"{tmp_dir}/sink", checkpoint=f"{tmp_dir}/ck",
+        max_files_per_trigger=1)
+    ST.run_to_end(q)
+    assert spark.read.parquet(sink).select("epoch").distinct().count() == 3
+    streamed = sorted(tuple(r) for r in ST.read_sink(spark, sink).select("qid", "rk", "id").collect())
+    batch = sorted(tuple(r) for r in K.top_k(vc, TD.vector_queries(vc), 2, exclude_col="self_id")
+                   .select("qid", "rk", "id").collect())
+    assert streamed == batch
