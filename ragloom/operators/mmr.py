@@ -16,10 +16,11 @@ matrix (fetch_k x fetch_k) lives only inside the task.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import topk as K
 
@@ -75,19 +76,18 @@ def mmr(corpus: DataFrame, queries: DataFrame, k: int = MMR_K, fetch_k: int = MM
          T.StructField(id_col, cf[id_col]), T.StructField("score", T.DoubleType())]
         + [T.StructField(p, cf[p]) for p in payload])
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rk")
-        vecs = list(pdf[vec_col])
-        dim = max((len(v) for v in vecs if v is not None), default=0)
-        cvec = np.vstack([np.zeros(dim) if v is None else np.asarray(v, dtype=np.float64)
-                          for v in vecs])
-        rel = pdf["score"].to_numpy(dtype=np.float64, na_value=np.nan)
-        idx = greedy_mmr(rel, _cos_matrix(cvec, cvec), k, lam)
-        sel = pdf.iloc[idx]
-        out = pd.DataFrame({qid_col: sel[qid_col].values, "pos": np.arange(1, len(idx) + 1, dtype=np.int32),
-                            id_col: sel[id_col].values, "score": sel["score"].values})
-        for p in payload:
-            out[p] = sel[p].values
-        return out
+    arrow_schema = to_arrow_schema(out_schema)
 
-    return cand.groupBy(qid_col).applyInPandas(pick, out_schema)
+    def pick(tbl: pa.Table) -> pa.Table:
+        tbl = tbl.sort_by([("rk", "ascending")])
+        cvec, _ = K._matrix(tbl.column(vec_col), None)      # a null vector is a zero row
+        rel = tbl.column("score").to_numpy(zero_copy_only=False).astype(np.float64)  # null -> NaN
+        idx = pa.array(greedy_mmr(rel, _cos_matrix(cvec, cvec), k, lam), pa.int64())
+        sel = tbl.take(idx)
+        cols = {qid_col: sel.column(qid_col), "pos": pa.array(np.arange(1, len(idx) + 1, dtype=np.int32)),
+                id_col: sel.column(id_col), "score": sel.column("score")}
+        cols.update({p: sel.column(p) for p in payload})
+        return pa.Table.from_arrays([cols[f.name].cast(f.type) for f in arrow_schema], schema=arrow_schema)
+
+    # candidates arrive hash-partitioned by question from the top-k merge: no new shuffle
+    return cand.groupBy(qid_col).applyInArrow(pick, out_schema)
