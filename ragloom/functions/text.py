@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import cached_column
 from .vectors import let
 
 ColumnOrName = Column | str
@@ -29,6 +30,7 @@ def _c(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@cached_column
 def tokens(text: ColumnOrName) -> Column:
     """array<string> of tokens; empty array for empty text, null for null."""
     cleaned = F.trim(F.regexp_replace(F.lower(_c(text)), NON_WORD, " "))
@@ -57,11 +59,13 @@ def bucket_counts(bucket_ids: Column, dim: int) -> Column:
         lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("float")))
 
 
+@cached_column
 def hash_embedding(text: ColumnOrName, dim: int) -> Column:
     """The offline stand-in embedder as one native expression (null text -> null)."""
     return F.when(_c(text).isNotNull(), bucket_counts(buckets(text, dim), dim))
 
 
+@cached_column
 def statements(text: ColumnOrName) -> Column:
     """array<string> of statements in text order."""
     parts = F.transform(F.split(_c(text), STATEMENT_BREAK), lambda s: F.trim(s))
@@ -69,6 +73,7 @@ def statements(text: ColumnOrName) -> Column:
     return F.filter(parts, lambda s: s.rlike(WORD_CHAR))
 
 
+@cached_column
 def distinct_tokens(text: ColumnOrName) -> Column:
     return F.array_distinct(tokens(text))
 

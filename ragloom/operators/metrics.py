@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import cached_column
 from ..functions import prompts as P
 from ..functions import text as TX
 from ..functions import vectors as V
@@ -86,6 +87,7 @@ def _precision(v):
                                         / n_rel).otherwise(F.lit(0.0)))
 
 
+@cached_column
 def context_metric_struct(tau: float = J.TAU, answer: str = "answer", reference: str = "reference",
                           contexts: str = "contexts") -> F.Column:
     """E03-E05 of the stand-in judge as one row-local struct (every text tokenised once).
@@ -109,6 +111,7 @@ def context_metric_struct(tau: float = J.TAU, answer: str = "answer", reference:
             TX.distinct_tokens(reference), lambda rt: body(ctoks, ct, rt))))
 
 
+@cached_column
 def answer_metric_columns(dim: int = 64, answer: str = "answer", reference: str = "reference",
                           question: str = "question") -> list[F.Column]:
     """E06 and E02 with the stand-in embedder as row-local columns."""
