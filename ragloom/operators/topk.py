@@ -47,6 +47,8 @@ CORPUS_BLOCK_ROWS = 50_000
 QUERY_BLOCK_ROWS = 4_096
 PAIR_BUDGET = 1 << 22  # score-matrix cells per numpy block (32 MB of doubles)
 MERGE_FANIN = 200_000  # candidate rows one question may send to one merge task
+LATE_PAYLOAD_ROWS = 50_000_000  # estimated candidate rows beyond which payload is fetched after the merge
+MAX_FETCH_IDS = 2_000_000       # hit ids broadcast to the payload scan (else a shuffled semi join)
 
 _NULL_KEY = -3.0       # sort key for a null score: below every real cosine
 _QI, _KEY, _SCORE = "_qi", "_key", "_score"
@@ -318,12 +320,19 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
           max_broadcast_queries: int = DEFAULT_MAX_BROADCAST_QUERIES,
           max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
           corpus_block_rows: int = CORPUS_BLOCK_ROWS,
-          query_block_rows: int = QUERY_BLOCK_ROWS, merge_fanin: int = MERGE_FANIN) -> DataFrame:
+          query_block_rows: int = QUERY_BLOCK_ROWS, merge_fanin: int = MERGE_FANIN,
+          late_payload: bool | None = None) -> DataFrame:
     """For every question row, its k most similar corpus rows.
 
     Returns ``(qid, rk int, id, score double, *payload)``; ``rk`` runs 1..min(k, n).
     ``exclude_col`` names a question column holding a corpus id that must not be
     returned for that question (leave-one-out evaluation).
+
+    ``late_payload``: carry only ``(qid, id, score)`` through the merge and
+    fetch the payload columns of the final hits afterwards (see
+    :func:`_fetch_payload`). ``None`` decides from the estimated candidate
+    volume: every corpus task sends up to ``questions x k`` candidates, so on
+    a wide scan the payload would dominate the merge shuffle.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
@@ -334,8 +343,10 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
     payload = list(payload)
     qcols = [qid_col, qvec_col] + ([exclude_col] if exclude_col else [])
     q = queries.select(*qcols)
-    schema = _local_schema(corpus, q, qid_col, id_col, payload)
+    map_tasks = _scan_tasks(corpus)
+    carried = payload
     local = None
+    n_q = max_broadcast_queries          # estimate for the forms beyond the broadcast bound
     if form in ("auto", "broadcast"):
         # bounded collect: never more than max_broadcast_queries + 1 rows reach the driver
         qtbl = q.limit(max_broadcast_queries + 1).toArrow()
@@ -344,21 +355,61 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
         if qm is not None and qm.nbytes <= max_broadcast_bytes:
             if qtbl.num_rows == 0:
                 return _empty_result(corpus, q, qid_col, id_col, payload, rank_col)
-            local = _broadcast_form(corpus, qtbl, qm, dim, schema, qid_col, id_col, vec_col,
-                                    exclude_col, payload, k)
+            n_q = qtbl.num_rows
+            late = _late(late_payload, payload, map_tasks, n_q, k)
+            carried = [] if late else payload
+            local = _broadcast_form(corpus, qtbl, qm, dim,
+                                    _local_schema(corpus, q, qid_col, id_col, carried), qid_col,
+                                    id_col, vec_col, exclude_col, carried, k)
         elif form == "broadcast":
             raise ValueError("question block exceeds the broadcast bound; use form='blocked'")
-    if local is None and form == "auto":
-        form = _large_form(corpus, q, max_broadcast_queries)
-    if local is None and form == "scan_blocks":
-        local = _scan_blocks_form(corpus, q, schema, qid_col, qvec_col, id_col, vec_col, exclude_col,
-                                  payload, k, max_broadcast_queries, max_broadcast_bytes)
     if local is None:
-        local = _blocked_form(corpus, q, schema, qid_col, qvec_col, id_col, vec_col,
-                              exclude_col, payload, k, corpus_block_rows, query_block_rows)
-    return merge_topk(local, k, qid_col=qid_col, id_col=id_col, rank_col=rank_col,
-                      cols=[qid_col, rank_col, id_col, "score", *payload],
-                      map_tasks=_scan_tasks(corpus), merge_fanin=merge_fanin)
+        late = _late(late_payload, payload, map_tasks, n_q, k)
+        carried = [] if late else payload
+        schema = _local_schema(corpus, q, qid_col, id_col, carried)
+        if form == "auto":
+            form = _large_form(corpus, q, max_broadcast_queries)
+        if form == "scan_blocks":
+            local = _scan_blocks_form(corpus, q, schema, qid_col, qvec_col, id_col, vec_col,
+                                      exclude_col, carried, k, max_broadcast_queries,
+                                      max_broadcast_bytes)
+        else:
+            local = _blocked_form(corpus, q, schema, qid_col, qvec_col, id_col, vec_col,
+                                  exclude_col, carried, k, corpus_block_rows, query_block_rows)
+    hits = merge_topk(local, k, qid_col=qid_col, id_col=id_col, rank_col=rank_col,
+                      cols=[qid_col, rank_col, id_col, "score", *carried],
+                      map_tasks=map_tasks, merge_fanin=merge_fanin)
+    if carried == payload:
+        return hits
+    out = _fetch_payload(corpus, hits, id_col, payload, broadcast_ids=n_q * k <= MAX_FETCH_IDS)
+    return out.select(qid_col, rank_col, id_col, "score", *payload)
+
+
+def _late(late_payload: bool | None, payload: list[str], map_tasks: int | None, n_q: int,
+          k: int) -> bool:
+    if not payload:
+        return False
+    if late_payload is not None:
+        return late_payload
+    return map_tasks is not None and map_tasks * min(n_q, 10 ** 9) * k > LATE_PAYLOAD_ROWS
+
+
+def _fetch_payload(corpus: DataFrame, hits: DataFrame, id_col: str, payload: list[str],
+                   broadcast_ids: bool) -> DataFrame:
+    """Payload of the final hits from a second, column-pruned corpus scan.
+
+    The hits (at most ``questions x k`` rows) are checkpointed first, so the
+    top-k is computed once. Their distinct ids go to the scan as a broadcast
+    semi join when ``questions x k`` is within ``MAX_FETCH_IDS`` (a proven
+    bound); the scan reads only the id and payload columns and never shuffles
+    the corpus. Corpus ids must be unique (the K02 contract).
+    """
+    from ..session import cut_lineage
+    hits = cut_lineage(hits)
+    ids = hits.select(id_col).distinct()
+    pay = corpus.select(id_col, *payload)
+    pay = pay.join(F.broadcast(ids) if broadcast_ids else ids, id_col, "left_semi")
+    return hits.join(pay, id_col, "left")
 
 
 def merge_topk(local: DataFrame, k: int, *, qid_col: str = "qid", id_col: str = "id",

@@ -69,3 +69,11 @@ def test_greedy_handles_null_relevance():
     rel = np.array([0.9, np.nan, 0.5])
     gram = np.array([[1, np.nan, 0.2], [np.nan, np.nan, np.nan], [0.2, np.nan, 1]])
     assert MMR.greedy_mmr(rel, gram, 3, 0.5) == [0, 2, 1]
+
+
+def test_mmr_late_payload_same_picks(spark):
+    vc = TD.vector_corpus(spark, SF_SMALL)
+    q = TD.vector_queries(vc)
+    a = MMR.mmr(vc, q, exclude_col="self_id", late_payload=False).select("qid", "pos", "id").collect()
+    b = MMR.mmr(vc, q, exclude_col="self_id", late_payload=True).select("qid", "pos", "id").collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))

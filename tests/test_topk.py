@@ -176,3 +176,29 @@ def test_two_level_merge_for_wide_scans(spark):
     plan = two._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 3
     assert _rows(one) == _rows(two)
+
+
+@pytest.mark.parametrize("form", ["broadcast", "blocked", "scan_blocks"])
+def test_late_payload_equals_carried(spark, form):
+    """Payload fetched after the merge = payload carried through it, in every form."""
+    corpus = TD.qa_corpus(spark, SF_SMALL)
+    q = TD.eval_questions(corpus).withColumn("self_id", F.col("qid"))
+    kw = {"blocked": dict(corpus_block_rows=8, query_block_rows=8),
+          "scan_blocks": dict(max_broadcast_queries=20)}.get(form, {})
+
+    def rows(late):
+        df = K.top_k(corpus, q, 3, exclude_col="self_id", payload=["input", "output"], form=form,
+                     late_payload=late, **kw)
+        assert df.columns == ["qid", "rk", "id", "score", "input", "output"]
+        return sorted((r.qid, r.rk, r.id, round(r.score, 9), r.input, r.output) for r in df.collect())
+
+    carried, late = rows(False), rows(True)
+    assert carried == late and len(late) == 3 * corpus.count()
+
+
+def test_late_payload_decision():
+    assert not K._late(None, [], 10 ** 6, 10 ** 4, 5)            # nothing to carry
+    assert not K._late(None, ["input"], None, 10 ** 4, 5)        # size unknown: carry
+    assert not K._late(None, ["input"], 8, 2000, 5)              # small scan: carry
+    assert K._late(None, ["input"], 800_000, 20_000, 5)          # wide scan: fetch after merge
+    assert K._late(True, ["input"], 1, 1, 1) and not K._late(False, ["input"], 10 ** 6, 10 ** 6, 5)
