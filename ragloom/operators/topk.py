@@ -49,6 +49,7 @@ PAIR_BUDGET = 1 << 22  # score-matrix cells per numpy block (32 MB of doubles)
 MERGE_FANIN = 200_000  # candidate rows one question may send to one merge task
 LATE_PAYLOAD_ROWS = 50_000_000  # estimated candidate rows beyond which payload is fetched after the merge
 MAX_FETCH_IDS = 2_000_000       # hit ids broadcast to the payload scan (else a shuffled semi join)
+MAX_FETCH_BYTES = 128 << 20
 
 _NULL_KEY = -3.0       # sort key for a null score: below every real cosine
 _QI, _KEY, _SCORE = "_qi", "_key", "_score"
@@ -346,7 +347,6 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
     map_tasks = _scan_tasks(corpus)
     carried = payload
     local = None
-    n_q = max_broadcast_queries          # estimate for the forms beyond the broadcast bound
     if form in ("auto", "broadcast"):
         # bounded collect: never more than max_broadcast_queries + 1 rows reach the driver
         qtbl = q.limit(max_broadcast_queries + 1).toArrow()
@@ -364,6 +364,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
         elif form == "broadcast":
             raise ValueError("question block exceeds the broadcast bound; use form='blocked'")
     if local is None:
+        n_q = q.count()                  # beyond the broadcast bound: the real size, for the checks below
         late = _late(late_payload, payload, map_tasks, n_q, k)
         carried = [] if late else payload
         schema = _local_schema(corpus, q, qid_col, id_col, carried)
@@ -400,13 +401,20 @@ def _fetch_payload(corpus: DataFrame, hits: DataFrame, id_col: str, payload: lis
 
     The hits (at most ``questions x k`` rows) are checkpointed first, so the
     top-k is computed once. Their distinct ids go to the scan as a broadcast
-    semi join when ``questions x k`` is within ``MAX_FETCH_IDS`` (a proven
-    bound); the scan reads only the id and payload columns and never shuffles
-    the corpus. Corpus ids must be unique (the K02 contract).
+    semi join when they are checked to fit (at most ``MAX_FETCH_IDS`` ids and
+    ``MAX_FETCH_BYTES``, measured with one aggregate over the checkpoint); the
+    scan then reads only the id and payload columns and never shuffles the
+    corpus. Beyond the bound a shuffled semi join on the narrow id column runs.
+    Corpus ids must be unique (the K02 contract).
     """
     from ..session import cut_lineage
     hits = cut_lineage(hits)
     ids = hits.select(id_col).distinct()
+    if broadcast_ids:
+        size = ids.agg(F.count(F.lit(1)).alias("n"),
+                       F.coalesce(F.sum(F.octet_length(F.col(id_col).cast("string"))), F.lit(0))
+                       .alias("b")).first()
+        broadcast_ids = size.n <= MAX_FETCH_IDS and size.b + 16 * size.n <= MAX_FETCH_BYTES
     pay = corpus.select(id_col, *payload)
     pay = pay.join(F.broadcast(ids) if broadcast_ids else ids, id_col, "left_semi")
     return hits.join(pay, id_col, "left")
