@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_text
 from ragloom.operators import corpus as C
 from ragloom.plans import ingest as I
 
@@ -29,7 +30,7 @@ def test_hot_id_collapses_map_side(spark):
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("id"),
         F.col("id").alias("load_seq"), F.lit("t").alias("input"))
     out = C.first_per_id(load)
-    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(out)
     assert "partial_min_by" in plan or "partial_" in plan
     assert out.where("id = 'hot'").first().load_seq == 0
 
@@ -85,6 +86,6 @@ def test_insert_both_join_strategies_agree(spark):
     corpus = spark.range(0, 1000, 7).select(F.col("id").cast("string").alias("id"))
     small = C.rows_to_insert(load, corpus)
     big = C.rows_to_insert(load, corpus, max_broadcast_ids=10)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan_text(small)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
     assert small.count() == 300 - len([i for i in range(0, 300) if i % 7 == 0])

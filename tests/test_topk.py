@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from conftest import SF_SMALL, plan_text
 from ragloom.operators import topk as K
 from ragloom.sources import testdata as TD
 
@@ -139,8 +139,7 @@ def test_properties_prefix_ranks_partitioning(spark):
 
 def test_plan_has_partial_limit_and_no_pair_join(spark):
     vc = TD.vector_corpus(spark, SF_SMALL)
-    plan = K.top_k(vc, TD.vector_queries(vc), 5, exclude_col="self_id")._jdf \
-        .queryExecution().executedPlan().toString()
+    plan = plan_text(K.top_k(vc, TD.vector_queries(vc), 5, exclude_col="self_id"))
     assert "WindowGroupLimit" in plan and "MapInArrow" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
@@ -173,7 +172,7 @@ def test_two_level_merge_for_wide_scans(spark):
     assert K._scan_tasks(vc) >= 1
     one = K.top_k(vc, q, 5, exclude_col="self_id")
     two = K.top_k(vc, q, 5, exclude_col="self_id", merge_fanin=1)
-    plan = two._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(two)
     assert plan.count("WindowGroupLimit") >= 3
     assert _rows(one) == _rows(two)
 
