@@ -21,10 +21,13 @@ def cached_column(fn):
 
     @functools.wraps(fn)
     def wrapper(*args, **kw):
-        from pyspark import SparkContext
-        sc = SparkContext._active_spark_context
-        if sc is None or not all(isinstance(a, _PLAIN) for a in (*args, *kw.values())):
+        from pyspark.sql import SparkSession
+        if not all(isinstance(a, _PLAIN) for a in (*args, *kw.values())):
             return fn(*args, **kw)
+        session = SparkSession.getActiveSession()
+        if session is None:
+            return fn(*args, **kw)
+        sc = session.sparkContext
         if owner[0] is not sc:        # new application: columns of the old JVM are void
             cache.clear()
             owner[0] = sc
