@@ -201,3 +201,28 @@ def test_late_payload_decision():
     assert not K._late(None, ["input"], 8, 2000, 5)              # small scan: carry
     assert K._late(None, ["input"], 800_000, 20_000, 5)          # wide scan: fetch after merge
     assert K._late(True, ["input"], 1, 1, 1) and not K._late(False, ["input"], 10 ** 6, 10 ** 6, 5)
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_small_vec = st.lists(st.integers(-2, 2).map(float), min_size=3, max_size=3)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(corpus=st.lists(st.one_of(st.none(), _small_vec), min_size=0, max_size=25),
+       queries=st.lists(st.tuples(st.integers(0, 30), _small_vec), min_size=1, max_size=6,
+                        unique_by=lambda t: t[0]),
+       k=st.integers(1, 6), exclude=st.booleans(),
+       form=st.sampled_from(["broadcast", "blocked"]))
+def test_property_equals_brute_force(spark, corpus, queries, k, exclude, form):
+    """Random integer vectors (exact ties, zero and null vectors), optional own-row exclusion."""
+    crow = [(f"c{i:02d}", v) for i, v in enumerate(corpus)]
+    qrow = [(f"c{i:02d}", v) for i, v in queries]
+    qdf = spark.createDataFrame([(q, v, q) for q, v in qrow], "qid string, qvec array<float>, self_id string")
+    kw = dict(corpus_block_rows=4, query_block_rows=2) if form == "blocked" else {}
+    got = _rows(K.top_k(_corpus(spark, crow), qdf, k, form=form,
+                        exclude_col="self_id" if exclude else None, **kw))
+    want = [(q, r, c, None if s is None else round(s, 9))
+            for q, r, c, s in _brute(crow, qrow, k, exclude=exclude)]
+    assert got == sorted(want, key=lambda t: (t[0], t[1]))
