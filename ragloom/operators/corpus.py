@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import cut_lineage
+from ..sources.sizing import scan_tasks
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | row in partition
 
@@ -33,9 +34,14 @@ def fill_output(df: DataFrame, col: str = "output") -> DataFrame:
 
 def positional_index(df: DataFrame, order_cols: list[str], index_col: str = "pos",
                      num_partitions: int | None = None) -> DataFrame:
-    """Contiguous 0-based index in ``order_cols`` order (the key must be unique)."""
+    """Contiguous 0-based index in ``order_cols`` order (the key must be unique).
+
+    The range partitions number at least ``spark.sql.shuffle.partitions`` and
+    about one per ``spark.sql.files.maxPartitionBytes`` of input, so each
+    sorted range stays the size of a scan task however large the input is.
+    """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), scan_tasks(df) or 0)
     ranged = (df.repartitionByRange(n, *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id()))

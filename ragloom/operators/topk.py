@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.sizing import scan_tasks
+
 DEFAULT_MAX_BROADCAST_QUERIES = 20_000
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 CORPUS_BLOCK_ROWS = 50_000
@@ -272,61 +274,6 @@ def _scan_blocks_form(corpus, queries, schema, qid_col, qvec_col, id_col, vec_co
     return out
 
 
-def _bytes_conf(value: str) -> int:
-    v = value.strip().lower()
-    for suffix, mult in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("tb", 1 << 40),
-                         ("k", 1 << 10), ("m", 1 << 20), ("g", 1 << 30), ("t", 1 << 40), ("b", 1)):
-        if v.endswith(suffix):
-            return int(float(v[: -len(suffix)]) * mult)
-    return int(v)
-
-
-SIZE_SAMPLE_FILES = 64
-
-
-def _file_sizes(uris: list[str]) -> list[int] | None:
-    """Sizes of files given as URIs (local, ``file:``, s3/s3a, gs, hdfs), via ``pyarrow.fs``."""
-    from urllib.parse import urlparse
-
-    from pyarrow import fs as pafs
-    first = urlparse(uris[0])
-    scheme = first.scheme or "file"
-    base = f"{'s3' if scheme == 's3a' else scheme}://{first.netloc}" if scheme != "file" else "file:///"
-    filesystem, _ = pafs.FileSystem.from_uri(base)
-
-    def path(u: str) -> str:
-        pu = urlparse(u)
-        return pu.netloc + pu.path if scheme in ("s3", "s3a", "gs", "gcs") else pu.path
-
-    infos = filesystem.get_file_info([path(u) for u in uris])
-    sizes = [i.size for i in infos]
-    return None if any(sz is None for sz in sizes) else sizes
-
-
-def _scan_tasks(df: DataFrame) -> int | None:
-    """Tasks a scan of ``df`` will run, estimated from its input files (no job).
-
-    ``inputFiles()`` lists the files; the sizes of at most ``SIZE_SAMPLE_FILES``
-    of them, scaled to the file count, over ``spark.sql.files.maxPartitionBytes``
-    give the task count. None when unknown (plans over checkpointed RDDs have
-    no input files); the merge then stays one level.
-    """
-    try:
-        files = df.inputFiles()
-        if not files:
-            return None
-        step = max(1, len(files) // SIZE_SAMPLE_FILES)
-        sample = files[::step][:SIZE_SAMPLE_FILES]
-        sizes = _file_sizes(sample)
-        mpb = _bytes_conf(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    except Exception:  # noqa: BLE001 - the estimate is advisory
-        return None
-    if not sizes or mpb <= 0:
-        return None
-    total = sum(sizes) / len(sizes) * len(files)
-    return max(len(files) if total > 0 else 1, math.ceil(total / mpb))
-
-
 SCAN_BLOCKS_MAX = 64      # most corpus re-scans the scan_blocks form may cost
 
 
@@ -374,7 +321,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
     payload = list(payload)
     qcols = [qid_col, qvec_col] + ([exclude_col] if exclude_col else [])
     q = queries.select(*qcols)
-    map_tasks = _scan_tasks(corpus)
+    map_tasks = scan_tasks(corpus)
     carried = payload
     local = None
     if form in ("auto", "broadcast"):

@@ -89,3 +89,20 @@ def test_insert_both_join_strategies_agree(spark):
     assert "BroadcastHashJoin" in plan_text(small)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
     assert small.count() == 300 - len([i for i in range(0, 300) if i % 7 == 0])
+
+
+def test_positional_ranges_scale_with_input(spark, tmp_dir):
+    """More input than one split per range: the range count follows the input size."""
+    src = f"{tmp_dir}/pairs"
+    spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").write.parquet(src)
+    df = spark.read.parquet(src)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        from ragloom.sources.sizing import scan_tasks
+        n = scan_tasks(df)
+        assert n > 8
+        out = C.positional_index(df, ["conv_id", "turn"])
+        pos = sorted(r.pos for r in out.select("pos").collect())
+        assert pos == list(range(df.count()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

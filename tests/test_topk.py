@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, plan_text
 from ragloom.operators import topk as K
+from ragloom.sources.sizing import scan_tasks
 from ragloom.sources import testdata as TD
 
 
@@ -169,7 +170,7 @@ def test_scan_blocks_form_agrees(spark):
 def test_two_level_merge_for_wide_scans(spark):
     vc = TD.vector_corpus(spark, SF_SMALL)
     q = TD.vector_queries(TD.vector_corpus(spark, SF_SMALL)).limit(7)
-    assert K._scan_tasks(vc) >= 1
+    assert scan_tasks(vc) >= 1
     one = K.top_k(vc, q, 5, exclude_col="self_id")
     two = K.top_k(vc, q, 5, exclude_col="self_id", merge_fanin=1)
     plan = plan_text(two)
