@@ -227,3 +227,18 @@ def test_property_equals_brute_force(spark, corpus, queries, k, exclude, form):
     want = [(q, r, c, None if s is None else round(s, 9))
             for q, r, c, s in _brute(crow, qrow, k, exclude=exclude)]
     assert got == sorted(want, key=lambda t: (t[0], t[1]))
+
+
+def test_one_question_at_a_time_equals_batched(spark):
+    """Differential: R01 asked per question (the reference's loop) = R05 for all at once."""
+    vc = TD.vector_corpus(spark, SF_SMALL)
+    q = TD.vector_queries(vc)
+    picked = [r.qid for r in q.select("qid").orderBy("qid").limit(5).collect()]
+    batched = [t for t in _rows(K.top_k(vc, q, 5, exclude_col="self_id")) if t[0] in picked]
+    single = []
+    for qid in picked:
+        one = q.where(F.col("qid") == qid)
+        hits = K.search_ranked(vc.withColumn("input", F.lit("")).withColumn("output", F.lit("")),
+                               one, 5, exclude_col="self_id")
+        single += [(r.qid, r.rank, r.id, round(r.score, 9)) for r in hits.orderBy("rank").collect()]
+    assert single == batched and len(single) == 25
