@@ -5,8 +5,9 @@ Scale notes
 -----------
 * Positional ids never use an unpartitioned window over the data: rows are
   range-partitioned on the (unique) order key, numbered inside each partition,
-  and shifted by per-partition offsets computed on a table with one row per
-  partition (bounded by the partition count, so it may be broadcast).
+  and shifted by per-partition offsets. The offsets come from one eager count
+  per partition (one row per partition, bounded by the partition count, so
+  they may be broadcast), so later executions never re-count the rows.
 * "First row per id wins" is a hash aggregate (``min_by``) with a map-side
   partial step, so an id that holds a third of the load collapses to one row
   per task before the shuffle instead of landing in one task.
@@ -17,7 +18,7 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -49,9 +50,14 @@ def positional_index(df: DataFrame, order_cols: list[str], index_col: str = "pos
     ranged = cut_lineage(ranged)
     ranged = (ranged.withColumn("_p", F.shiftright("_mid", _LOCAL_BITS))
               .withColumn("_l", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
-    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))   # one row per partition
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # rows per partition, counted once now (as RDD.zipWithIndex does): one row per
+    # partition reaches the driver, a bound set by the partition count, not the data
+    counts = dict(ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).collect())
+    offsets, acc = [], 0
+    for p in sorted(counts):
+        offsets.append((p, acc))
+        acc += counts[p]
+    offsets = spark.createDataFrame(offsets, "_p long, _off long")
     return (ranged.join(F.broadcast(offsets), "_p")
             .withColumn(index_col, F.col("_off") + F.col("_l"))
             .drop("_mid", "_p", "_l", "_off"))
