@@ -457,8 +457,22 @@ def entry(spark: SparkSession) -> DataFrame:
     return _prepared(q_score_table)(spark, SMOKE_DIR)
 
 
+def _llm() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the training-data operators; empty where the subpackage is not installed."""
+    try:
+        import corpus_pipeline
+        from ragloom.llm import registry
+    except ImportError:
+        return {}, {}
+    found, sql = dict(registry.QUERIES), dict(registry.ORACLE_SQL)
+    found["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _prepared(fn) for name, fn in _QUERIES.items()}
+    return {name: _prepared(fn) for name, fn in {**_QUERIES, **_llm()[0]}.items()}
 
 
 # ===========================================================================
@@ -792,7 +806,7 @@ from mt a full join mt_b b on a.qid = b.qid"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return _sql()
+    return {**_sql(), **_llm()[1]}
 
 
 if __name__ == "__main__":  # pragma: no cover - manual smoke run
