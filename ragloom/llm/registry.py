@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .op1_bpe import op1_bpe_round_trip
+from .op5_secrets import op5_secrets
+from .op9_packing import op9_pack
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op5_secrets": op5_secrets,
+    "op9_pack": op9_pack,
 }
 
 #: Queries that SQL can express; the others are tested against brute force.
