@@ -297,16 +297,15 @@ class BpeModel:
         return b"".join([table[i] for i in ids]).decode("utf-8", errors="replace")
 
 
-_MODELS: dict[int, BpeModel] = {}
+_MODELS: dict[str, BpeModel] = {}
 
 
 def _model(spec) -> BpeModel:
-    """One model per worker process and broadcast."""
-    key = spec.id if hasattr(spec, "id") else hash(spec.value)
-    if key not in _MODELS:
+    """One model per worker process and vocabulary."""
+    if spec.value not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = BpeModel(spec.value)
-    return _MODELS[key]
+        _MODELS[spec.value] = BpeModel(spec.value)
+    return _MODELS[spec.value]
 
 
 @dataclass

@@ -85,7 +85,7 @@ class WordTokenizer:
         return [b"".join(map(memo.__getitem__, chunks)) for chunks in split]
 
 
-_TOKENIZERS: dict[int, WordTokenizer] = {}
+_TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 def token_pieces(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", capacity: int = CAPACITY,
@@ -99,10 +99,10 @@ def token_pieces(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
         vocabulary.broadcast, np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        if spec.id not in _TOKENIZERS:
+        if spec.value not in _TOKENIZERS:
             _TOKENIZERS.clear()
-            _TOKENIZERS[spec.id] = WordTokenizer(spec.value)
-        tok, step = _TOKENIZERS[spec.id], 4 * capacity
+            _TOKENIZERS[spec.value] = WordTokenizer(spec.value)
+        tok, step = _TOKENIZERS[spec.value], 4 * capacity
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
