@@ -362,6 +362,11 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_documents(spark, sf_dir), spark)
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage (the last): the places of all pieces of all documents."""
+    return pack_documents(docs, spark)
+
+
 def describe(plan: PackPlan, histogram: dict[int, int]) -> str:
     """Sequences of a plan against the least possible number, as JSON."""
     tokens = sum(k * v for k, v in histogram.items())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .op1_bpe import op1_bpe_round_trip
 from .op3_jaccard import op3_jaccard_join
+from .op4_suffix_dedup import op4_suffix_dedup
 from .op5_secrets import op5_secrets
 from .op7_language import op7_language
 from .op9_packing import op9_pack
@@ -11,6 +12,7 @@ from .op9_packing import op9_pack
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_secrets": op5_secrets,
     "op7_language": op7_language,
     "op9_pack": op9_pack,
