@@ -11,9 +11,9 @@ partitions, and pairs whose partitions bound the similarity below the floor
 asked for are not compared (``pruned_jaccard`` gives 0 for them).
 
 Only built-in functions run. Anchors are the commonest words of the languages
-at hand, a parameter. A text of fewer than ``MIN_SPOTS`` spots (a short or
-wordless one) adds its words, their chains or, without two words, itself, so
-that texts that differ hardly ever have equal fingerprints.
+at hand, a parameter. A text with few spots (a short one, a list, another
+language) adds its words, their chains or, without two words, itself, so that
+texts that differ hardly ever have equal fingerprints.
 
 Defined cases: a null text is empty; repeated rows are fingerprinted one by
 one; two empty texts are alike (1.0); empty tables give empty results; extra
@@ -34,8 +34,8 @@ from .native import let
 ANCHORS = ("the", "of", "and", "to", "is", "der", "die", "und", "den", "ist", "le", "la", "les", "et", "est",
            "el", "los", "que", "y", "es")
 CHAIN = 2
-#: With fewer spots, a text's words and all their chains count too.
-MIN_SPOTS = 4
+#: With fewer spots, or less than one in so many words, a text's words and all their chains count too.
+MIN_SPOTS, FEW = 4, 25
 #: A chain may run over so many anchors.
 OVER = 3
 #: Factor between the lengths of neighbouring length partitions.
@@ -68,9 +68,10 @@ def spot_signatures(text: Column, anchors=ANCHORS, chain: int = CHAIN) -> Column
     def hashes(found):
         return F.array_sort(F.array_distinct(F.transform(found, short_hash)))
 
+    blanks = F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit("")))
     words = F.filter(F.split(F.translate(plain, _MARK, " "), " "), lambda w: w != "")
     return let(let(F.split(marked, _MARK, -1), spots),
-               lambda s: F.when(F.size(s) >= MIN_SPOTS, hashes(s)).otherwise(
+               lambda s: F.when((F.size(s) >= MIN_SPOTS) & (F.size(s) * FEW >= blanks), hashes(s)).otherwise(
                    hashes(F.concat(s, let(words, all_words)))))
 
 

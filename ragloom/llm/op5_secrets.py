@@ -213,14 +213,16 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, let(F.struct(text.alias("t"), spans.alias("s")), build)).otherwise(text)
 
 
+def _count(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
     found = materialize(scan(docs).select("doc_id", "base", "runs"), "secret-spans")
     out = decide(found, cuts(found))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-              for k in range(3)]
-    return out.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+    return out.select("doc_id", *[_count(F.col("base"), k).alias(f"n_{KINDS[k]}") for k in range(3)], F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
                       span_text(F.col("spans")).alias("spans"))
 
 

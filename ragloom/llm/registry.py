@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import op8_url_filter as url_filter
 from .op1_bpe import op1_bpe_round_trip
+from .op2_license import op2_license
 from .op3_jaccard import op3_jaccard_join
 from .op4_suffix_dedup import op4_suffix_dedup
 from .op5_secrets import op5_secrets
@@ -14,6 +15,7 @@ from .op10_fingerprint import op10_fingerprint
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_license": op2_license,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_secrets": op5_secrets,

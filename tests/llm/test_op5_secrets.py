@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from conftest import SF_MID
 from ragloom.llm import op5_secrets as S
 
 ASSIGN = re.compile(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|"
@@ -51,8 +51,8 @@ def test_random_mixtures(spark):
 
 
 def test_query_matches_brute_force(spark):
-    rows = {r["doc_id"]: r for r in S.op5_secrets(spark, SF_SMALL).collect()}
-    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()
+    rows = {r["doc_id"]: r for r in S.op5_secrets(spark, SF_MID).collect()}
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet").collect()
     assert len(rows) == len(docs)
     for d in docs:
         want, got = brute(d["text"]), rows[d["doc_id"]]
