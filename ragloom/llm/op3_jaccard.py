@@ -313,7 +313,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     member = sets.join(classes, "sig", "left").join(comps, "node", "left")
     return member.select("doc_id", F.col("n").alias("n_shingles"),
-                         F.coalesce("comp", "node", "doc_id").alias("component_id"))
+                         F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node", "doc_id"))
+                         .alias("component_id"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
