@@ -214,13 +214,13 @@ def q_batched_topk(spark, sf):
 
 def _per_question_k():
     n = F.size(TX.statements("question"))
-    return F.when(n > 1, F.least(n, F.lit(5)))
+    return F.when(n > 1, n)
 
 
 def q_topk_per_question_k(spark, sf):
     corpus, q = _qa(spark, sf)
     q = q.withColumn("k", _per_question_k())
-    return K.search_per_question_k(corpus, q, default_k=3, max_k=5, exclude_col="self_id")
+    return K.search_per_question_k(corpus, q, default_k=3, exclude_col="self_id")
 
 
 def q_mmr(spark, sf):
@@ -533,14 +533,23 @@ hits as (select qid, id, input, output, score,
 
 
 _VE = f"""ve as (select vec_id as id, embedding::DOUBLE[] as v from embeddings),
-vp as (select q.id as qid, c.id, c.v, {_cos('q.v', 'c.v')} as score from ve q join ve c on c.id <> q.id)"""
+vp as (select q.id as qid, c.id, {_cos('q.v', 'c.v')} as score from ve q join ve c on c.id <> q.id)"""
 
 
 def _vhits_cte(k: int) -> str:
     return _VE + f""",
-vh as (select qid, id, v, score,
+vw as materialized (select qid, id, score,
               (row_number() over (partition by qid order by score desc nulls last, id))::INTEGER as rk
-       from vp qualify rk <= {k})"""
+       from vp qualify rk <= {k}),
+vh as (select vw.*, ve.v from vw join ve on ve.id = vw.id)"""
+
+
+def _answer(contexts: str, question: str) -> str:
+    """The stand-in answer: the question's statements, then the first one of every context."""
+    c = f"coalesce({contexts}, []::VARCHAR[])"
+    cited = f"list_filter(list_transform({c}, lambda t: {_stmts('t')}[1]), lambda t: t is not null)"
+    return (f"case when len({c}) > 0 then array_to_string(list_concat({_stmts(question)}, {cited}), "
+            f"{_lit(G.ANSWER_SEPARATOR)}) else '{_REFUSAL}' end")
 
 
 def _rec_cte(k: int = 3) -> str:
@@ -548,8 +557,7 @@ def _rec_cte(k: int = 3) -> str:
 ctx as (select qid, list(output order by rk) as contexts from hits group by qid),
 rec as (select q.id as qid, q.input as question, q.output as reference,
                coalesce(ctx.contexts, []::VARCHAR[]) as contexts,
-               case when len(coalesce(ctx.contexts, []::VARCHAR[])) > 0 then ctx.contexts[1]
-                    else '{_REFUSAL}' end as answer
+               {_answer('ctx.contexts', 'q.input')} as answer
         from qc q left join ctx on ctx.qid = q.id)"""
 
 
@@ -564,9 +572,9 @@ vd{sfx} as (select *,
          list_transform({_stmts('reference')}, lambda s: (len(list_intersect(list_distinct({_tok('s')}), ct))
                         / len(list_distinct({_tok('s')})) >= {tau})::INT) as rv,
          list_transform(contexts, lambda c: (case when len(rtk) = 0 then 0 else
-                        (len(list_intersect(rtk, list_distinct({_tok('c')}))) / len(rtk) >= {tau})::INT end))
+                        (len(list_intersect(rtk, list_distinct({_tok('c')}))) / len(rtk) >= {J.RELEVANCE_TAU})::INT end))
            as pv,
-         list_slice({_stmts('answer')}, 1, {J.GENERATED_QUESTIONS}) as gen
+         {_stmts('answer')} as gen
        from rt{sfx}),
 mt{sfx} as (select {keys}, question, reference, answer,
          case when len(pv) = 0 then null when list_sum(pv) = 0 then 0.0
@@ -657,11 +665,13 @@ def _sql() -> dict[str, str]:
     s["topk_no_id"] = f"with {_hits_cte(3)} select qid, rk, input, output, {_rd('score')} as score from hits"
     s["topk_no_score"] = f"with {_hits_cte(4)} select qid, rk, input, output from hits"
     s["batched_topk"] = f"with {_vhits_cte(5)} select qid, rk, id, {_rd('score')} as score from vh"
-    s["topk_per_question_k"] = f"""with {_hits_cte(5)},
-        qk as (select id as qid, case when len({_stmts('input')}) > 1 then least(len({_stmts('input')}), 5) end as k
-               from qc)
-        select h.qid, h.rk, h.id, h.output from hits h join qk using (qid)
-        where h.rk <= least(coalesce(qk.k, 3), 5)"""
+    s["topk_per_question_k"] = f"""with {_QC},
+        qk as (select id as qid, case when len({_stmts('input')}) > 1 then len({_stmts('input')}) end as k from qc),
+        pr as (select q.id as qid, c.id, {_cos('q.v', 'c.v')} as score from qc q join qc c on c.id <> q.id),
+        hits as (select pr.*, (row_number() over (partition by qid order by score desc nulls last, id))::INTEGER as rk
+                 from pr)
+        select h.qid, h.rk, h.id, c.output from hits h join qk using (qid) join qc c on c.id = h.id
+        where h.rk <= coalesce(qk.k, 3)"""
     s["mmr"] = _mmr_sql()
     s["contexts_joined"] = (f"with {_hits_cte(3)} select qid, array_to_string(list(output order by rk), "
                             f"{_lit(P.CONTEXT_SEPARATOR)}) as context from hits group by qid")
@@ -734,13 +744,13 @@ def _mmr_steps(k: int, lam: float) -> str:
 s1 as (select qid, rk, 1 as pos from c where rk = 1)"""]
     for step in range(2, k + 1):
         prev = f"s{step - 1}"
-        parts.append(f"""p{step} as (select qid, rk, {step} as pos from (
+        parts.append(f"""p{step} as materialized (select qid, rk, {step} as pos from (
       select c.qid, c.rk, row_number() over (partition by c.qid
              order by round({lam} * any_value(c.score) - {1 - lam} * max(g.sim), 9) desc, c.rk) as o
       from c join g on g.qid = c.qid and g.rk = c.rk join {prev} sp on sp.qid = c.qid and sp.rk = g.rk2
       where not exists (select 1 from {prev} z where z.qid = c.qid and z.rk = c.rk)
       group by c.qid, c.rk) where o = 1),
-s{step} as (select * from {prev} union all select * from p{step})""")
+s{step} as materialized (select * from {prev} union all select * from p{step})""")
     return ",\n".join(parts)
 
 
@@ -781,8 +791,7 @@ ctx as (select 'k=' || kk::VARCHAR as run_id, qid, list(output order by rk) as c
         from hits join runs on hits.rk <= runs.kk group by all),
 rec as (select 'k=' || kk::VARCHAR as run_id, q.id as qid, q.input as question, q.output as reference,
                coalesce(ctx.contexts, []::VARCHAR[]) as contexts,
-               case when len(coalesce(ctx.contexts, []::VARCHAR[])) > 0 then ctx.contexts[1]
-                    else '{_REFUSAL}' end as answer
+               {_answer('ctx.contexts', 'q.input')} as answer
         from qc q join runs on true left join ctx on ctx.qid = q.id and ctx.run_id = 'k=' || kk::VARCHAR
         union all
         select 'baseline' as run_id, id as qid, input as question, output as reference,

@@ -78,14 +78,13 @@ def distinct_tokens(text: ColumnOrName) -> Column:
     return F.array_distinct(tokens(text))
 
 
-def token_coverage(part: Column, whole: Column, whole_distinct: bool = False) -> Column:
+def token_coverage(part: Column, whole: Column) -> Column:
     """|distinct(part) ∩ distinct(whole)| / |distinct(part)| for token arrays; null if part is empty.
 
     ``array_intersect(a, b)`` hashes ``b`` and probes it with ``a``; its result
     is distinct. The (short) part is the hashed side, so a statement checked
     against a large context vocabulary costs one probe per context token
-    instead of rebuilding a set of the whole vocabulary. ``whole_distinct`` is
-    kept for callers; the result does not depend on it.
+    instead of rebuilding a set of the whole vocabulary.
     """
     return let(F.array_distinct(part), lambda p: F.try_divide(
         F.size(F.array_intersect(whole, p)).cast("double"), F.size(p).cast("double")))

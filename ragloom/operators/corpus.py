@@ -18,6 +18,7 @@ Scale notes
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,11 +105,10 @@ def assert_contract(corpus: DataFrame, dim: int, **kw) -> dict:
 
 
 def first_per_id(load: DataFrame, id_col: str = "id", order_col: str = "load_seq") -> DataFrame:
-    """K03 (M4): the first row of each id in load order wins, also inside one load."""
-    rest = [c for c in load.columns if c != id_col]
-    return (load.groupBy(id_col)
-            .agg(F.min_by(F.struct(*rest), F.col(order_col)).alias("_r"))
-            .select(id_col, "_r.*"))
+    """K03 (M4): the first row of each id in load order (a unique key) wins, also inside one load."""
+    # the winner is found on (id, order) alone; texts are not sorted or aggregated
+    win = load.groupBy(F.col(id_col).alias("_id")).agg(F.min(order_col).alias("_order"))
+    return load.join(win, load[id_col].eqNullSafe(win["_id"]) & (load[order_col] == win["_order"]), "left_semi")
 
 
 MAX_BROADCAST_IDS = 2_000_000
@@ -147,17 +147,25 @@ def present_ids(load_ids: DataFrame, corpus_ids: DataFrame, id_col: str = "id",
                         .alias("b")).first()
     if size.n > max_broadcast_ids or size.b + 16 * size.n > max_broadcast_bytes:
         return None
-    return corpus_ids.select(id_col).join(F.broadcast(load_ids), id_col, "left_semi")
+    # partial aggregation: repeated corpus ids don't grow the result
+    return corpus_ids.select(id_col).join(F.broadcast(load_ids), id_col, "left_semi").distinct()
+
+
+def read_ids(spark, corpus_path: str, schema) -> DataFrame:
+    """The id column of the corpus; empty only if there is no such path, any other error is raised."""
+    try:
+        return spark.read.parquet(corpus_path).select(schema.names[0])
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def insert_if_absent(load: DataFrame, corpus_path: str, id_col: str = "id",
                      order_col: str = "load_seq", columns: list[str] | None = None) -> None:
     """Append the new rows to the parquet corpus at ``corpus_path`` (single writer)."""
     spark = load.sparkSession
-    try:
-        existing = spark.read.parquet(corpus_path).select(id_col)
-    except Exception:  # noqa: BLE001 - no corpus yet: everything is new
-        existing = spark.createDataFrame([], load.select(id_col).schema)
+    existing = read_ids(spark, corpus_path, load.select(id_col).schema)
     new = rows_to_insert(load, existing, id_col, order_col)
     cols = columns or [c for c in load.columns if c != order_col]
     # materialise before the write: the corpus being read is also the target
@@ -169,7 +177,7 @@ def load_report(load: DataFrame, corpus_ids: DataFrame, id_col: str = "id") -> D
     """``attempted, distinct_ids, already_present, inserted`` in one row."""
     per_id = load.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
     present = present_ids(per_id.select(id_col), corpus_ids, id_col)
-    hits = (F.broadcast(present) if present is not None else corpus_ids.select(id_col))
+    hits = (F.broadcast(present) if present is not None else corpus_ids.select(id_col).distinct())
     marked = per_id.join(hits.withColumn("_hit", F.lit(1)), id_col, "left")
     return marked.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("attempted"),

@@ -6,8 +6,8 @@ call does not fail the job: the answer becomes
 ``Error processing your query: ...`` and the ``error`` column holds the
 message (error as value, as the reference returns it).
 
-The offline stand-in is native: the answer is the top-ranked context, or the
-refusal sentence when a question has no context.
+The offline stand-in is native: the answer restates the question and cites the
+first statement of every context, so that its statements are partly supported.
 """
 
 from __future__ import annotations
@@ -21,16 +21,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import prompts as P
+from ..functions import text as TX
+
+#: Between the statements of a stand-in answer.
+ANSWER_SEPARATOR = ". "
 
 
 class Generator(Protocol):
     def __call__(self, prompts: list[str]) -> list[str]: ...
 
 
-def stand_in_answer(contexts_col: str = "contexts") -> F.Column:
-    """G01 stand-in: first context, else the refusal sentence."""
-    c = F.col(contexts_col)
-    return F.when(F.size(F.coalesce(c, F.array())) > 0, F.element_at(c, 1)).otherwise(F.lit(P.REFUSAL))
+def stand_in_answer(contexts_col: str = "contexts", question_col: str = "question") -> F.Column:
+    """G01 stand-in: every statement of the question, then the first statement of every context.
+
+    Without a context it is the refusal sentence.
+    """
+    c = F.coalesce(F.col(contexts_col), F.array().cast("array<string>"))
+    cited = F.filter(F.transform(c, lambda x: F.get(TX.statements(x), 0)), lambda x: x.isNotNull())
+    said = F.coalesce(TX.statements(question_col), F.array().cast("array<string>"))
+    return F.when(F.size(c) > 0, F.array_join(F.concat(said, cited), ANSWER_SEPARATOR)).otherwise(F.lit(P.REFUSAL))
 
 
 def generate(df: DataFrame, prompt_col: str = "prompt", *, generator: Generator | Callable,

@@ -10,9 +10,9 @@ Stand-in judge (deterministic, the same rules are written in the DuckDB oracle):
 * statements of a text: ``functions.text.statements``
 * an answer / reference statement is *supported* when at least ``tau`` of its
   distinct tokens occur among the distinct tokens of all contexts
-* a context is *relevant* when it holds at least ``tau`` of the distinct tokens
-  of the reference
-* the questions an answer implies are its first three statements
+* a context is *relevant* when it holds at least ``relevance_tau`` of the distinct
+  tokens of the reference
+* the questions an answer implies are its statements, all of them
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from ..functions import text as TX
 
 # Fixed values of the stand-in judge
 TAU = 0.5
-GENERATED_QUESTIONS = 3
+#: Share of the reference's distinct tokens that a relevant context holds.
+RELEVANCE_TAU = 0.2
 
 KIND_FAITHFULNESS = "faithfulness"
 KIND_RECALL = "context_recall"
@@ -38,7 +39,7 @@ def _context_tokens(contexts: str) -> F.Column:
 
 def stand_in_verdicts(records: DataFrame, keys=("qid",), tau: float = TAU,
                       answer: str = "answer", reference: str = "reference",
-                      contexts: str = "contexts") -> DataFrame:
+                      contexts: str = "contexts", relevance_tau: float = RELEVANCE_TAU) -> DataFrame:
     """Verdicts of the stand-in judge; every row of the output is one judgement."""
     keys = list(keys)
     base = records.select(*keys, answer, reference, contexts,
@@ -54,7 +55,7 @@ def stand_in_verdicts(records: DataFrame, keys=("qid",), tau: float = TAU,
     ctx = F.coalesce(F.col(contexts), F.array().cast("array<string>"))
     prec = base.select(*keys, "_ref", F.posexplode(ctx).alias("_p", "_c")).select(
         *keys, F.lit(KIND_PRECISION).alias("kind"), (F.col("_p") + 1).cast("int").alias("pos"),
-        F.coalesce(TX.token_coverage(F.col("_ref"), TX.tokens("_c")) >= F.lit(tau), F.lit(False))
+        F.coalesce(TX.token_coverage(F.col("_ref"), TX.tokens("_c")) >= F.lit(relevance_tau), F.lit(False))
         .cast("int").alias("verdict"))
     return (supported(answer, KIND_FAITHFULNESS)
             .unionByName(supported(reference, KIND_RECALL))
@@ -62,8 +63,12 @@ def stand_in_verdicts(records: DataFrame, keys=("qid",), tau: float = TAU,
 
 
 def generated_questions(records: DataFrame, keys=("qid",), answer: str = "answer",
-                        n: int = GENERATED_QUESTIONS) -> DataFrame:
-    """Stand-in for the questions a judge derives from an answer: its first ``n`` statements."""
+                        n: int | None = None) -> DataFrame:
+    """Stand-in for the questions a judge derives from an answer: its statements.
+
+    ``n`` bounds them where a real judge is asked for a fixed number; default: all.
+    """
     keys = list(keys)
-    return records.select(*keys, F.posexplode(F.slice(TX.statements(answer), 1, n)).alias("_p", "gen")) \
+    found = TX.statements(answer) if n is None else F.slice(TX.statements(answer), 1, n)
+    return records.select(*keys, F.posexplode(found).alias("_p", "gen")) \
         .select(*keys, (F.col("_p") + 1).cast("int").alias("pos"), "gen")

@@ -76,7 +76,7 @@ def _mean(xs: F.Column) -> F.Column:
 
 def _coverage_verdicts(stmts, ct, tau):
     return F.transform(stmts, lambda s: F.when(
-        TX.token_coverage(TX.tokens(s), ct, whole_distinct=True) >= F.lit(tau), 1.0).otherwise(0.0))
+        TX.token_coverage(TX.tokens(s), ct) >= F.lit(tau), 1.0).otherwise(0.0))
 
 
 def _precision(v):
@@ -89,7 +89,7 @@ def _precision(v):
 
 @cached_column
 def context_metric_struct(tau: float = J.TAU, answer: str = "answer", reference: str = "reference",
-                          contexts: str = "contexts") -> F.Column:
+                          contexts: str = "contexts", relevance_tau: float = J.RELEVANCE_TAU) -> F.Column:
     """E03-E05 of the stand-in judge as one row-local struct (every text tokenised once).
 
     Select it as one column and extract the fields in a later projection: three
@@ -101,7 +101,7 @@ def context_metric_struct(tau: float = J.TAU, answer: str = "answer", reference:
     def body(ctoks, ct, rt):
         # relevance of each context: share of the reference's distinct tokens it holds
         v = F.transform(ctoks, lambda c: F.when(F.coalesce(
-            TX.token_coverage(rt, c, whole_distinct=True) >= F.lit(tau), F.lit(False)), 1.0).otherwise(0.0))
+            TX.token_coverage(rt, c) >= F.lit(relevance_tau), F.lit(False)), 1.0).otherwise(0.0))
         return F.struct(_precision(v).alias("context_precision"),
                         _mean(_coverage_verdicts(TX.statements(reference), ct, tau)).alias("context_recall"),
                         _mean(_coverage_verdicts(TX.statements(answer), ct, tau)).alias("faithfulness"))
@@ -117,8 +117,7 @@ def answer_metric_columns(dim: int = 64, answer: str = "answer", reference: str
     """E06 and E02 with the stand-in embedder as row-local columns."""
     let = V.let
 
-    def body(ast):
-        gen = F.slice(ast, 1, J.GENERATED_QUESTIONS)
+    def body(gen):
         rel = let(TX.hash_embedding(question, dim), lambda qv: _mean(
             F.transform(gen, lambda g: V.cosine_similarity(qv, TX.hash_embedding(g, dim)))))
         return F.when(F.size(gen) == 0, F.lit(None).cast("double")) \

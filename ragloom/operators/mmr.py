@@ -69,7 +69,7 @@ def mmr(corpus: DataFrame, queries: DataFrame, k: int = MMR_K, fetch_k: int = MM
         raise ValueError("need 1 <= k <= fetch_k")
     payload = [p for p in payload if p not in (id_col, vec_col)]
     cand = K.top_k(corpus, queries, fetch_k, id_col=id_col, vec_col=vec_col, qid_col=qid_col,
-                   qvec_col=qvec_col, exclude_col=exclude_col, payload=[vec_col, *payload], **topk_kw)
+                   qvec_col=qvec_col, exclude_col=exclude_col, payload=[vec_col, *payload], late_payload=True, **topk_kw)
     cf = {f.name: f.dataType for f in cand.schema.fields}
     out_schema = T.StructType(
         [T.StructField(qid_col, cf[qid_col]), T.StructField("pos", T.IntegerType()),

@@ -61,6 +61,10 @@ _QI, _KEY, _SCORE = "_qi", "_key", "_score"
 # numpy / Arrow kernel (runs inside tasks)
 # --------------------------------------------------------------------------
 
+#: Hash of a row's payload, carried in its place where the payload is fetched late.
+_ROW = "__payload_row"
+
+
 def _matrix(arr, dim: int | None) -> tuple[np.ndarray, int]:
     """List<float> Arrow array -> (n, dim) float64 matrix; null/empty rows -> zeros."""
     if isinstance(arr, pa.ChunkedArray):
@@ -103,10 +107,16 @@ def _block_candidates(block: pa.Table, id_col: str, vec_col: str, keep_cols: lis
     s = _scores(c, qm, nq)
     key = np.where(np.isnan(s), _NULL_KEY, s)
     if excl is not None:
-        # corpus row of each question's excluded id, -1 when it is not in this block
-        rows = pd.Index(block.column(id_col).to_pandas()).get_indexer(excl)
-        hit = rows >= 0
-        key[rows[hit], excl_pos[hit]] = -np.inf
+        # every corpus row of an excluded id, against every question that excludes it (ids may repeat)
+        code, uniq = pd.factorize(excl, use_na_sentinel=True)
+        of_row = pd.Index(uniq).get_indexer(block.column(id_col).to_pandas())
+        rows = np.flatnonzero(of_row >= 0)
+        by_code = np.argsort(code, kind="stable")
+        first = np.searchsorted(code[by_code], np.arange(len(uniq) + 1))
+        sizes = first[of_row[rows] + 1] - first[of_row[rows]]
+        at = np.repeat(first[of_row[rows]], sizes) + np.arange(sizes.sum()) - np.repeat(
+            np.cumsum(sizes) - sizes, sizes)
+        key[np.repeat(rows, sizes), excl_pos[by_code[at]]] = -np.inf
     kk = min(k, n)
     if kk < n:
         part = np.argpartition(key, n - kk, axis=0)[n - kk:]
@@ -119,6 +129,13 @@ def _block_candidates(block: pa.Table, id_col: str, vec_col: str, keep_cols: lis
     ri, qi, kv = ri[live], qi[live], kv[live]
     if len(ri) == 0:
         return None
+    # reduce on indices (ties by id), so that only the block's winners are gathered
+    id_rank = np.empty(n, np.int64)
+    id_rank[pc.array_sort_indices(block.column(id_col).combine_chunks()).to_numpy()] = np.arange(n)
+    order = np.lexsort((id_rank[ri], -kv, qi))
+    ri, qi, kv = ri[order], qi[order], kv[order]
+    win = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") < k
+    ri, qi, kv = ri[win], qi[win], kv[win]
     taken = block.select(keep_cols).take(pa.array(ri))
     return taken.append_column(_QI, pa.array(qi.astype(np.int64))) \
                 .append_column(_KEY, pa.array(kv)) \
@@ -252,8 +269,7 @@ def _scan_blocks_form(corpus, queries, schema, qid_col, qvec_col, id_col, vec_co
     """
     from ..session import cut_lineage
     q = cut_lineage(queries)
-    n = q.count()
-    nb = max(1, math.ceil(n / max(1, max_rows // 2)))
+    nb = _question_blocks(q, qvec_col, max_rows, max_bytes)
     parts = []
     for b in range(nb):
         blk = q.where(F.pmod(F.xxhash64(qid_col), F.lit(nb)) == b).limit(max_rows + 1).toArrow()
@@ -263,7 +279,7 @@ def _scan_blocks_form(corpus, queries, schema, qid_col, qvec_col, id_col, vec_co
             raise ValueError("question block exceeds the broadcast bound (skewed question ids?)")
         qm, dim = _matrix(blk.column(qvec_col), None)
         if qm.nbytes > max_bytes:
-            raise ValueError("question block exceeds the broadcast byte bound; use form='blocked'")
+            raise ValueError("question block exceeds the broadcast byte bound (skewed question ids?)")
         parts.append(_broadcast_form(corpus, blk, qm, dim, schema, qid_col, id_col, vec_col,
                                      exclude_col, payload, k))
     if not parts:
@@ -274,10 +290,16 @@ def _scan_blocks_form(corpus, queries, schema, qid_col, qvec_col, id_col, vec_co
     return out
 
 
+def _question_blocks(queries: DataFrame, qvec_col: str, max_rows: int, max_bytes: int) -> int:
+    """Blocks that a question set needs to stay within both bounds, with room for uneven hashing."""
+    n, dim = queries.agg(F.count(F.lit(1)), F.max(F.size(qvec_col))).first()
+    return max(1, math.ceil(2 * n / max(2, max_rows)), math.ceil(2 * n * 8 * max(dim or 0, 0) / max(2, max_bytes)))
+
+
 SCAN_BLOCKS_MAX = 64      # most corpus re-scans the scan_blocks form may cost
 
 
-def _large_form(corpus: DataFrame, queries: DataFrame, max_rows: int) -> str:
+def _large_form(corpus: DataFrame, queries: DataFrame, qvec_col: str, max_rows: int, max_bytes: int) -> str:
     """Choose a form for a question set beyond the broadcast bound (two count jobs).
 
     Re-scanning a corpus costs less than replicating it through a shuffle, so
@@ -287,7 +309,7 @@ def _large_form(corpus: DataFrame, queries: DataFrame, max_rows: int) -> str:
     """
     n_q = queries.count()
     n_c = corpus.count()
-    blocks = math.ceil(n_q / max(1, max_rows // 2))
+    blocks = _question_blocks(queries, qvec_col, max_rows, max_bytes)
     return "scan_blocks" if n_c >= 10 * n_q and blocks <= SCAN_BLOCKS_MAX else "blocked"
 
 
@@ -319,6 +341,8 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
     if qid_col in (id_col, vec_col) or qid_col in payload:
         raise ValueError("question id column must differ from corpus columns")
     payload = list(payload)
+    # a row's own payload comes back for it, also where corpus ids repeat or are null
+    corpus = corpus.withColumn(_ROW, F.xxhash64(*payload)) if payload else corpus
     qcols = [qid_col, qvec_col] + ([exclude_col] if exclude_col else [])
     q = queries.select(*qcols)
     map_tasks = scan_tasks(corpus)
@@ -334,7 +358,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
                 return _empty_result(corpus, q, qid_col, id_col, payload, rank_col)
             n_q = qtbl.num_rows
             late = _late(late_payload, payload, map_tasks, n_q, k)
-            carried = [] if late else payload
+            carried = [_ROW] if late else payload
             local = _broadcast_form(corpus, qtbl, qm, dim,
                                     _local_schema(corpus, q, qid_col, id_col, carried), qid_col,
                                     id_col, vec_col, exclude_col, carried, k)
@@ -343,10 +367,10 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
     if local is None:
         n_q = q.count()                  # beyond the broadcast bound: the real size, for the checks below
         late = _late(late_payload, payload, map_tasks, n_q, k)
-        carried = [] if late else payload
+        carried = [_ROW] if late else payload
         schema = _local_schema(corpus, q, qid_col, id_col, carried)
         if form == "auto":
-            form = _large_form(corpus, q, max_broadcast_queries)
+            form = _large_form(corpus, q, qvec_col, max_broadcast_queries, max_broadcast_bytes)
         if form == "scan_blocks":
             local = _scan_blocks_form(corpus, q, schema, qid_col, qvec_col, id_col, vec_col,
                                       exclude_col, carried, k, max_broadcast_queries,
@@ -382,19 +406,22 @@ def _fetch_payload(corpus: DataFrame, hits: DataFrame, id_col: str, payload: lis
     ``MAX_FETCH_BYTES``, measured with one aggregate over the checkpoint); the
     scan then reads only the id and payload columns and never shuffles the
     corpus. Beyond the bound a shuffled semi join on the narrow id column runs.
-    Corpus ids must be unique (the K02 contract).
+    A hit finds its own row by id and hash of the payload (rows that agree in
+    both are interchangeable), so repeated and null ids keep their payload.
     """
     from ..session import cut_lineage
     hits = cut_lineage(hits)
-    ids = hits.select(id_col).distinct()
+    ids = hits.select(F.col(id_col).alias("_hit_id"), F.col(_ROW).alias("_hit_row")).distinct()
     if broadcast_ids:
         size = ids.agg(F.count(F.lit(1)).alias("n"),
-                       F.coalesce(F.sum(F.octet_length(F.col(id_col).cast("string"))), F.lit(0))
+                       F.coalesce(F.sum(F.octet_length(F.col("_hit_id").cast("string"))), F.lit(0))
                        .alias("b")).first()
-        broadcast_ids = size.n <= MAX_FETCH_IDS and size.b + 16 * size.n <= MAX_FETCH_BYTES
-    pay = corpus.select(id_col, *payload)
-    pay = pay.join(F.broadcast(ids) if broadcast_ids else ids, id_col, "left_semi")
-    return hits.join(pay, id_col, "left")
+        broadcast_ids = size.n <= MAX_FETCH_IDS and size.b + 24 * size.n <= MAX_FETCH_BYTES
+    pay = corpus.select(F.col(id_col).alias("_pay_id"), F.col(_ROW).alias("_pay_row"), *payload)
+    pay = pay.join(F.broadcast(ids) if broadcast_ids else ids,
+                   F.col("_pay_id").eqNullSafe(F.col("_hit_id")) & (F.col("_pay_row") == F.col("_hit_row")),
+                   "left_semi").dropDuplicates(["_pay_id", "_pay_row"])
+    return hits.join(pay, hits[id_col].eqNullSafe(pay["_pay_id"]) & (hits[_ROW] == pay["_pay_row"]), "left")
 
 
 def merge_topk(local: DataFrame, k: int, *, qid_col: str = "qid", id_col: str = "id",
@@ -453,10 +480,20 @@ def search_no_score(corpus, queries, k=4, **kw) -> DataFrame:
     return search_scored(corpus, queries, k, **kw).select("qid", "rk", "input", "output")
 
 
-def search_per_question_k(corpus, queries, default_k=3, max_k=5, k_col="k", **kw) -> DataFrame:
-    """Each question may carry its own k (null -> default), bounded by ``max_k``."""
-    kq = queries.select("qid", k_col)
-    hits = top_k(corpus, queries, max_k, payload=["output"], **kw)
-    limit = F.least(F.coalesce(F.col(k_col), F.lit(default_k)), F.lit(max_k))
+def search_per_question_k(corpus, queries, default_k=3, k_col="k", **kw) -> DataFrame:
+    """Each question may carry its own k (null -> default); any k of 1 or more is met in full.
+
+    The largest k of the set (one aggregate) bounds the shared top-k; each
+    question then keeps its own.
+    """
+    from ..session import cut_lineage
+    # the aggregate and the search both read the questions: compute them once
+    queries = cut_lineage(queries)
+    wanted = F.coalesce(F.col(k_col), F.lit(default_k))
+    low, high = queries.agg(F.min(wanted), F.max(wanted)).first()
+    if low is not None and low < 1:
+        raise ValueError("k must be >= 1")
+    kq = queries.select("qid", wanted.alias("_k"))
+    hits = top_k(corpus, queries, max(high or 1, 1), payload=["output"], **kw)
     # kq is keyed by qid like hits: the join reuses the merge's partitioning
-    return hits.join(kq, "qid").filter(F.col("rk") <= limit).select("qid", "rk", "id", "output")
+    return hits.join(kq, "qid").filter(F.col("rk") <= F.col("_k")).select("qid", "rk", "id", "output")

@@ -27,10 +27,7 @@ def prepare(raw: DataFrame, order_cols: list[str], id_prefix: str = "q_") -> Dat
 def ingest(prepared: DataFrame, corpus_path: str, dim: int, embedder=None) -> DataFrame:
     """Embed only the rows whose id is new, check the contract, append; returns the load report."""
     spark = prepared.sparkSession
-    try:
-        existing = spark.read.parquet(corpus_path).select("id")
-    except Exception:  # noqa: BLE001 - first load
-        existing = spark.createDataFrame([], "id string")
+    existing = C.read_ids(spark, corpus_path, prepared.select("id").schema)
     report = cut_lineage(C.load_report(prepared, existing))
     new = C.rows_to_insert(prepared, existing)
     embedded = E.embed(new, "input", "embedding", embedder=embedder, dim=dim)

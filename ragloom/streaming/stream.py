@@ -12,6 +12,7 @@ Checkpoints and sinks live under the shared checkpoint folder.
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -31,8 +32,10 @@ def _source(spark: SparkSession, source: str, schema, max_files: int | None = No
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", int(max_files))
-    if source.endswith(".parquet") and not source.endswith("/"):
-        folder, name = os.path.split(source.rstrip("/"))
+    # one file or a folder of that name: the path of a row's file tells
+    first = spark.read.schema(schema).parquet(source).select("_metadata.file_path").first()
+    folder, name = os.path.split(source.rstrip("/"))
+    if first is not None and os.path.basename(unquote(first[0])) == name:
         return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(source)
 
