@@ -33,10 +33,12 @@ from ragloom.operators import judge as J
 from ragloom.operators import metrics as M
 from ragloom.operators import mmr as MMR
 from ragloom.operators import runs as R
+from ragloom.operators import standins as SI
 from ragloom.operators import topk as K
 from ragloom.plans import answer as PA
 from ragloom.plans import evaluation as EV
 from ragloom.session import ensure_checkpoint_dir, ship_code, work_path
+from ragloom.sources import files as FS
 from ragloom.sources import testdata as TD
 from ragloom.streaming import stream as ST
 
@@ -286,8 +288,12 @@ def q_answer_routed(spark, sf):
 
 
 def q_context_route(spark, sf):
-    corpus, q, hits = _qa_hits(spark, sf, 4)
-    given_docs = CX.numbered_documents(_given_docs(corpus))
+    corpus, q = _qa(spark, sf)
+    given = _given_docs(corpus)
+    given_docs = CX.numbered_documents(given)
+    # only questions without documents of their own are searched for
+    need = q.join(given.select("qid").distinct(), "qid", "left_anti")
+    hits = K.top_k(corpus, need, 4, exclude_col="self_id", payload=["input", "output"])
     retrieved = CX.contexts(hits).select("qid", CX.join_contexts("contexts").alias("contexts"))
     return CX.route(q, given_docs, retrieved)
 
@@ -391,6 +397,66 @@ def q_stream_ingest(spark, sf):
     return spark.read.parquet(corpus_path).select("id", "doc_id", "lang")
 
 
+def q_raw_corpus_json(spark, sf):
+    """K01 then S01: the Q/A pairs as a JSON corpus, written and read back."""
+    path = work_path(spark, "raw-corpus")
+    FS.write_json(TD.qa_pairs(spark, sf).select("input", "output", F.lit("case").alias("casename")), path)
+    return FS.read_raw_corpus(spark, path, json_array=False)
+
+
+def q_embedded_corpus_json(spark, sf):
+    """K01 then S02: a corpus with vectors, written and read back."""
+    path = work_path(spark, "embedded-corpus")
+    vc = TD.vector_corpus(spark, sf)
+    FS.write_json(vc.select(F.col("id").cast("string").alias("id"), F.lit("in").alias("input"),
+                            F.lit("out").alias("output"), "embedding"), path)
+    back = FS.read_embedded_corpus(spark, path, json_array=False)
+    return back.select("id", "input", "output", F.size("embedding").cast("int").alias("dim"), _r(
+        F.aggregate(V.as_double("embedding"), F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+def q_eval_set_json(spark, sf):
+    """The evaluation set, written and read back."""
+    path = work_path(spark, "eval-set")
+    FS.write_json(TD.qa_pairs(spark, sf).select("input", "output"), path)
+    return FS.read_eval_set(spark, path, json_array=False)
+
+
+def q_answer_sheet_csv(spark, sf):
+    """K07 then S04: a sheet of answers as CSV with a BOM, written and read back."""
+    path = work_path(spark, "answer-sheet")
+    FS.write_scores_csv(_records(spark, sf).select(F.col("question").alias("user_input"),
+                                                   F.col("answer").alias("response"), "reference"), path)
+    return FS.read_answer_sheet(spark, path)
+
+
+def q_embed_model(spark, sf):
+    """The batch stage with a model object (the Python form of the hashing embedder)."""
+    emb = E.embed(TD.qa_pairs(spark, sf).select("conv_id", "turn", "input"), "input", "embedding",
+                  embedder=E.HashEmbedder(DIM))
+    return emb.select("conv_id", "turn", *_vec_summary(F.col("embedding")))
+
+
+def q_embed_distinct(spark, sf):
+    """Each distinct text of the conversations is embedded once."""
+    emb = E.embed_distinct(TD.read_table(spark, sf, "conversations").select("conv_id", "turn", "text"), "text",
+                           "embedding", embedder=E.HashEmbedder(DIM))
+    return emb.select("conv_id", "turn", *_vec_summary(F.col("embedding")))
+
+
+def q_generate_errors(spark, sf):
+    """A generator through the batch stage; its errors are values."""
+    _, q = _qa(spark, sf)
+    prompts = q.select("qid", P.baseline_prompt("question").alias("prompt"))
+    return G.generate(prompts, "prompt", generator=SI.ShortPrompts(), batch_size=1).select("qid", "answer", "error")
+
+
+def q_judge_errors(spark, sf):
+    """The judge stage; records that the judge fails on keep null metrics."""
+    out = J.judged_scores(_records(spark, sf), SI.StrictJudge())
+    return out.select("qid", "error", *[_r(m, 6).alias(m) for m in M.METRICS])
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "qa_pairs": q_qa_pairs,
     "fill_output": q_fill_output,
@@ -437,6 +503,14 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_compare": q_run_compare,
     "stream_topk": q_stream_topk,
     "stream_ingest": q_stream_ingest,
+    "raw_corpus_json": q_raw_corpus_json,
+    "embedded_corpus_json": q_embedded_corpus_json,
+    "eval_set_json": q_eval_set_json,
+    "answer_sheet_csv": q_answer_sheet_csv,
+    "embed_model": q_embed_model,
+    "embed_distinct": q_embed_distinct,
+    "generate_errors": q_generate_errors,
+    "judge_errors": q_judge_errors,
 }
 
 
@@ -727,6 +801,27 @@ def _sql() -> dict[str, str]:
         lab as (select id, doc_id, lang from d where doc_id in (select doc_id from labels)
                 qualify row_number() over (partition by id order by doc_id) = 1)
         select id, doc_id, lang from lab union all select id, doc_id, lang from ins"""
+    s["raw_corpus_json"] = f"with {_QA} select input, output from qa"
+    s["embedded_corpus_json"] = f"""select vec_id::VARCHAR as id, 'in' as input, 'out' as output,
+        len(embedding)::INTEGER as dim, {_rd('list_sum(embedding::DOUBLE[])', 5)} as total from embeddings"""
+    s["eval_set_json"] = f"with {_QA} select input as question, output as reference from qa"
+    s["answer_sheet_csv"] = (f"with {_rec_cte()} select nullif(question, '') as question, "
+                             f"nullif(answer, '') as answer, nullif(reference, '') as reference from rec")
+    summary = """list_sum(v) as n_tokens, len(list_filter(v, lambda x: x > 0))::INTEGER as n_buckets,
+               list_sum(list_transform(v, lambda x, i: x * i)) as weighted"""
+    s["embed_model"] = f"""with {_QA}, e as (select conv_id, turn, {_hvec('input')} as v from qa)
+        select conv_id, turn, {summary} from e"""
+    s["embed_distinct"] = f"""with e as (select conv_id, turn, case when text is not null then {_hvec('text')} end as v
+               from conversations) select conv_id, turn, {summary} from e"""
+    long = f"length(prompt) > {SI.ShortPrompts.limit}"
+    s["generate_errors"] = f"""with {_QC},
+        p as (select id as qid, {_fill_sql(P.BASELINE_TEMPLATE, question='input')} as prompt from qc)
+        select qid, case when {long} then {_lit(P.ERROR_PREFIX)} || 'prompt too long'
+                    else left(prompt, 5) || '|' || right(prompt, 9) end as answer,
+               case when {long} then 'prompt too long' end as error from p"""
+    many = f"len({_stmts('answer')}) > {SI.StrictJudge.limit}"
+    s["judge_errors"] = (f"with {_metrics_cte()} select qid, case when {many} then 'too many statements' end as error, "
+                         + ", ".join(f"case when not {many} then {_rd(m, 6)} end as {m}" for m in M.METRICS) + " from mt")
     return s
 
 
@@ -778,7 +873,7 @@ ret as (select qid, array_to_string(list(input order by pos), {_lit(PA.CONTEXT_J
 select q.id as qid,
        case when {given} then 'given' else 'retrieved' end as source,
        case when {given} then {_fill_sql(P.DOCUMENTS_TEMPLATE, context='gv.gd', question='q.input')}
-            else {_fill_sql(P.CONTEXT_TEMPLATE, reference='ret.rt', question='q.input')} end as prompt,
+            else {_fill_sql(P.CHAIN_TEMPLATE, context='ret.rt', question='q.input')} end as prompt,
        coalesce(case when {given} then gv.gfirst else ret.first_out end, '{_REFUSAL}') as answer
 from qc q left join gv on gv.qid = q.id left join ret on ret.qid = q.id"""
 

@@ -31,6 +31,9 @@ BASELINE_TEMPLATE = LAWYER_HEADER + "\n#Question:\n{question}\n\n#Answer:"
 
 CONTEXT_TEMPLATE = LAWYER_HEADER + "\n#Context:\n{reference}\n\n#Question:\n{question}\n\n#Answer:"
 
+#: The retrieval chain's prompt: the same header with Context / Question / Answer lines.
+CHAIN_TEMPLATE = LAWYER_HEADER + "\nContext: {context}\n\nQuestion: {question}\n\nAnswer:\n"
+
 REFERENCE_TEMPLATE = (
     "당신은 민법 전문가입니다. 다음 reference를 참고하여 Question에 답변해주세요.\n"
     "\n#Question:\n{question}\n\n#reference:\n{reference}\n\n#Answer:"
@@ -96,6 +99,11 @@ def context_prompt(reference: Column | str, question: Column | str) -> Column:
     return fill(CONTEXT_TEMPLATE, reference=reference, question=question)
 
 
+def chain_prompt(context: Column | str, question: Column | str) -> Column:
+    """C06, chain form: lawyer prompt with ``Context:`` and ``Question:`` lines."""
+    return fill(CHAIN_TEMPLATE, context=context, question=question)
+
+
 def reference_prompt(question: Column | str, reference: Column | str) -> Column:
     """Expert prompt with the scored reference block."""
     return fill(REFERENCE_TEMPLATE, question=question, reference=reference)

@@ -17,6 +17,7 @@ A real model stage is billed and not deterministic: materialise its output
 from __future__ import annotations
 
 import hashlib
+import random
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -64,17 +65,35 @@ class HashEmbedder:
         return [self._vector(t) for t in texts]
 
 
-def with_retry(call: Callable[[list[str]], list], batch: list[str], retries: int = RETRY_LIMIT,
-               sleep: Callable[[float], None] = time.sleep) -> list:
-    """Call with exponential waits 1, 2, 4, ... s; the last failure propagates."""
-    for attempt in range(1, retries + 1):
+class RateLimited(RuntimeError):
+    """Raised by a model client when the service asks to slow down."""
+
+
+#: Failures that another attempt can mend; bad input and bugs are raised at once.
+RETRYABLE = (RateLimited, ConnectionError, TimeoutError)
+
+
+def pauses(attempts: int = RETRY_LIMIT, first: float = 1.0, jitter: Callable[[], float] = random.random) -> Iterator[float]:
+    """Waiting times between attempts: doubling, each stretched by up to a tenth, so that tasks spread out."""
+    return (first * 2 ** i * (1 + jitter() / 10) for i in range(attempts - 1))
+
+
+def call_model(call: Callable[[list[str]], list], batch: list[str], *, attempts: int = RETRY_LIMIT,
+               retry_on: tuple[type[BaseException], ...] = RETRYABLE, sleep: Callable[[float], None] = time.sleep) -> list:
+    """One reply per input of ``batch``; repeats after failures of the kinds in ``retry_on``."""
+    waiting = pauses(attempts)
+    while True:
         try:
-            return call(batch)
-        except Exception:  # noqa: BLE001 - any model/client error is retried
-            if attempt == retries:
+            reply = list(call(batch))
+        except retry_on:
+            pause = next(waiting, None)
+            if pause is None:
                 raise
-            sleep(2 ** (attempt - 1))
-    raise AssertionError("unreachable")
+            sleep(pause)
+            continue
+        if len(reply) != len(batch):
+            raise ValueError(f"model returned {len(reply)} replies for {len(batch)} inputs")
+        return reply
 
 
 def hash_embed(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = 64) -> DataFrame:
@@ -85,7 +104,8 @@ def hash_embed(df: DataFrame, text_col: str, out_col: str = "embedding", dim: in
 def embed(df: DataFrame, text_col: str, out_col: str = "embedding", *,
           embedder: Embedder | Callable[[], Embedder] | None = None, dim: int = 64,
           batch_size: int = BATCH_SIZE, retries: int = RETRY_LIMIT,
-          max_concurrency: int | None = None, factory: bool = False) -> DataFrame:
+          max_concurrency: int | None = None, factory: bool = False,
+          retry_on: tuple[type[BaseException], ...] = RETRYABLE) -> DataFrame:
     """Embed ``text_col`` into ``out_col`` (``array<float>``), keeping every row.
 
     ``embedder=None`` uses the native hashing expression. Otherwise the embedder
@@ -108,8 +128,8 @@ def embed(df: DataFrame, text_col: str, out_col: str = "embedding", *,
                 chunk = texts[start:start + batch_size]
                 live = [i for i, t in enumerate(chunk) if t is not None]
                 if live:
-                    got = with_retry(model, [chunk[i] for i in live], retries)
-                    for i, v in zip(live, got):
+                    got = call_model(model, [chunk[i] for i in live], attempts=retries, retry_on=retry_on)
+                    for i, v in zip(live, got, strict=True):
                         vecs[start + i] = None if v is None else np.asarray(v, dtype=np.float32)
             yield pdf.assign(**{out_col: vecs})
 
@@ -117,7 +137,13 @@ def embed(df: DataFrame, text_col: str, out_col: str = "embedding", *,
 
 
 def embed_distinct(df: DataFrame, text_col: str, out_col: str = "embedding", **kw) -> DataFrame:
-    """Embed each distinct text once and join the vectors back by text."""
-    texts = df.select(text_col).where(F.col(text_col).isNotNull()).distinct()
-    vecs = embed(texts, text_col, out_col, **kw)
-    return df.join(vecs, text_col, "left")
+    """Embed each distinct text once and join the vectors back by text.
+
+    Rows without a text don't take part in the join. A text that fills a large
+    share of the rows is on the probing side of an inner equi-join, which
+    adaptive execution splits.
+    """
+    with_text = df.where(F.col(text_col).isNotNull())
+    vecs = embed(with_text.select(text_col).distinct(), text_col, out_col, **kw)
+    without = df.where(F.col(text_col).isNull()).withColumn(out_col, F.lit(None).cast(vecs.schema[out_col].dataType))
+    return with_text.join(vecs, text_col).select(*df.columns, out_col).unionByName(without)

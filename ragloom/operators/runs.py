@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts as P
 from ..plans import evaluation as EV
+from ..session import cut_lineage
 from . import metrics as M
 
 # The k of the reference's evaluation scripts, plus the numpy search default
@@ -25,6 +26,7 @@ SWEEP_KS = (1, 3, 4, 5)
 
 def sweep_records(questions: DataFrame, hits: DataFrame, ks=SWEEP_KS) -> DataFrame:
     """Records per ``(run_id, qid)`` for every k, from hits retrieved once at ``max(ks)``."""
+    hits = cut_lineage(hits)              # read once per run's contexts and once per answer
     runs = F.explode(F.array(*[F.lit(int(k)) for k in ks]))
     h = hits.select("*", runs.alias("_k")).where(F.col("rk") <= F.col("_k"))
     h = h.withColumn("run_id", F.concat(F.lit("k="), F.col("_k").cast("string"))).drop("_k")

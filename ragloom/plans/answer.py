@@ -51,7 +51,7 @@ def routed_prompts(corpus: DataFrame, questions: DataFrame, given: DataFrame | N
         F.when(use_given, F.lit("given")).otherwise(F.lit("retrieved")).alias("source"),
         F.when(use_given, F.col("_gfirst")).otherwise(F.element_at("_r", 1)["output"]).alias("first_context"),
         F.when(use_given, messages[1]["content"])
-         .otherwise(P.context_prompt(ret_text, "question")).alias("prompt"))
+         .otherwise(P.chain_prompt(ret_text, "question")).alias("prompt"))
 
 
 def answer(corpus: DataFrame, questions: DataFrame, given: DataFrame | None = None, *,

@@ -17,6 +17,7 @@ from ..operators import embed as E
 from ..operators import generate as G
 from ..operators import metrics as M
 from ..operators import topk as K
+from ..session import cut_lineage
 
 EVAL_K = 3
 
@@ -43,7 +44,8 @@ def records(questions: DataFrame, hits: DataFrame, keys=("qid",), generator=None
            .withColumn("prompt", P.context_prompt(CX.join_contexts("contexts"), "question")))
     if generator is None:
         return rec.withColumn("answer", G.stand_in_answer("contexts"))
-    return G.generate(rec, "prompt", generator=generator).drop("error")
+    # several metrics read the answers: a model is asked once
+    return cut_lineage(G.generate(rec, "prompt", generator=generator).drop("error"))
 
 
 def evaluate(corpus: DataFrame, questions: DataFrame, k: int = EVAL_K, *,

@@ -34,19 +34,33 @@ class Flaky:
     def __call__(self, texts):
         self.n += 1
         if self.n <= 2:
-            raise RuntimeError("rate limited")
+            raise E.RateLimited("slow down")
         return [[float(len(t))] for t in texts]
 
 
 def test_retry_with_backoff():
     waits = []
     flaky = Flaky()
-    assert E.with_retry(flaky, ["ab"], retries=5, sleep=waits.append) == [[2.0]]
-    assert waits == [1, 2]
+    assert E.call_model(flaky, ["ab"], attempts=5, sleep=waits.append) == [[2.0]]
+    assert [int(w) for w in waits] == [1, 2] and all(w <= 1.1 * int(w) for w in waits)
     always = Flaky()
     always.n = -100
-    with pytest.raises(RuntimeError):
-        E.with_retry(always, ["x"], retries=3, sleep=lambda s: None)
+    with pytest.raises(E.RateLimited):
+        E.call_model(always, ["x"], attempts=3, sleep=lambda s: None)
+
+
+def test_other_failures_and_short_replies_are_raised_at_once():
+    calls = []
+
+    def broken(batch):
+        calls.append(batch)
+        raise KeyError("bad input")
+
+    with pytest.raises(KeyError):
+        E.call_model(broken, ["x"], sleep=lambda s: pytest.fail("no waiting"))
+    assert len(calls) == 1
+    with pytest.raises(ValueError):
+        E.call_model(lambda b: [[1.0]], ["x", "y"])
 
 
 def test_batches_keep_order_and_nulls(spark):
@@ -63,6 +77,7 @@ def test_batches_keep_order_and_nulls(spark):
 
 
 def test_embed_distinct_texts_once(spark):
-    df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c")], "k int, t string")
+    df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c"), (4, None), (5, None)], "k int, t string")
     out = E.embed_distinct(df, "t", "v", dim=8).orderBy("k").collect()
     assert out[0].v == out[1].v and out[0].v != out[2].v
+    assert [r.v for r in out[3:]] == [None, None]
