@@ -39,6 +39,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def semi_join(df: DataFrame, ids: DataFrame, col: str, max_ids: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """Rows of ``df`` whose ``col`` is in ``ids(col)``; wide rows stay in place while the ids are counted to fit."""
+    ids = ids.select(col).distinct()
+    return df.join(F.broadcast(ids) if ids.count() <= max_ids else ids, col, "left_semi")
+
+
 def text_or_empty(col: str | Column) -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -41,6 +41,8 @@ OVER = 3
 #: Factor between the lengths of neighbouring length partitions.
 STEP = 1.25
 ROWS_PER_BUCKET = 4000
+#: Buckets of ids at most (their bounds are constants of the plan); beyond, buckets hold more rows.
+MAX_BUCKETS = 20_000
 NO_ID = -(1 << 63)
 _MARK = "\u0001"
 
@@ -100,7 +102,7 @@ def fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "spots") -
 def bucket_bounds(docs: DataFrame, id_col: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[int]:
     """Ascending ids that cut the table into buckets of about ``rows_per_bucket`` rows."""
     n = docs.count()
-    k = n // rows_per_bucket
+    k = min(n // rows_per_bucket, MAX_BUCKETS)
     if k < 1:
         return []
     at = F.transform(

@@ -12,7 +12,8 @@ don't depend on summation details of the platform.
 
 Only built-in functions run. The corpus is read twice (counts, then scores);
 the counts are combined before the shuffle and only ``BUCKETS`` sums reach the
-driver. The trusted texts are found by one semi-join on the document id.
+driver. The trusted texts are found by a semi-join on the document id, whose
+ids are broadcast where they are counted to fit.
 
 Defined cases: a null text is empty (all counts 0, base failed, score null); a
 trusted set without words gives every document the score 0; repeated rows are
@@ -27,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_documents, text_or_empty
+from .common import read_documents, semi_join, text_or_empty
 from .native import let
 
 SPACES = " \t\n\u000b\f\r"
@@ -125,6 +126,6 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document; trusted are the documents labelled with quality 1."""
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
     trusted = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").where("quality = 1").select("doc_id")
-    table = ratios(gram_counts(docs.join(trusted, "doc_id", "left_semi")), gram_counts(docs))
+    table = ratios(gram_counts(semi_join(docs, trusted, "doc_id")), gram_counts(docs))
     return judge(docs, table).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                      "base_failed", "kept", "llr")

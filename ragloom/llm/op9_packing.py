@@ -54,11 +54,34 @@ SLICE_ROWS = 64
 # token pieces
 # ---------------------------------------------------------------------------
 
+#: Marks that end a chunk: behind a letter or digit they are a pre-token of their own.
+MARKS = ".,;:!?#*$%&)"
+
+
+class _Memo:
+    """Bounded memo in two generations."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def lacks(self, keys: set[str]) -> set[str]:
+        """Those of ``keys`` that are unknown; the others are in ``young`` afterwards."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        missing = {k for k in keys if k not in self.young}
+        known = missing & self.old.keys()
+        self.young.update((k, self.old[k]) for k in known)
+        return missing - known
+
+
 class WordTokenizer:
-    """The tokenizers library behind a bounded memo of blank-separated chunks.
+    """The tokenizers library behind bounded memos of blank-separated chunks and their words.
 
     White space separates pre-tokens and is dropped, so a text's ids are the
-    ids of its chunks one after the other.
+    ids of its chunks one after the other. A chunk is a word and the marks
+    behind it; an ASCII word is looked up in lower case, as the tokenizer
+    lowers it itself (chunks with ``<`` may hold special tokens and are left
+    alone).
     """
 
     def __init__(self, spec: str):
@@ -67,19 +90,35 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.memo: dict[str, bytes] = {"": b""}
+        self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.chunks, self.words = _Memo(CACHE_CHUNKS), _Memo(CACHE_CHUNKS)
+
+    @staticmethod
+    def _parts(chunk: str) -> tuple[str, ...]:
+        if "<" in chunk:
+            return (chunk,)
+        word = chunk.rstrip(MARKS)
+        if not word or not word[-1].isalnum():
+            word = chunk
+        marks = chunk[len(word):]
+        if word.isascii():
+            word = word.lower()
+        return (word, marks) if marks else (word,)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > CACHE_CHUNKS:
-            self.memo = {"": b""}
-        memo = self.memo
-        missing = list({c for chunks in split for c in chunks if c not in memo})
-        own: dict[str, bytes] = {}
+        missing = self.chunks.lacks({c for chunks in split for c in chunks})
+        memo, own = self.chunks.young, {}
         if missing:
-            for c, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                (memo if len(c) <= CACHE_CHARS else own)[c] = np.array(e.ids, "<u4").tobytes()
+            parts = {c: self._parts(c) for c in missing}
+            new = list(self.words.lacks({p for ps in parts.values() for p in ps}))
+            words, long = self.words.young, {}
+            for w, e in zip(new, self.encode_batch(new, add_special_tokens=False), strict=True):
+                (words if len(w) <= CACHE_CHARS else long)[w] = np.array(e.ids, "<u4").tobytes()
+            for c, ps in parts.items():
+                (memo if len(c) <= CACHE_CHARS else own)[c] = b"".join(
+                    [long[p] if p in long else words[p] for p in ps])
         if own:
             return [b"".join([own[c] if c in own else memo[c] for c in chunks]) for chunks in split]
         return [b"".join(map(memo.__getitem__, chunks)) for chunks in split]
