@@ -56,7 +56,7 @@ def bucket_counts(bucket_ids: Column, dim: int) -> Column:
     """
     return let(bucket_ids, lambda bs: F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("float")))
+        lambda i: (F.size(bs) - F.size(F.array_remove(bs, i))).cast("float")))
 
 
 @cached_column

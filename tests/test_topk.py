@@ -242,3 +242,60 @@ def test_one_question_at_a_time_equals_batched(spark):
                                one, 5, exclude_col="self_id")
         single += [(r.qid, r.rank, r.id, round(r.score, 9)) for r in hits.orderBy("rank").collect()]
     assert single == batched and len(single) == 25
+
+
+def test_question_sets_over_the_byte_bound_at_1536_dimensions(spark):
+    """Every form answers, and answers the same, when the question matrix exceeds the byte bound."""
+    rng = np.random.default_rng(5)
+    dim = 1536
+    corpus = spark.createDataFrame([(i, rng.normal(size=dim).tolist()) for i in range(120)],
+                                   "id long, embedding array<double>")
+    q = spark.createDataFrame([(i, rng.normal(size=dim).tolist()) for i in range(40)], "qid long, qvec array<double>")
+    want = _rows(K.top_k(corpus, q, 3, form="broadcast"))
+    small = 10 * 8 * dim
+    for form in ("auto", "scan_blocks", "blocked"):
+        got = _rows(K.top_k(corpus, q, 3, form=form, max_broadcast_bytes=small, query_block_rows=7,
+                            corpus_block_rows=50))
+        assert got == want
+    big = corpus.unionByName(corpus.withColumn("id", F.col("id") + 1000)).unionByName(
+        corpus.withColumn("id", F.col("id") + 2000)).unionByName(corpus.withColumn("id", F.col("id") + 3000))
+    assert _rows(K.top_k(big, q, 3, form="auto", max_broadcast_bytes=small)) == _rows(K.top_k(big, q, 3))
+
+
+def test_repeated_and_null_ids_keep_their_payload(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "b"), (1, [0.9, 0.1], "c"), (None, [1.0, 0.1], "n"),
+                                    (None, [1.0, 0.1], None), (2, [0.0, 1.0], "d")],
+                                   "id long, embedding array<double>, t string")
+    q = spark.createDataFrame([(7, [1.0, 0.0], 1), (8, [1.0, 0.0], None), (9, [1.0, 0.0], 1)],
+                              "qid long, qvec array<double>, self_id long")
+
+    def rows(**kw):
+        got = K.top_k(corpus.coalesce(1), q, 4, payload=["t"], **kw).collect()
+        return sorted((r.qid, r.id or 0, round(r.score, 9), r.t or "") for r in got)
+
+    carried = rows(late_payload=False)
+    assert len(carried) == 12 and carried == rows(late_payload=True)
+    excluded = rows(late_payload=False, exclude_col="self_id")
+    assert [r[0] for r in excluded].count(7) == 3 and [r[0] for r in excluded].count(8) == 4
+    assert not any(r[0] in (7, 9) and r[1] == 1 for r in excluded)
+    assert excluded == rows(late_payload=True, exclude_col="self_id")
+
+
+def test_all_null_scores_and_ties(spark):
+    corpus = spark.createDataFrame([(i, [0.0, 0.0]) for i in range(30)], "id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "qid long, qvec array<double>")
+    for form in ("broadcast", "blocked", "scan_blocks"):
+        got = K.top_k(corpus, q, 4, form=form).collect()
+        assert sorted((r.qid, r.rk, r.id, r.score) for r in got) == [
+            (x, i + 1, i, None) for x in (1, 2) for i in range(4)]
+
+
+def test_per_question_k_is_met_in_full(spark):
+    corpus = spark.createDataFrame([(i, [1.0, float(i)], f"o{i}") for i in range(20)],
+                                   "id long, embedding array<double>, output string")
+    q = spark.createDataFrame([(1, [1.0, 0.0], 8), (2, [1.0, 0.0], None), (3, [1.0, 0.0], 50)],
+                              "qid long, qvec array<double>, k int")
+    got = K.search_per_question_k(corpus, q, default_k=3).groupBy("qid").count().collect()
+    assert {r["qid"]: r["count"] for r in got} == {1: 8, 2: 3, 3: 20}
+    with pytest.raises(ValueError):
+        K.search_per_question_k(corpus, q.withColumn("k", F.lit(0)))
