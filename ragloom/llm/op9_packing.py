@@ -98,7 +98,8 @@ class WordTokenizer:
         if "<" in chunk:
             return (chunk,)
         word = chunk.rstrip(MARKS)
-        if not word or not word[-1].isalnum():
+        # lowering may put a combining mark behind a letter, which then joins the marks
+        if not word or not word[-1].lower()[-1].isalnum():
             word = chunk
         marks = chunk[len(word):]
         if word.isascii():
