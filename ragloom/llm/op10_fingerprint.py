@@ -105,8 +105,7 @@ def bucket_bounds(docs: DataFrame, id_col: str, rows_per_bucket: int = ROWS_PER_
     k = min(n // rows_per_bucket, MAX_BUCKETS)
     if k < 1:
         return []
-    at = F.transform(
-        F.sequence(F.lit(1), F.lit(k)), lambda i: i / F.lit(k + 1.0))
+    at = F.split(F.lit(",".join(str(i / (k + 1)) for i in range(1, k + 1))), ",").cast("array<double>")
     got = docs.select(F.percentile_approx(id_col, at, F.lit(10 * (k + 1)))).first()[0]
     return sorted(set(got or ()))
 
