@@ -6,29 +6,33 @@ the tokens, linked sets share a token within a prefix of each set, so a
 candidate must pass under every order; the filters are intersected before the
 full sets are compared:
 
-* order 1 (the join): rare tokens first, ties by hash. The shorter set indexes
-  its first n - ceil(8n/9) + 1 tokens, the longer one is probed with its first
-  m - ceil(0.8 m) + 1.
-* order 1, counted: the two prefixes must share as many tokens as the needed
-  overlap leaves no room for behind them.
-* order 2: the same with ties by another hash.
-
-Rarity comes from a count sketch over the shingles of all documents (2**22
+* order 1: tokens that a sketch counts as rare first, ties by hash. The prefix of
+  a set of n has its first n - ceil(0.8 n) + 1 + n // 10 tokens; linked sets of
+  n and m share 1 + min(n, m) // 10 or more of these.
+* order 2: the prefix tokens by their exact number of documents. A set of n
+  leaves out its ceil(0.8 n) // 10 commonest ones; as linked sets share more
+  than that, they still share a token (the join). The shared ones are counted:
+  as many are needed as the overlap leaves no room for elsewhere.
+* order 3: as order 1 with ties by another hash, before the sets are compared.
+
+Rarity comes from a count sketch over the shingles of all documents (2**24
 counters whatever the input's size). It only steers the order; results don't
 depend on it.
 
 Near copies come in groups of any size, so no group is expanded into pairs:
 
 1. equal sets are one class, represented by its smallest doc_id;
-2. documents meet in buckets (one per prefix token). A bucket of up to
-   ``SMALL`` members gives its pairs; a larger one compares all members with
-   one pivot. Verified links give components;
-3. a bucket whose members are in one component is done. Others get further
-   pivots, then, for what is left, all pairs of different components. A pair
-   within one component needs no check, as it can't change a component.
+2. documents meet in buckets (one per prefix token). In each round every
+   member of a bucket is held against a few pivots; pairs that share enough
+   prefix tokens are verified. Documents connected so far get one label;
+3. a bucket whose members have one label is done. For what is left after the
+   pivot rounds, all pairs with different labels are counted over their shared
+   buckets and those that pass the counted filter are verified. A pair with
+   one label needs no check, as it can't change a component.
 
 Every step is a Spark job over tables in the shared folder; candidates, links
-and components never reach the driver, which sees the sketch only (16 MB).
+and components never reach the driver, which sees the levels of the sketch
+only (16 MB). Texts are read once per round, for the documents of its pairs.
 
 Defined cases: null text, and text without words, is an empty set that links
 with nothing; rows with one doc_id are one document to the components; a null
@@ -51,9 +55,16 @@ from .common import connected_components, materialize, read_documents
 WORDS = 5
 #: Similarity as a fraction: NUM / DEN of the union.
 NUM, DEN = 80, 100
-SMALL = 8
+#: Prefixes are longer by n / SPARE tokens than one shared token needs.
+SPARE = 10
 PIVOT_ROUNDS = 2
-SKETCH_BITS = 22
+#: Pivots of a bucket in a round; with up to so many members a bucket mostly gives all its pairs.
+PIVOTS = 16
+SKETCH_BITS = 24
+#: Tokens that a task gathers before they are added up.
+HELD = 1 << 22
+#: Documents of a round's pairs that are broadcast to find their texts (8 MB); beyond, they are joined.
+MAX_BROADCAST_NODES = 1_000_000
 SLICES = 64
 MEMO_WORDS = 400_000
 
@@ -93,13 +104,13 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def probe_size(n: int) -> int:
-    """Prefix in which a set of n finds any linked set that is not longer."""
-    return n - -(-NUM * n // DEN) + 1
+    """Prefix of a set of n: linked sets of n and m share at least 1 + min(n, m) // SPARE tokens of theirs."""
+    return n - -(-NUM * n // DEN) + 1 + n // SPARE
 
 
-def index_size(n: int) -> int:
-    """Prefix in which a set of n is found by any linked set that is not shorter."""
-    return n - -(-2 * NUM * n // (NUM + DEN)) + 1
+def dropped(n: int) -> int:
+    """Commonest prefix tokens that a set of n may leave out, whatever the linked set's size."""
+    return -(-NUM * n // DEN) // SPARE
 
 
 def in_order(sets: np.ndarray, levels: np.ndarray, seed: int) -> np.ndarray:
@@ -126,39 +137,40 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 # sets and the rarity sketch
 # ---------------------------------------------------------------------------
 
-def _scan(docs: DataFrame) -> DataFrame:
-    """One pass: ``(doc_id, n, sig)`` of each document and, per partition, the slices of its sketch."""
-    def run(batches):
-        size = 1 << SKETCH_BITS
-        sketch, held, held_n = np.zeros(size, np.uint32), [], 0
+def _slices(held: list[np.ndarray]):
+    """Counts of the gathered tokens by counter, as compressed slices (counts above 255 are clipped)."""
+    at, counts = np.unique(np.concatenate(held), return_counts=True)
+    sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
+    sketch[at] = np.minimum(counts, 255)
+    parts = [(i, part) for i, part in enumerate(np.split(sketch, SLICES)) if part.any()]
+    return pa.RecordBatch.from_arrays(
+        [pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.binary()),
+         pa.array([i for i, _ in parts], pa.int32()),
+         pa.array([zlib.compress(part.tobytes(), 1) for _, part in parts], pa.binary())],
+        names=["doc_id", "n", "sig", "slice", "counts"])
 
-        def add():
-            nonlocal sketch, held, held_n
-            if held:
-                sketch += np.bincount(np.concatenate(held), minlength=size).astype(np.uint32)
-                held, held_n = [], 0
 
+def _scan(docs: DataFrame) -> DataFrame:
+    """One pass: ``(doc_id, n, sig)`` of each document and slices of the sketch of each task's tokens."""
+    def run(batches):
+        held, held_n = [], 0
         for batch in batches:
             ns, sigs = [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
                 ns.append(len(s))
                 sigs.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                held.append((s & np.uint64(size - 1)).astype(np.int64))
+                held.append((s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int32))
                 held_n += len(s)
-            if held_n > size:
-                add()
             k = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()),
                  pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["doc_id", "n", "sig", "slice", "counts"])
-        add()
-        for i, part in enumerate(np.split(sketch, SLICES)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
-                     pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())],
-                    names=["doc_id", "n", "sig", "slice", "counts"])
+            if held_n >= HELD:
+                yield _slices(held)
+                held, held_n = [], 0
+        if held_n:
+            yield _slices(held)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") \
         .mapInArrow(run, "doc_id long, n long, sig binary, slice int, counts binary")
@@ -166,25 +178,29 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 def _levels(scanned: DataFrame) -> np.ndarray:
     """Rarity level of each counter: 0 within the noise of the mean, then by powers of two above it."""
+    mean = float(scanned.agg(F.sum("n")).first()[0] or 0) / (1 << SKETCH_BITS)
+    noise = 4 * mean ** 0.5 + 2
+
     def merge(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(blob), np.uint32)
-                total[i] = total[i] + part if i in total else part.astype(np.uint64)
+                part = np.frombuffer(zlib.decompress(blob), np.uint8)
+                if i not in total:
+                    total[i] = np.zeros(len(part), np.uint64)
+                total[i] += part
         for i, counts in total.items():
+            above = np.maximum(counts - mean, 0) / noise
+            level = np.where(above <= 1, 0, 1 + np.floor(np.log2(np.maximum(above, 1)))).clip(0, 63)
             yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()),
-                                              "counts": pa.array([counts.tobytes()], pa.binary())})
+                                              "level": pa.array([level.astype(np.uint8).tobytes()], pa.binary())})
 
     rows = scanned.where(F.col("slice").isNotNull()).select("slice", "counts").repartition(SLICES, "slice") \
-        .mapInArrow(merge, "slice int, counts binary").collect()
-    counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint64)
+        .mapInArrow(merge, "slice int, level binary").toLocalIterator()
+    levels = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
     for r in rows:
-        counts[r["slice"]] = np.frombuffer(r["counts"], np.uint64)
-    counts = counts.reshape(-1).astype(float)
-    noise = 4 * np.sqrt(counts.mean()) + 2
-    above = np.maximum(counts - counts.mean(), 0) / noise
-    return np.where(above <= 1, 0, 1 + np.floor(np.log2(np.maximum(above, 1)))).clip(0, 63).astype(np.uint8)
+        levels[r["slice"]] = np.frombuffer(r["level"], np.uint8)
+    return levels.reshape(-1)
 
 
 def _prefixes(docs: DataFrame, levels) -> DataFrame:
@@ -207,8 +223,8 @@ def _prefixes(docs: DataFrame, levels) -> DataFrame:
         .mapInArrow(run, "doc_id long, sig binary, n long, tokens array<long>")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
-    """The linked ones among ``pairs(a, b)``; ``texts(node, text)`` holds one text of each node."""
+def _verify(pairs: DataFrame, docs: DataFrame, levels) -> DataFrame:
+    """The linked ones among ``pairs(a, b)`` of doc_ids."""
     def run(batches):
         last: tuple = (None, None)
         for batch in batches:
@@ -224,39 +240,82 @@ def _verify(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
                     gb.append(b)
             yield pa.RecordBatch.from_pydict({"a": pa.array(ga, pa.int64()), "b": pa.array(gb, pa.int64())})
 
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    if nodes.count() <= MAX_BROADCAST_NODES:
+        nodes = F.broadcast(nodes)
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
+    texts = materialize(texts, "candidate-texts")
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b") \
         .join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a") \
         .select("a", "b", "ta", "tb")
     return both.mapInArrow(run, "a long, b long")
 
 
-def _relevant(x: str, y: str):
-    """Whether two bucket members can link: sizes fit and the shorter one is indexed here."""
-    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    ix, iy = F.col(f"{x}.indexed"), F.col(f"{y}.indexed")
-    return (nx * DEN >= ny * NUM) & (ny * DEN >= nx * NUM) & \
-        F.when(nx < ny, ix).when(nx > ny, iy).otherwise(ix & iy) & (F.col(f"{x}.node") != F.col(f"{y}.node"))
+def _shared(joined: DataFrame, x: str, y: str) -> DataFrame:
+    """``(a, b)`` of the joined bucket members that share enough prefix tokens (the counted filter).
 
+    Sets of n and m tokens with prefixes of p and q tokens share at most
+    (shared prefix tokens) + max(n - p, m - q); of the shared prefix tokens the
+    sets leave out at most as many as the larger one does, as both leave out
+    the last ones of one order.
+    """
+    def behind(n):
+        return F.ceil(n * NUM / DEN) - 1 - F.floor(n / SPARE)
 
-def _as_pairs(joined: DataFrame, x: str, y: str) -> DataFrame:
-    return joined.select(F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b"))
+    def out(n):
+        return F.floor(F.ceil(n * NUM / DEN) / SPARE)
+
+    low = F.col(f"{x}.node") < F.col(f"{y}.node")
+    rows = joined.select(
+        F.when(low, F.col(f"{x}.node")).otherwise(F.col(f"{y}.node")).alias("a"),
+        F.when(low, F.col(f"{y}.node")).otherwise(F.col(f"{x}.node")).alias("b"),
+        F.col(f"{x}.n").alias("n"), F.col(f"{y}.n").alias("m"))
+    need = F.ceil((F.col("n") + F.col("m")) * NUM / (NUM + DEN)) - F.greatest(behind(F.col("n")), behind(F.col("m"))) \
+        - F.greatest(out(F.col("n")), out(F.col("m")))
+    return rows.groupBy("a", "b").agg(F.count("*").alias("k"), F.first(F.greatest(need, F.lit(1))).alias("need")) \
+        .where(F.col("k") >= F.col("need")).select("a", "b")
+
+
+def _fits(x: str, y: str):
+    """Whether the sizes of two bucket members allow a link, and their labels differ."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (nx * DEN >= ny * NUM) & (ny * DEN >= nx * NUM) & (F.col(f"{x}.label") != F.col(f"{y}.label"))
 
 
 def _pivot_pairs(buckets: DataFrame, seed: int) -> DataFrame:
-    """Every member of a bucket with the bucket's pivot (smallest hash of the node and ``seed``)."""
-    pivot = buckets.groupBy("token").agg(F.min_by(
-        F.struct("node", "n", "indexed", "comp"), F.xxhash64("node", F.lit(seed))).alias("p"))
-    return _as_pairs(buckets.alias("m").join(pivot, "token").where(
-        (F.col("m.comp") != F.col("p.comp")) & _relevant("m", "p")), "m", "p")
+    """Every member of a bucket with the bucket's pivots: of each hash class of nodes the smallest hash.
+
+    A pivot is mostly the same in all buckets of a group, so that its shared
+    tokens are counted; a pair that is missed here is found among all pairs
+    later. Work is linear in the members.
+    """
+    h = F.xxhash64("node", F.lit(seed))
+    pivot = buckets.groupBy("token", F.pmod(h, F.lit(PIVOTS)).alias("class")).agg(
+        F.min_by(F.struct("node", "n", "label"), h).alias("p")).select("token", "p.*")
+    # of two pivots of a bucket only the pair in one direction
+    is_pivot = pivot.select("token", F.col("node"), F.lit(True).alias("chief"))
+    members = buckets.join(is_pivot, ["token", "node"], "left")
+    once = F.col("m.chief").isNull() | (F.col("m.node") < F.col("p.node"))
+    return _shared(members.alias("m").join(pivot.alias("p"), "token").where(once & _fits("m", "p")), "m", "p")
 
 
 def _all_pairs(buckets: DataFrame) -> DataFrame:
-    """All pairs of different components: members outside a bucket's largest component with all members."""
-    sizes = buckets.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    outside = buckets.join(main, "token").where(F.col("comp") != F.col("main"))
-    return _as_pairs(buckets.alias("m").join(outside.alias("o"), "token").where(
-        (F.col("m.comp") != F.col("o.comp")) & _relevant("m", "o")), "m", "o")
+    """All pairs with different labels: members outside a bucket's commonest label with all members."""
+    sizes = buckets.groupBy("token", "label").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    outside = buckets.join(main, "token").where(F.col("label") != F.col("main"))
+    once = (F.col("m.label") == F.col("o.main")) | (F.col("m.node") < F.col("o.node"))
+    return _shared(buckets.alias("m").join(outside.alias("o"), "token").where(once & _fits("m", "o")), "m", "o")
+
+
+def _open_buckets(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Bucket members with their label, in buckets that have more than one label."""
+    if labels is None:
+        return buckets.withColumn("label", F.col("node"))
+    state = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = Window.partitionBy("token")
+    return materialize(state.withColumns({"lo": F.min("label").over(own), "hi": F.max("label").over(own)})
+                       .where(F.col("lo") != F.col("hi")).drop("lo", "hi"), "open-buckets")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -269,48 +328,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         .groupBy("sig").agg(F.min("doc_id").alias("node"))
     classes = materialize(classes, "set-classes")
     reps = classes.select(F.col("node").alias("doc_id"), "sig")
-    # repeated rows give equal prefixes: one is enough
+    # one prefix of a class: repeated rows of its first document give equal ones
     prefixes = _prefixes(docs, levels).join(reps, ["doc_id", "sig"])
-    rows = prefixes.select(F.col("doc_id").alias("node"), "n", F.posexplode("tokens").alias("pos", "token"))
-    size = F.col("n") - F.ceil(F.col("n") * 2 * NUM / (NUM + DEN)) + 1
-    rows = rows.select("token", "node", "n", (F.col("pos") < size).alias("indexed"))
+    rows = prefixes.select(F.col("doc_id").alias("node"), "n", F.explode("tokens").alias("token"))
     own = Window.partitionBy("token")
-    buckets = rows.withColumns({"members": F.count("*").over(own), "found": F.max("indexed").over(own)}) \
-        .where((F.col("members") > 1) & F.col("found")).drop("found")
+    buckets = rows.select("token", "node", "n") \
+        .withColumn("members", F.count("*").over(own)).where("members > 1")
+    # tokens of one document only are the rarest, so a set's commonest ones are found without them
+    common = Window.partitionBy("node").orderBy(F.col("members").desc(), F.col("token").desc())
+    buckets = buckets.withColumn("nth", F.row_number().over(common)) \
+        .where(F.col("nth") > F.floor(F.ceil(F.col("n") * NUM / DEN) / SPARE)).select("token", "node", "n")
     buckets = materialize(buckets, "buckets")
-    nodes = buckets.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
-    texts = materialize(texts, "candidate-texts")
 
-    comps = None
-    links = done = None
+    labels = None
     for round_ in range(PIVOT_ROUNDS + 1):
-        if comps is None:
-            state = buckets.withColumn("comp", F.col("node"))
-            small = state.where(F.col("members") <= SMALL)
-            pairs = _as_pairs(small.alias("x").join(small.alias("y"), "token").where(
-                (F.col("x.node") < F.col("y.node")) & _relevant("x", "y")), "x", "y") \
-                .unionByName(_pivot_pairs(state.where(F.col("members") > SMALL), 0))
-        else:
-            state = buckets.where(F.col("members") > SMALL).join(comps, "node", "left") \
-                .withColumn("comp", F.coalesce("comp", "node"))
-            open_ = state.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-                .where(F.col("lo") != F.col("hi")).select("token")
-            state = materialize(state.join(open_, "token", "left_semi"), "open-buckets")
-            pairs = _pivot_pairs(state, round_) if round_ < PIVOT_ROUNDS else _all_pairs(state)
-        pairs = pairs.distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        state = _open_buckets(buckets, labels)
+        pairs = _pivot_pairs(state, round_) if round_ < PIVOT_ROUNDS else _all_pairs(state)
         pairs = materialize(pairs, "candidate-pairs")
-        if round_ and pairs.isEmpty():
-            if round_ < PIVOT_ROUNDS:
-                continue
-            break
-        done = pairs if done is None else done.unionByName(pairs)
-        new = materialize(_verify(pairs, texts, levels), "links")
-        links = new if links is None else links.unionByName(new)
-        comps = materialize(connected_components(links), "components")
-
+        new = materialize(_verify(pairs, docs, levels), "links")
+        if labels is not None:
+            # a component found so far is a star around its label
+            new = new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        labels = materialize(connected_components(new, comp="label"), "labels")
+    comps = labels.withColumnRenamed("label", "comp")
     member = sets.join(classes, "sig", "left").join(comps, "node", "left")
     return member.select("doc_id", F.col("n").alias("n_shingles"),
                          F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node", "doc_id"))

@@ -72,12 +72,32 @@ def test_prefix_filters_lose_no_link():
         if J.linked(a, b):
             checked += 1
             assert J.may_link(a, b, levels, 1) and J.may_link(a, b, levels, 2)
-            s, t = (a, b) if len(a) <= len(b) else (b, a)
-            index = set(J.in_order(s, levels, 1)[:J.index_size(len(s))].tolist())
-            assert index & set(J.in_order(t, levels, 1)[:J.probe_size(len(t))].tolist())
     assert checked > 300
 
 
+def test_linked_sets_share_more_than_they_leave_out():
+    rnd = random.Random(12)
+    levels = np.zeros(1 << 10, np.uint8)
+    checked = 0
+    for _ in range(2000):
+        base = [rnd.getrandbits(64) for _ in range(rnd.randint(1, 150))]
+        other = [x for x in base if rnd.random() < 0.95] + [rnd.getrandbits(64) for _ in range(rnd.randint(0, 8))]
+        if not other:
+            continue
+        a, b = (np.unique(np.array(x, np.uint64)) for x in (base, other))
+        if not J.linked(a, b):
+            continue
+        checked += 1
+        pa_, pb = (J.in_order(x, levels, 1)[:J.probe_size(len(x))].tolist() for x in (a, b))
+        assert len(set(pa_) & set(pb)) >= 1 + min(len(a), len(b)) // J.SPARE
+        rarity = {t: rnd.random() for t in set(pa_) | set(pb)}
+        ra, rb = ({t for t in sorted(p, key=rarity.get)[:len(p) - J.dropped(n)]} for p, n in ((pa_, len(a)), (pb, len(b))))
+        need = -(-J.NUM * (len(a) + len(b)) // (J.NUM + J.DEN)) - max(
+            len(a) - len(pa_), len(b) - len(pb)) - max(J.dropped(len(a)), J.dropped(len(b)))
+        assert len(ra & rb) >= max(1, need)
+    assert checked > 500
+
+
 def test_shingles_are_the_brute_ones():
     for text in ("", None, "A b", "a b c d e", "a b c d e f a b c d e", "É x\x0by\x0cz\tw v u"):
         assert len(J.shingles(text)) == len(shingle_set(text))
