@@ -23,7 +23,9 @@ corpus is not needed for that: only strings that occur twice matter.
 
 Texts meet the runs by one join on the document; contexts by another. Blocks
 bound the memory of a task. An anchor with more than ``BUCKET`` distinct
-contexts is split over tasks by window offset, which equal windows share.
+contexts is not sorted by suffixes: its windows are dealt one by one by a
+128-bit hash of their bytes, without the bytes, and equal hashes are read in
+document order, of which only the first is held.
 
 Defined cases: null and empty texts have no bytes and lose none; texts under
 100 bytes stay whole; identical rows (same doc_id and text) are one document
@@ -54,6 +56,9 @@ _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE_VALUES = np.array([pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) ^ (i * 0x632BE59BD9B4E019 & _MASK)
                          for i in range(256)], np.uint64)
+#: Values of a second hash.
+_OTHER_VALUES = np.array([pow(0xBF58476D1CE4E5B9, i + 1, 1 << 64) ^ (i * 0x94D049BB133111EB & _MASK)
+                          for i in range(256)], np.uint64)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -118,6 +123,17 @@ def anchors(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     return lo, hi, at, content(at, at + gram), _mix(content(lo, hi + length) + shape)
 
 
+def window_keys(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """Two independent hashes of the windows at ``starts``."""
+    n = len(text)
+    power, inverse = _tables(n)
+    keys = []
+    for values in (_BYTE_VALUES, _OTHER_VALUES):
+        sums = np.r_[np.uint64(0), np.cumsum(values[text] * power[:n], dtype=np.uint64)]
+        keys.append(_mix((sums[starts + length] - sums[starts]) * inverse[starts]).view(np.int64))
+    return keys
+
+
 def cover(size: int) -> np.ndarray:
     """A difference cover: the first root(size) residues and the multiples of that root."""
     root = next(r for r in range(1, size + 1) if r * r >= size)
@@ -223,7 +239,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
                        F.xxhash64(text).alias("tk"), text.alias("text"))
 
 
-ANCHORS = "doc long, tk long, gram long, context long, lo int, hi int, at int"
+ANCHORS = "doc long, tk long, gram long, context long, lo int, hi int"
 
 
 def _anchor_rows(keyed: DataFrame) -> DataFrame:
@@ -231,14 +247,13 @@ def _anchor_rows(keyed: DataFrame) -> DataFrame:
         sizes = np.array([len(t) for t in texts])
         last = np.cumsum(sizes)
         begin = last - sizes
-        lo, hi, at, gram, context = anchors(np.frombuffer(b"".join(texts), np.uint8), np.repeat(last, sizes))
+        lo, hi, _, gram, context = anchors(np.frombuffer(b"".join(texts), np.uint8), np.repeat(last, sizes))
         row = np.searchsorted(last, lo, side="right")
         base = begin[row]
         return pa.RecordBatch.from_pydict({
             "doc": pa.array(np.array(docs, np.int64)[row]), "tk": pa.array(np.array(tks, np.int64)[row]),
             "gram": pa.array(gram.view(np.int64)), "context": pa.array(context.view(np.int64)),
-            "lo": pa.array((lo - base).astype(np.int32)), "hi": pa.array((hi - base).astype(np.int32)),
-            "at": pa.array((at - base).astype(np.int32))})
+            "lo": pa.array((lo - base).astype(np.int32)), "hi": pa.array((hi - base).astype(np.int32))})
 
     def run(batches):
         docs, tks, texts, held = [], [], [], 0
@@ -258,42 +273,67 @@ def _anchor_rows(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, ANCHORS)
 
 
+CONTEXTS = "doc long, tk long, gram long, key long, second long, lo int, bytes binary"
+
+
+def _window_rows(held: list[tuple]) -> pa.RecordBatch:
+    """The windows of contexts ``(doc, tk, gram, lo, bytes)`` by hash, without their bytes."""
+    docs, tks, grams, los, blobs = zip(*held, strict=True)
+    sizes = np.array([len(b) for b in blobs])
+    count = sizes - LENGTH + 1
+    row = np.repeat(np.arange(len(sizes)), count)
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    keys = window_keys(np.frombuffer(b"".join(blobs), np.uint8), (np.cumsum(sizes) - sizes)[row] + inside)
+    return pa.RecordBatch.from_pydict({
+        **{k: pa.array(np.array(v, np.int64)[row]) for k, v in (("doc", docs), ("tk", tks), ("gram", grams))},
+        "key": pa.array(keys[0]), "second": pa.array(keys[1]),
+        "lo": pa.array((np.array(los, np.int64)[row] + inside).astype(np.int32)),
+        "bytes": pa.nulls(len(row), pa.binary())})
+
+
 def _contexts(keyed: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The bytes of the contexts that have to be sorted: ``mixed`` rows by document, joined with the texts."""
-    wanted = mixed.groupBy("doc", "tk").agg(F.collect_list(F.struct("gram", "lo", "hi", "at", "parts")).alias("rows"))
+    """What has to be compared: ``mixed`` rows by document, joined with the texts.
+
+    A row is a context with its bytes or, for ``large`` anchors, one window by hash.
+    """
+    wanted = mixed.groupBy("doc", "tk").agg(F.collect_list(F.struct("gram", "lo", "hi", "large")).alias("rows"))
     both = keyed.join(wanted, ["doc", "tk"]).select("doc", "tk", "text", "rows").dropDuplicates(["doc", "tk"])
 
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("doc", "tk", "gram", "lo", "at", "parts", "bytes")}
+            out = {k: [] for k in ("doc", "tk", "gram", "lo", "bytes")}
+            windows, held = [], 0
             for doc, tk, text, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for r in rows:
-                    for k in ("gram", "lo", "at", "parts"):
-                        out[k].append(r[k])
-                    out["doc"].append(doc)
-                    out["tk"].append(tk)
-                    out["bytes"].append(text[r["lo"]:r["hi"] + LENGTH])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["doc"], pa.int64()), pa.array(out["tk"], pa.int64()), pa.array(out["gram"], pa.int64()),
-                 pa.array(out["lo"], pa.int32()), pa.array(out["at"], pa.int32()), pa.array(out["parts"], pa.int32()),
-                 pa.array(out["bytes"], pa.binary())], names=list(out))
-
-    return both.mapInArrow(run, "doc long, tk long, gram long, lo int, at int, parts int, bytes binary")
+                    context = text[r["lo"]:r["hi"] + LENGTH]
+                    if r["large"]:
+                        windows.append((doc, tk, r["gram"], r["lo"], context))
+                        held += len(context)
+                        if held >= CHUNK // 2:
+                            yield _window_rows(windows)
+                            windows, held = [], 0
+                        continue
+                    for k, v in zip(out, (doc, tk, r["gram"], r["lo"], context), strict=True):
+                        out[k].append(v)
+            if windows:
+                yield _window_rows(windows)
+            zero = pa.array(np.zeros(len(out["doc"]), np.int64))
+            yield pa.RecordBatch.from_pydict({
+                **{k: pa.array(out[k], pa.int64()) for k in ("doc", "tk", "gram")}, "key": zero, "second": zero,
+                "lo": pa.array(out["lo"], pa.int32()), "bytes": pa.array(out["bytes"], pa.binary())})
+
+    return both.mapInArrow(run, CONTEXTS)
 
 
 def _repeated_windows(block: list[tuple]) -> pa.RecordBatch:
     """Runs ``(doc, tk, lo, hi)`` of windows of a block of contexts that also start earlier."""
-    docs, tks, los, ats, parts, part, blobs = zip(*block, strict=True)
+    docs, tks, los, blobs = zip(*block, strict=True)
     sizes = np.array([len(b) for b in blobs])
     begin = np.cumsum(sizes) - sizes
     text = np.frombuffer(b"".join(blobs), np.uint8)
     count = sizes - LENGTH + 1
     row = np.repeat(np.arange(len(sizes)), count)
     inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    # a split bucket takes the windows whose offset from the anchor belongs to its part
-    offset = np.array(ats)[row] - np.array(los)[row] - inside
-    mine = offset % np.array(parts)[row] == np.array(part)[row]
-    row, inside = row[mine], inside[mine]
     order, same = sort_suffixes(text, begin[row] + inside)
     row, inside = row[order], inside[order]
     doc, start = np.array(docs, np.int64)[row], np.array(los, np.int64)[row] + inside
@@ -316,21 +356,36 @@ def _repeated_windows(block: list[tuple]) -> pa.RecordBatch:
 
 
 def _sorted_buckets(contexts: DataFrame) -> DataFrame:
-    """Sort the suffixes of the contexts bucket by bucket, whole buckets together in blocks of ``BLOCK`` bytes."""
-    dealt = contexts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.repartition("gram", "part").sortWithinPartitions("gram", "part", "doc", "lo") \
-        .select("gram", "part", "doc", "tk", "lo", "at", "parts", "bytes")
+    """Repeated windows bucket by bucket.
+
+    Suffixes of contexts are sorted whole buckets together in blocks of
+    ``BLOCK`` bytes; windows that were dealt by hash come in document order.
+    """
+    dealt = contexts.repartition("gram", "key").sortWithinPartitions("gram", "key", "second", "doc", "lo") \
+        .select("gram", "key", "second", "doc", "tk", "lo", "bytes")
 
     def run(batches):
-        block, held, last = [], 0, None
+        block, held, last, lead = [], 0, None, None
         for batch in batches:
-            for gram, part, doc, tk, lo, at, parts, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held >= BLOCK and (gram, part) != last:
+            later = []
+            for gram, key, second, doc, tk, lo, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if blob is None:
+                    if lead is None or lead[0] != (gram, key, second):
+                        lead = (gram, key, second), (doc, lo)
+                    elif lead[1] != (doc, lo):
+                        later.append((doc, tk, lo))
+                    continue
+                if held >= BLOCK and gram != last:
                     yield _repeated_windows(block)
                     block, held = [], 0
-                block.append((doc, tk, lo, at, parts, part, blob))
+                block.append((doc, tk, lo, blob))
                 held += len(blob)
-                last = (gram, part)
+                last = gram
+            if later:
+                docs, tks, los = zip(*later, strict=True)
+                yield pa.RecordBatch.from_pydict({
+                    "doc": pa.array(docs, pa.int64()), "tk": pa.array(tks, pa.int64()),
+                    "lo": pa.array(los, pa.int32()), "hi": pa.array(los, pa.int32())})
         if block:
             yield _repeated_windows(block)
 
@@ -345,11 +400,13 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         "n": F.count("*").over(own), "low": F.min("context").over(own), "high": F.max("context").over(own)}) \
         .where(F.col("n") > 1)
     rows = rows.withColumn("nth", F.rank().over(Window.partitionBy("gram", "context").orderBy("doc", "lo"))) \
-        .select("doc", "tk", "gram", "lo", "hi", "at", "n", "nth", (F.col("low") != F.col("high")).alias("mixed")) \
+        .select("doc", "tk", "gram", "lo", "hi", "nth", (F.col("low") != F.col("high")).alias("mixed")) \
         .where(F.col("mixed") | (F.col("nth") > 1))
     rows = materialize(rows, "repeated-anchors")
-    parts = F.least(F.ceil(F.col("n") / F.lit(BUCKET)), F.lit(LENGTH - GRAM + 1)).cast("int").alias("parts")
-    mixed = rows.where(F.col("mixed") & (F.col("nth") == 1)).select("doc", "tk", "gram", "lo", "hi", "at", parts)
+    mixed = rows.where(F.col("mixed") & (F.col("nth") == 1)).select("doc", "tk", "gram", "lo", "hi")
+    # at most one anchor in BUCKET rows
+    large = mixed.groupBy("gram").count().where(F.col("count") > BUCKET).select("gram", F.lit(True).alias("large"))
+    mixed = mixed.join(F.broadcast(large), "gram", "left").withColumn("large", F.coalesce("large", F.lit(False)))
     found = rows.where(F.col("nth") > 1).select("doc", "tk", "lo", "hi") \
         .unionByName(_sorted_buckets(_contexts(keyed, mixed)))
     return found.groupBy("doc", "tk").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("runs"))

@@ -90,3 +90,24 @@ def test_stage_keeps_columns_and_whole_characters(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
     assert set(got) == {1, 2} and got[2] == ("x ", 2) and got[1][1] == 100
     assert out.where(F.length("text") != F.col("n_chars")).count() <= 1
+
+
+def test_many_contexts_of_one_line_are_split_by_content(spark, monkeypatch):
+    rnd = random.Random(8)
+    line = "".join(rnd.choice("abcdefgh ") for _ in range(53))
+
+    def noise():
+        return "".join(rnd.choice("ijklmnop ") for _ in range(90))
+
+    twice = [noise() + line + noise() for _ in range(5)]
+    docs = [(i, noise() + line + noise()) for i in range(400)]
+    docs += [(1000 + i, noise() + twice[i % 5] + noise()) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    seen, deal = [], S._sorted_buckets
+    monkeypatch.setattr(S, "BUCKET", 50)
+    monkeypatch.setattr(S, "_sorted_buckets", lambda contexts: (seen.append(contexts), deal(contexts))[1])
+    assert run(df) == without_repeats(docs)
+    largest = seen[0].groupBy("gram").agg(F.sum(F.length("bytes")).alias("b")).agg(F.max("b")).first()[0] or 0
+    assert largest <= 50 * 172      # bytes that meet in one task
+    windows = seen[0].where("bytes is null")
+    assert windows.count() > 0 and windows.groupBy("doc", "tk", "lo").count().where("count > 1").count() == 0
