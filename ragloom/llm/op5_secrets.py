@@ -14,13 +14,19 @@ characters. For each run
   random string and near 0 for text.
 
 The false-discovery control is length-aware: within each encoding and length
-class, the corpus-wide histogram of p gives the number of truly random runs
-(Storey's estimate from the upper half) and so the share of other runs above
-any cut; the smallest cut with a share of at most ``FALSE_SHARE`` is taken.
+class, the corpus-wide histogram of p over distinct runs gives the number of
+truly random runs (Storey's estimate from the upper half) and so the share of
+other runs above any cut; the smallest cut with a share of at most
+``FALSE_SHARE`` is taken. A class with fewer than ``ENOUGH`` runs above the
+lowest bin takes the cut of its encoding's pooled histogram, else of all
+encodings'; without enough runs anywhere the cut is ``FALSE_SHARE``, which a
+random run misses that often. A run whose copies (``ENOUGH`` or more) are over
+``FALSE_SHARE`` of its class moves no cut but its own, which comes from the
+histogram over all copies: one wrong decision on it would exceed the share.
 
 Only built-in functions run: text never leaves the JVM, nothing but the
-histogram (a few hundred rows at most) reaches the driver, and no text is
-shuffled. Spans are code points, end exclusive.
+histogram (a few thousand rows at most) reaches the driver, and of texts only
+hashes of runs are shuffled. Spans are code points, end exclusive.
 
 Defined cases: null text is empty (no spans); texts of any length are scanned
 whole; repeated rows are judged one by one; equal starts sort by kind as
@@ -47,6 +53,8 @@ MIN_VALUE, MIN_ACCESS = 6, 20
 FALSE_SHARE = 0.05
 #: p-values are counted in so many bins; a cut is never below one bin.
 BINS = 100
+#: Distinct runs above the lowest bin from which a histogram gives a cut of its own.
+ENOUGH = 30
 LENGTH_CLASSES = (24, 32, 48, 64, 128)
 #: Alphabets of the inferred encodings, in value order.
 ALPHABETS = {
@@ -134,7 +142,7 @@ def length_class(n: Column) -> Column:
 
 
 def candidate_runs(text: Column) -> Column:
-    """``array<struct<start, end, stratum, p>>`` of the runs that have an encoding."""
+    """``array<struct<start, end, stratum, p, key>>`` of the runs that have an encoding; ``key`` is a hash of the run."""
     def judge(s, h):
         def with_encoding(x):
             alphabet = F.lit(None).cast("string")
@@ -143,14 +151,14 @@ def candidate_runs(text: Column) -> Column:
             p = F.when(x["enc"].isNotNull(), let(alphabet, lambda a: random_p(x["run"], a)))
             return F.struct(s.alias("start"), (s + F.length(h)).alias("end"),
                             F.concat_ws("/", x["enc"], length_class(F.length(x["run"]))).alias("stratum"),
-                            p.alias("p"))
+                            p.alias("p"), F.xxhash64(x["run"]).alias("key"))
         return let(let(F.regexp_replace(h, "=+$", ""),
                        lambda r: F.struct(r.alias("run"), encoding(r).alias("enc"))), with_encoding)
 
     def build(x):
         return F.filter(F.zip_with(match_starts(x["p"], x["h"]), x["h"], judge), lambda z: z["p"].isNotNull())
 
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,stratum:string,p:double>>")
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,stratum:string,p:double,key:bigint>>")
     found = let(F.struct(F.split(text, RUN, -1).alias("p"),
                          F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("h")), build)
     return F.when(text.rlike(RUN), found).otherwise(empty)
@@ -162,22 +170,43 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumns({"base": base_spans(text), "runs": candidate_runs(text)})
 
 
+def _cut(bins: list[int], false_share: float) -> float | None:
+    """Smallest p above which at most ``false_share`` of a histogram's runs are not random."""
+    random_runs = 2 * sum(bins[BINS // 2:])
+    for b in range(1, BINS):
+        above = sum(bins[b:])
+        if above and above - random_runs * (1 - b / BINS) <= false_share * above:
+            return b / BINS
+    return None
+
+
 def cuts(scanned: DataFrame, false_share: float = FALSE_SHARE) -> dict[str, float]:
-    """Smallest accepted p of each stratum; from a histogram of bounded size."""
-    rows = scanned.select(F.explode("runs").alias("r")).groupBy(
-        F.col("r.stratum").alias("stratum"),
-        F.least(F.floor(F.col("r.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count().collect()
+    """Smallest accepted p of each stratum, and of each dominant run (``stratum#key``); from bounded histograms."""
+    runs = scanned.select(F.explode("runs").alias("r")).groupBy(
+        F.col("r.stratum").alias("stratum"), F.col("r.key").alias("key"),
+        F.least(F.floor(F.col("r.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    rows = runs.groupBy("stratum", "bin").agg(F.count("*").alias("runs"), F.sum("n").alias("copies"),
+                                              F.max("n").alias("most")).collect()
     counts: dict[str, list[int]] = {}
+    copies: dict[str, list[int]] = {}
     for r in rows:
-        counts.setdefault(r["stratum"], [0] * BINS)[r["bin"]] += r["count"]
+        copies.setdefault(r["stratum"], [0] * BINS)[r["bin"]] += r["copies"]
+        for name in (r["stratum"], r["stratum"].split("/")[0], ""):
+            counts.setdefault(name, [0] * BINS)[r["bin"]] += r["runs"]
     out = {}
-    for stratum, bins in counts.items():
-        random_runs = 2 * sum(bins[BINS // 2:])
-        for b in range(1, BINS):
-            above = sum(bins[b:])
-            if above and above - random_runs * (1 - b / BINS) <= false_share * above:
-                out[stratum] = b / BINS
-                break
+    for stratum in sorted(copies):
+        bins = next((counts[name] for name in (stratum, stratum.split("/")[0], "") if sum(counts[name][1:]) >= ENOUGH),
+                    None)
+        cut = false_share if bins is None else _cut(bins, false_share)
+        if cut is not None:
+            out[stratum] = cut
+    least = {k: max(ENOUGH, false_share * sum(v)) for k, v in copies.items()}
+    if any(r["most"] >= least[r["stratum"]] for r in rows):
+        # at most 1 / false_share runs of a stratum
+        limit = F.create_map(*[F.lit(x) for k, v in sorted(least.items()) for x in (k, float(v))])
+        for r in runs.where(F.col("n") >= F.try_element_at(limit, F.col("stratum"))).collect():
+            cut = _cut(copies[r["stratum"]], false_share)
+            out[f"{r['stratum']}#{r['key']}"] = 2.0 if cut is None else cut     # no p reaches 2
     return out
 
 
@@ -185,7 +214,9 @@ def decide(scanned: DataFrame, cut: dict[str, float]) -> DataFrame:
     """Add ``spans``: the base spans and the accepted runs, by start, then kind."""
     if cut:
         limit = F.create_map(*[F.lit(x) for kv in sorted(cut.items()) for x in kv])
-        added = F.transform(F.filter("runs", lambda r: r["p"] >= F.try_element_at(limit, r["stratum"])),
+        added = F.transform(F.filter("runs", lambda r: r["p"] >= F.coalesce(
+            F.try_element_at(limit, F.concat_ws("#", r["stratum"], r["key"].cast("string"))),
+            F.try_element_at(limit, r["stratum"]))),
                             lambda r: F.struct(r["start"], F.lit(3).alias("kind"), r["end"])).cast(SPAN)
     else:
         added = F.array().cast(SPAN)

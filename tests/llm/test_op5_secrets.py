@@ -94,3 +94,32 @@ def test_redaction_and_defined_cases(spark):
     assert red[2] == "a [SECRET] é [SECRET]!"
     empty = S.scan(df.limit(0))
     assert S.cuts(empty) == {} and S.decide(empty, {}).count() == 0
+
+
+def _keys(rnd, n, size=40):
+    return ["".join(rnd.choice(S.ALPHABETS["base64"][:62]) for _ in range(size)) for _ in range(n)]
+
+
+def _p_of(spark, runs):
+    rows = S.scan(spark.createDataFrame([(r,) for r in runs], "text string")).select("text", "runs").collect()
+    return {r["text"]: r["runs"][0]["p"] for r in rows if r["runs"]}
+
+
+def test_copies_of_one_run_dont_move_the_cut(spark):
+    keys = _keys(random.Random(4), 600)
+    p = _p_of(spark, keys)
+    hot = min(p, key=lambda k: abs(p[k] - 0.3))
+    df = spark.createDataFrame([(k,) for k in keys], "text string")
+    copies = df.unionByName(spark.range(3000).select(F.lit(hot).alias("text")))
+    got = S.cuts(S.scan(copies))
+    assert {k: v for k, v in got.items() if "#" not in k} == S.cuts(S.scan(df))
+
+
+def test_lone_key_of_its_length_is_found(spark):
+    rnd = random.Random(6)
+    p = _p_of(spark, _keys(rnd, 40, 90))
+    lone = next(k for k in sorted(p) if 0.2 < p[k] < 0.45)
+    for others in (_keys(rnd, 300), []):
+        scanned = S.scan(spark.createDataFrame([(k,) for k in [lone, *others]], "text string"))
+        found = S.decide(scanned, S.cuts(scanned)).where(F.col("text") == lone).first()
+        assert [(r["start"], r["kind"], r["end"]) for r in found["spans"]] == [(0, 3, 90)]
