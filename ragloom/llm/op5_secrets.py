@@ -5,8 +5,11 @@ or more characters, access key ids of 20 or more, hexadecimal runs of 24 or
 more. The method adds spans of kind ``random``: runs of 20 or more encoding
 characters. For each run
 
-* the encoding is inferred from its characters (hex, base32, base36, base64);
-  a run of one character class only (a word, a number) has none;
+* the encoding is inferred from its characters (hex and base36 in either case,
+  base32, base64); a run with ``-`` or ``_`` that isn't base64 is judged by its
+  letters, digits, ``+`` and ``/``, in classes of its own (``hex-``); any other
+  run of two or more character classes is held against the base64 alphabet
+  (``mixed``); a run of one class only (a word, a number) has none;
 * three tests ask whether its symbols look drawn at random from that
   alphabet: chi-squared uniformity (Wilson-Hilferty), runs above and below
   the middle of the alphabet, lag-one serial correlation;
@@ -63,6 +66,7 @@ ALPHABETS = {
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
+ALPHABETS["mixed"] = ALPHABETS["base64"]
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -92,12 +96,23 @@ def base_spans(text: Column) -> Column:
 
 
 def encoding(run: Column) -> Column:
-    """The encoding of a run (padding removed), or null for a word, a number or other symbols."""
+    """The encoding of a run (padding removed), or null for a word, a number or marks only."""
     digit, lower, upper = run.rlike("[0-9]"), run.rlike("[a-z]"), run.rlike("[A-Z]")
-    return (F.when(run.rlike("^[0-9a-f]+$") & digit & lower, "hex")
-            .when(run.rlike("^[A-Z2-7]+$") & digit & upper, "base32")
-            .when(run.rlike("^[0-9a-z]+$") & digit & lower, "base36")
-            .when(digit & lower & upper & ~run.rlike("[-_].*[+/]|[+/].*[-_]"), "base64"))
+    part = F.translate(run, "-_", "")
+    one_case = digit & (lower != upper)
+    kinds = sum((x.cast("int") for x in (digit, lower, upper)), run.rlike("[+/]").cast("int"))
+    name = (F.when(part.rlike("^[0-9a-fA-F]+$") & digit & (lower | upper), "hex")
+            .when(part.rlike("^[A-Z2-7]+$") & digit & upper, "base32")
+            .when(part.rlike("^[0-9a-zA-Z]+$") & one_case, "base36")
+            .when(kinds >= 2, "mixed"))
+    return F.when(digit & lower & upper & ~part.rlike("^[0-9a-fA-F]+$") & ~run.rlike("[-_].*[+/]|[+/].*[-_]"), "base64") \
+        .otherwise(F.when(run.rlike("[-_]"), F.concat(name, F.lit("-"))).otherwise(name))
+
+
+def symbols(run: Column, enc: Column) -> Column:
+    """The symbols of a run that are judged: without separators, in the alphabet's case."""
+    part = F.when(enc.endswith("-"), F.translate(run, "-_", "")).otherwise(run)
+    return F.when(F.rtrim(enc, F.lit("-")).isin("hex", "base36"), F.lower(part)).otherwise(part)
 
 
 def random_p(run: Column, alphabet: Column) -> Column:
@@ -146,9 +161,10 @@ def candidate_runs(text: Column) -> Column:
     def judge(s, h):
         def with_encoding(x):
             alphabet = F.lit(None).cast("string")
-            for name, symbols in ALPHABETS.items():
-                alphabet = F.when(x["enc"] == name, F.lit(symbols)).otherwise(alphabet)
-            p = F.when(x["enc"].isNotNull(), let(alphabet, lambda a: random_p(x["run"], a)))
+            for name, letters in ALPHABETS.items():
+                alphabet = F.when(x["enc"].isin(name, f"{name}-"), F.lit(letters)).otherwise(alphabet)
+            p = F.when(x["enc"].isNotNull(), let(
+                F.struct(alphabet.alias("a"), symbols(x["run"], x["enc"]).alias("r")), lambda y: random_p(y["r"], y["a"])))
             return F.struct(s.alias("start"), (s + F.length(h)).alias("end"),
                             F.concat_ws("/", x["enc"], length_class(F.length(x["run"]))).alias("stratum"),
                             p.alias("p"), F.xxhash64(x["run"]).alias("key"))

@@ -123,3 +123,19 @@ def test_lone_key_of_its_length_is_found(spark):
         scanned = S.scan(spark.createDataFrame([(k,) for k in [lone, *others]], "text string"))
         found = S.decide(scanned, S.cuts(scanned)).where(F.col("text") == lone).first()
         assert [(r["start"], r["kind"], r["end"]) for r in found["spans"]] == [(0, 3, 90)]
+
+
+def test_keys_of_every_case_and_separator_have_an_encoding(spark):
+    want = {"9233A8ECF7C5B09FE5949719B6B82BC439E9329B": "hex", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff": "hex",
+            "K8X1Q0ZP3M9TW7B2VJ5R": "base36", "k8x1q0zp3m9tw7b2vj5r": "base36", "K3XAQ2ZP3M5TW7B2VJ5R": "base32",
+            "123e4567-e89b-12d3-a456-426614174000": "hex-", "sk_live_k8x1q0zp3m9tw7b2vj5r": "base36-",
+            "AB_K8X1Q0ZP3M9TW7B2VJ5R": "base36-", "QmzXvPbKwTqLdRyHsNcF": "mixed", "aB3-xY7_kL9mN2pQ5rS8": "base64",
+            "internationalization": None, "12345678901234567890": None, "--------------------": None,
+            "one-word-after-another": None}
+    df = spark.createDataFrame([(k,) for k in want], "text string")
+    rows = S.scan(df.withColumn("enc", S.encoding(F.col("text")))).select("text", "enc", "runs").collect()
+    assert {r["text"]: r["enc"] for r in rows} == want
+    assert all(len(r["runs"]) == (r["enc"] is not None) for r in rows)
+    by = {r["text"]: r["runs"] for r in rows}
+    assert by["9233A8ECF7C5B09FE5949719B6B82BC439E9329B"][0]["p"] > 0.01
+    assert by["K8X1Q0ZP3M9TW7B2VJ5R"][0]["p"] == by["k8x1q0zp3m9tw7b2vj5r"][0]["p"]
