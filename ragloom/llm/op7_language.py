@@ -14,6 +14,9 @@ different languages, which is what the transitions learn switching from. The
 likelihood and its gradient are exact (forward-backward), the optimiser is
 Adam over full batches.
 
+A run of more than ``PIECE`` letters (unsegmented scripts, text without blanks)
+is several consecutive words of at most so many letters, all of which count.
+
 Prediction is a ``mapInArrow`` over whole texts, without a shuffle. Chains
 restart every ``CHAIN`` words, so that memory is bounded for very long texts.
 
@@ -44,6 +47,8 @@ TRAIN_WORDS = 120
 LEXICON = 2000
 BUCKETS = 1 << 16
 CHAIN = 128
+#: Longest word in letters; a longer run of letters is cut into words of this length.
+PIECE = 40
 EPOCHS = 40
 RATE = 0.1
 DECAY = 1e-5
@@ -55,8 +60,8 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Maximal runs of letters, lower-cased."""
-    return WORD.findall((text or "").lower())
+    """Runs of letters, lower-cased; a run of more than ``PIECE`` letters in consecutive pieces."""
+    return [run[i:i + PIECE] for run in WORD.findall((text or "").lower()) for i in range(0, len(run), PIECE)]
 
 
 class Features:
@@ -74,7 +79,7 @@ class Features:
         return got
 
     def of(self, word: str) -> list[int]:
-        w = f"<{word[:40]}>" if len(word) > 40 else f"<{word}>"
+        w = f"<{word}>"
         names = [w[i:i + 2] for i in range(len(w) - 1)] + [w[i:i + 3] for i in range(len(w) - 2)]
         names += ["p" + w[1:4], "s" + w[-4:-1], "s" + w[-5:-1]]
         known = self.lexicon.get(word)

@@ -75,3 +75,11 @@ def test_defined_cases(spark, model):
     out = L.language_stage(spark, spark.createDataFrame([(1, "a b", "en"), (2, None, "en")],
                                                         "doc_id long, text string, lang string"), "")
     assert out.columns == ["doc_id", "text", "lang"] and [r["doc_id"] for r in out.collect()] == [1]
+
+
+def test_every_letter_of_a_long_run_counts(spark, model):
+    assert "".join(L.words_of("ab" * 2500)) == "ab" * 2500
+    rows = spark.read.parquet(f"{SF_MID}/documents.parquet").where("n_chars > 600").select("lang", "text").collect()
+    en, de = ("".join(next(L.words_of(r["text"]) for r in rows if r["lang"] == lang)) for lang in ("en", "de"))
+    df = spark.createDataFrame([(en[:40] + (de * 10)[:2000],)], "text string")
+    assert L.identify(df, model).first()["lang_pred"] == "de"
