@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import op8_url_filter as url_filter
 from . import op11_fim as fim
+from . import op12_decontaminate as decontaminate
 from .op1_bpe import op1_bpe_round_trip
 from .op2_license import op2_license
 from .op3_jaccard import op3_jaccard_join
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_pack": op9_pack,
     "op10_fingerprint": op10_fingerprint,
     "op11_fim": fim.op11_fim,
+    "op12_decontaminate": decontaminate.op12_decontaminate,
 }
 
 #: Queries that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op8_url_filter": url_filter.SQL,
     "op11_fim": fim.SQL,
+    "op12_decontaminate": decontaminate.SQL,
 }
