@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import op8_url_filter as url_filter
 from . import op11_fim as fim
 from . import op12_decontaminate as decontaminate
+from . import op13_prefix_trie as trie
 from .op1_bpe import op1_bpe_round_trip
 from .op2_license import op2_license
 from .op3_jaccard import op3_jaccard_join
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_fingerprint": op10_fingerprint,
     "op11_fim": fim.op11_fim,
     "op12_decontaminate": decontaminate.op12_decontaminate,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 
 #: Queries that SQL can express; the others are tested against brute force.
@@ -35,4 +37,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_url_filter": url_filter.SQL,
     "op11_fim": fim.SQL,
     "op12_decontaminate": decontaminate.SQL,
+    "op13_prefix_trie": trie.SQL,
 }
