@@ -44,6 +44,8 @@ from ragloom.streaming import stream as ST
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 DIM = TD.DIM
+#: Bytes of a tile's side for the tables of the tests, so that both sides have several blocks.
+TILE_BYTES = 64 << 10
 
 
 # ===========================================================================
@@ -214,6 +216,13 @@ def q_batched_topk(spark, sf):
     return hits.select("qid", "rk", "id", _r("score").alias("score"))
 
 
+def q_topk_tiles(spark, sf):
+    """R05 for more questions than a broadcast may hold: tiles of corpus and question blocks."""
+    vc = TD.vector_corpus(spark, sf)
+    hits = K.top_k(vc, TD.vector_queries(vc), 5, exclude_col="self_id", form="blocked", tile_bytes=TILE_BYTES)
+    return hits.select("qid", "rk", "id", _r("score").alias("score"))
+
+
 def _per_question_k():
     n = F.size(TX.statements("question"))
     return F.when(n > 1, n)
@@ -479,6 +488,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topk_no_id": q_topk_no_id,
     "topk_no_score": q_topk_no_score,
     "batched_topk": q_batched_topk,
+    "topk_tiles": q_topk_tiles,
     "topk_per_question_k": q_topk_per_question_k,
     "mmr": q_mmr,
     "contexts_joined": q_contexts_joined,
@@ -739,6 +749,7 @@ def _sql() -> dict[str, str]:
     s["topk_no_id"] = f"with {_hits_cte(3)} select qid, rk, input, output, {_rd('score')} as score from hits"
     s["topk_no_score"] = f"with {_hits_cte(4)} select qid, rk, input, output from hits"
     s["batched_topk"] = f"with {_vhits_cte(5)} select qid, rk, id, {_rd('score')} as score from vh"
+    s["topk_tiles"] = s["batched_topk"]
     s["topk_per_question_k"] = f"""with {_QC},
         qk as (select id as qid, case when len({_stmts('input')}) > 1 then len({_stmts('input')}) end as k from qc),
         pr as (select q.id as qid, c.id, {_cos('q.v', 'c.v')} as score from qc q join qc c on c.id <> q.id),
@@ -850,9 +861,18 @@ s{step} as materialized (select * from {prev} union all select * from p{step})""
 
 
 def _mmr_sql(k: int = MMR.MMR_K, fetch_k: int = MMR.MMR_FETCH_K, lam: float = MMR.MMR_LAMBDA) -> str:
-    """MMR on ``embeddings`` (candidates: exact top fetch_k, own row excluded)."""
-    return (f"with {_vhits_cte(fetch_k)},\nc as materialized (select qid, id, v, score, rk from vh),\n"
-            f"{_mmr_steps(k, lam)}\nselect s.qid, s.pos::INTEGER as pos, c.id from s{k} s join c using (qid, rk)")
+    """MMR on ``embeddings``: each question's top ``fetch_k`` as lists in rank order, one list expression per pick."""
+    steps, picks = ["s1 as (select *, 1::BIGINT as p1 from c)"], ["p1"]
+    for step in range(2, k + 1):
+        near = ", ".join(_cos("vs[i]", f"vs[{p}]") for p in picks)
+        steps.append(f"""o{step} as (select *, list_transform(range(1, len(ids) + 1), lambda i: case when i in ({', '.join(picks)})
+             then null else round({lam} * sc[i] - {1 - lam} * greatest({near}), 9) end) as o from s{step - 1}),
+s{step} as (select * exclude (o), list_position(o, list_max(o)) as p{step} from o{step})""")
+        picks.append(f"p{step}")
+    return (f"with {_vhits_cte(fetch_k)},\nc as (select qid, list(id order by rk) as ids, list(v order by rk) as vs, "
+            f"list(score order by rk) as sc from vh group by qid),\n" + ",\n".join(steps) + "\n"
+            + " union all ".join(f"select qid, {i + 1}::INTEGER as pos, ids[{p}] as id from s{k} where {p} is not null"
+                                 for i, p in enumerate(picks)))
 
 
 def _answer_routed_sql(k: int = MMR.MMR_K, fetch_k: int = MMR.MMR_FETCH_K,

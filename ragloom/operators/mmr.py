@@ -7,10 +7,11 @@ configures). The first pick is the most similar candidate; ties go to the
 better-ranked candidate. Scores are rounded to 9 decimals before comparing,
 so float noise cannot flip a tie.
 
-Each question's group holds at most ``fetch_k`` rows (a fixed bound), and the
+Each question's group holds at most ``fetch_k`` rows (a fixed bound). The
 candidates arrive hash-partitioned by question from the top-k merge, so the
-grouped ``applyInPandas`` adds no shuffle of the corpus. The candidate Gram
-matrix (fetch_k x fetch_k) lives only inside the task.
+grouped ``applyInArrow`` adds no shuffle; where vectors are fetched late, the
+fetch joins by row and the few candidates are grouped by question again. The
+candidate Gram matrix (fetch_k x fetch_k) lives only inside the task.
 """
 
 from __future__ import annotations
@@ -63,13 +64,18 @@ def greedy_mmr(rel: np.ndarray, gram: np.ndarray, k: int, lam: float) -> list[in
 def mmr(corpus: DataFrame, queries: DataFrame, k: int = MMR_K, fetch_k: int = MMR_FETCH_K,
         lam: float = MMR_LAMBDA, *, id_col: str = "id", vec_col: str = "embedding",
         qid_col: str = "qid", qvec_col: str = "qvec", exclude_col: str | None = None,
-        payload=(), **topk_kw) -> DataFrame:
-    """``(qid, pos int, id, score, *payload)``: the MMR picks in pick order (``pos`` 1..k)."""
+        payload=(), late_payload: bool | None = None, **topk_kw) -> DataFrame:
+    """``(qid, pos int, id, score, *payload)``: the MMR picks in pick order (``pos`` 1..k).
+
+    The candidates' vectors come with the merge, or afterwards where a wide scan
+    would send many of them (``late_payload``, see :func:`.topk.top_k`).
+    """
     if k < 1 or fetch_k < k:
         raise ValueError("need 1 <= k <= fetch_k")
     payload = [p for p in payload if p not in (id_col, vec_col)]
     cand = K.top_k(corpus, queries, fetch_k, id_col=id_col, vec_col=vec_col, qid_col=qid_col,
-                   qvec_col=qvec_col, exclude_col=exclude_col, payload=[vec_col, *payload], late_payload=True, **topk_kw)
+                   qvec_col=qvec_col, exclude_col=exclude_col, payload=[vec_col, *payload],
+                   late_payload=late_payload, **topk_kw)
     cf = {f.name: f.dataType for f in cand.schema.fields}
     out_schema = T.StructType(
         [T.StructField(qid_col, cf[qid_col]), T.StructField("pos", T.IntegerType()),
@@ -89,5 +95,4 @@ def mmr(corpus: DataFrame, queries: DataFrame, k: int = MMR_K, fetch_k: int = MM
         cols.update({p: sel.column(p) for p in payload})
         return pa.Table.from_arrays([cols[f.name].cast(f.type) for f in arrow_schema], schema=arrow_schema)
 
-    # candidates arrive hash-partitioned by question from the top-k merge: no new shuffle
     return cand.groupBy(qid_col).applyInArrow(pick, out_schema)

@@ -9,11 +9,12 @@ pair is ever materialised as a row:
   to every executor once as a matrix; each corpus task scores its Arrow
   batches against it with one matrix product and keeps only a running top-k
   per question. Output per task: at most ``questions x k`` rows.
-* **blocked form** - any number of questions. Corpus rows are spread over
-  ``cb`` hash blocks, questions over ``qb`` hash blocks; every (corpus block,
-  question block) cell is one cogroup task that does the same matrix product
-  and emits its local top-k. Cell sizes are bounded by construction, so no
-  task holds more than one block of either side.
+* **blocked form** - any number of questions. Corpus rows are dealt to ``cb``
+  blocks, questions to ``qb`` blocks, by a hash of the row number; every (corpus
+  block, question block) tile is one cogroup call that does the same matrix
+  product and emits its local top-k. The counts come from measured rows and
+  dimensions, so that a side of a tile holds at most about ``tile_bytes``;
+  payload stays behind and is fetched for the final hits.
 * **scan_blocks form** - many questions against a corpus too large to
   shuffle: the broadcast form once per bounded question block, unioned; the
   corpus is re-scanned per block instead of being replicated through a shuffle.
@@ -47,6 +48,9 @@ DEFAULT_MAX_BROADCAST_QUERIES = 20_000
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 CORPUS_BLOCK_ROWS = 50_000
 QUERY_BLOCK_ROWS = 4_096
+TILE_BYTES = 64 << 20     # vectors of either side of a tile
+ROW_OVERHEAD = 64         # bytes of a row beside its vector
+TILE_SLACK = 1.2          # hashing doesn't fill the blocks evenly
 PAIR_BUDGET = 1 << 22  # score-matrix cells per numpy block (32 MB of doubles)
 MERGE_FANIN = 200_000  # candidate rows one question may send to one merge task
 LATE_PAYLOAD_ROWS = 50_000_000  # estimated candidate rows beyond which payload is fetched after the merge
@@ -226,35 +230,59 @@ def _broadcast_form(corpus, qtbl: pa.Table, qm: np.ndarray, dim: int, schema, qi
     return corpus.select(*keep).mapInArrow(run, schema)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """``df`` in the shared folder with a hash ``__at`` of the row number.
+
+    Rows are dealt by this hash and not by an id, so that repeated and null ids
+    spread evenly; the checkpoint fixes the numbers, so that an attempt after a
+    lost executor deals every row as before.
+    """
+    from ..session import cut_lineage
+    return cut_lineage(df.withColumn("__at", F.monotonically_increasing_id())) \
+        .withColumn("__at", F.xxhash64("__at"))
+
+
+def _block_count(rows: int, dim: int, max_rows: int, max_bytes: int) -> int:
+    """Blocks that keep a side of a tile within both bounds (with room for uneven hashing)."""
+    per_block = max(1, min(max_rows, max_bytes // (8 * max(dim, 1) + ROW_OVERHEAD)))
+    return max(1, math.ceil(TILE_SLACK * rows / per_block))
+
+
 def _blocked_form(corpus, queries, schema, qid_col, qvec_col, id_col, vec_col, exclude_col,
-                  payload, k, corpus_block_rows, query_block_rows):
-    n_c = corpus.count()
-    n_q = queries.count()
-    cb = max(1, math.ceil(n_c / corpus_block_rows))
-    qb = max(1, math.ceil(n_q / query_block_rows))
+                  payload, k, corpus_block_rows, query_block_rows, tile_bytes):
     keep = [id_col, vec_col] + [p for p in payload if p not in (id_col, vec_col)]
     qcols = [qid_col, qvec_col] + ([exclude_col] if exclude_col else [])
-    cc = (corpus.select(*keep)
-          .withColumn("_cb", F.pmod(F.xxhash64(id_col), F.lit(cb)))
-          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-    qq = (queries.select(*qcols)
-          .withColumn("_qb", F.pmod(F.xxhash64(qid_col), F.lit(qb)))
-          .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
+    cc, qq = _dealt(corpus.select(*keep)), _dealt(queries.select(*qcols))
+    n_c, dim_c = cc.agg(F.count(F.lit(1)), F.max(F.size(vec_col))).first()
+    n_q, dim_q = qq.agg(F.count(F.lit(1)), F.max(F.size(qvec_col))).first()
+    dim = max(dim_c or 0, dim_q or 0)
+    cb = _block_count(n_c, dim, corpus_block_rows, tile_bytes)
+    qb = _block_count(n_q, dim, query_block_rows, tile_bytes)
+
+    def block(n: int):
+        return F.pmod(F.col("__at"), F.lit(n).cast("long"))
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    # one key, of one type on both sides: corpus block * question blocks + question block
+    cc = cc.withColumn("__other", every(qb)).withColumn("__tile", block(cb) * F.lit(qb).cast("long") + F.col("__other"))
+    qq = qq.withColumn("__other", every(cb)).withColumn("__tile", F.col("__other") * F.lit(qb).cast("long") + block(qb))
     arrow_schema = to_arrow_schema(schema)
     out_cols = [id_col] + [p for p in payload if p != id_col]
 
     def cell(ctbl: pa.Table, qtbl: pa.Table) -> pa.Table:
         if ctbl.num_rows == 0 or qtbl.num_rows == 0:
             return arrow_schema.empty_table()
-        qm, dim = _matrix(qtbl.column(qvec_col), None)
+        qm, qdim = _matrix(qtbl.column(qvec_col), dim)
         excl = qtbl.column(exclude_col).to_pylist() if exclude_col else None
         res = _local_topk([ctbl], id_col, vec_col, out_cols, qm,
-                          qtbl.column(qid_col).combine_chunks(), excl, dim, k)
+                          qtbl.column(qid_col).combine_chunks(), excl, qdim, k)
         if res is None:
             return arrow_schema.empty_table()
         return _emit(res[0], res[1], qid_col, id_col, payload, arrow_schema)
 
-    return (cc.groupBy("_cb", "_qb").cogroup(qq.groupBy("_cb", "_qb"))
+    return (cc.drop("__at", "__other").groupBy("__tile").cogroup(qq.drop("__at", "__other").groupBy("__tile"))
             .applyInArrow(cell, schema))
 
 
@@ -267,21 +295,18 @@ def _scan_blocks_form(corpus, queries, schema, qid_col, qvec_col, id_col, vec_co
     hash slices of a checkpointed question table, each within the broadcast
     bound; the driver holds one block at a time.
     """
-    from ..session import cut_lineage
-    q = cut_lineage(queries)
+    q = _dealt(queries)
     nb = _question_blocks(q, qvec_col, max_rows, max_bytes)
     parts = []
     for b in range(nb):
-        blk = q.where(F.pmod(F.xxhash64(qid_col), F.lit(nb)) == b).limit(max_rows + 1).toArrow()
-        if blk.num_rows == 0:
-            continue
-        if blk.num_rows > max_rows:
-            raise ValueError("question block exceeds the broadcast bound (skewed question ids?)")
-        qm, dim = _matrix(blk.column(qvec_col), None)
-        if qm.nbytes > max_bytes:
-            raise ValueError("question block exceeds the broadcast byte bound (skewed question ids?)")
-        parts.append(_broadcast_form(corpus, blk, qm, dim, schema, qid_col, id_col, vec_col,
-                                     exclude_col, payload, k))
+        whole = q.where(F.pmod(F.col("__at"), F.lit(nb).cast("long")) == b).drop("__at").toArrow()
+        dim = pc.max(pc.list_value_length(whole.column(qvec_col))).as_py() or 0
+        rows = max(1, min(max_rows, max_bytes // (8 * max(dim, 1))))
+        for off in range(0, whole.num_rows, rows):           # a block that came out too large is split
+            blk = whole.slice(off, rows)
+            qm, dim = _matrix(blk.column(qvec_col), None)
+            parts.append(_broadcast_form(corpus, blk, qm, dim, schema, qid_col, id_col, vec_col,
+                                         exclude_col, payload, k))
     if not parts:
         return corpus.sparkSession.createDataFrame([], schema)
     out = parts[0]
@@ -320,8 +345,8 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
           max_broadcast_queries: int = DEFAULT_MAX_BROADCAST_QUERIES,
           max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
           corpus_block_rows: int = CORPUS_BLOCK_ROWS,
-          query_block_rows: int = QUERY_BLOCK_ROWS, merge_fanin: int = MERGE_FANIN,
-          late_payload: bool | None = None) -> DataFrame:
+          query_block_rows: int = QUERY_BLOCK_ROWS, tile_bytes: int = TILE_BYTES,
+          merge_fanin: int = MERGE_FANIN, late_payload: bool | None = None) -> DataFrame:
     """For every question row, its k most similar corpus rows.
 
     Returns ``(qid, rk int, id, score double, *payload)``; ``rk`` runs 1..min(k, n).
@@ -367,17 +392,19 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
     if local is None:
         n_q = q.count()                  # beyond the broadcast bound: the real size, for the checks below
         late = _late(late_payload, payload, map_tasks, n_q, k)
-        carried = [_ROW] if late else payload
-        schema = _local_schema(corpus, q, qid_col, id_col, carried)
         if form == "auto":
             form = _large_form(corpus, q, qvec_col, max_broadcast_queries, max_broadcast_bytes)
+        # a tile holds vectors only, so that its size is known
+        late = late or (form == "blocked" and bool(payload) and late_payload is None)
+        carried = [_ROW] if late else payload
+        schema = _local_schema(corpus, q, qid_col, id_col, carried)
         if form == "scan_blocks":
             local = _scan_blocks_form(corpus, q, schema, qid_col, qvec_col, id_col, vec_col,
                                       exclude_col, carried, k, max_broadcast_queries,
                                       max_broadcast_bytes)
         else:
             local = _blocked_form(corpus, q, schema, qid_col, qvec_col, id_col, vec_col,
-                                  exclude_col, carried, k, corpus_block_rows, query_block_rows)
+                                  exclude_col, carried, k, corpus_block_rows, query_block_rows, tile_bytes)
     hits = merge_topk(local, k, qid_col=qid_col, id_col=id_col, rank_col=rank_col,
                       cols=[qid_col, rank_col, id_col, "score", *carried],
                       map_tasks=map_tasks, merge_fanin=merge_fanin)

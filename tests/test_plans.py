@@ -32,7 +32,7 @@ def test_routed_answer_with_generator(spark):
         if r.source == "given":
             assert "참고 문서:\nDocument 1:" in r.prompt
         else:
-            assert "#Context:" in r.prompt
+            assert r.prompt.startswith(P.template_parts(P.CHAIN_TEMPLATE)[0][1])
 
 
 def test_generation_errors_are_values(spark):

@@ -262,6 +262,39 @@ def test_question_sets_over_the_byte_bound_at_1536_dimensions(spark):
     assert _rows(K.top_k(big, q, 3, form="auto", max_broadcast_bytes=small)) == _rows(K.top_k(big, q, 3))
 
 
+@pytest.mark.parametrize("aqe", ["true", "false"])
+def test_tiles_equal_the_broadcast_form_for_any_partitioning(spark, aqe):
+    """One tile key of one type on both sides: no question is lost however the tiles are dealt."""
+    rng = np.random.default_rng(9)
+    rows = [(1 if i % 3 == 0 else i, rng.normal(size=16).tolist(), f"t{i}") for i in range(400)]    # one hot id
+    rows += [(None, rng.normal(size=16).tolist(), "no id"), (7, None, "no vector")]
+    corpus = spark.createDataFrame(rows, "id long, embedding array<double>, t string")
+    q = spark.createDataFrame([(i % 90, rng.normal(size=16).tolist(), i) for i in range(100)][:90],
+                              "qid long, qvec array<double>, self_id long")
+
+    def hits(**kw):
+        got = K.top_k(corpus, q, 5, payload=["t"], exclude_col="self_id", **kw).collect()
+        return sorted((r.qid, r.rk, r.id, round(r.score, 9), r.t) for r in got)
+
+    want = hits(form="broadcast")
+    assert len(want) == 450
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        for partitions in (1, 7, 211) if aqe == "true" else (1, 13):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            assert hits(form="blocked", tile_bytes=16 * 8 * 60) == want
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_blocks_are_sized_by_bytes_and_rows():
+    assert K._block_count(1000, 1536, 10**9, 1 << 20) == -(-12 * 1000 // (10 * ((1 << 20) // (8 * 1536 + 64))))
+    assert K._block_count(1000, 4, 100, 1 << 30) == 12
+    assert K._block_count(0, 0, 100, 1 << 30) == 1 and K._block_count(10, 10**6, 100, 1) == 12
+
+
 def test_repeated_and_null_ids_keep_their_payload(spark):
     corpus = spark.createDataFrame([(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "b"), (1, [0.9, 0.1], "c"), (None, [1.0, 0.1], "n"),
                                     (None, [1.0, 0.1], None), (2, [0.0, 1.0], "d")],
