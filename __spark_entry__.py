@@ -32,6 +32,7 @@ from ragloom.operators import generate as G
 from ragloom.operators import judge as J
 from ragloom.operators import metrics as M
 from ragloom.operators import mmr as MMR
+from ragloom.operators import model_runs as MR
 from ragloom.operators import runs as R
 from ragloom.operators import standins as SI
 from ragloom.operators import topk as K
@@ -377,6 +378,17 @@ def q_run_compare(spark, sf):
     return R.compare(rag, base, key="qid")
 
 
+#: Runs of the model comparison: ks beside the baseline, and the run that the others are held against.
+MODEL_KS, MODEL_BASE = (1, 3, 5), "full/k=3"
+
+
+def q_model_compare(spark, sf):
+    """Three models at several k and without retrieval, with paired bootstrap intervals."""
+    _, q, hits = _qa_hits(spark, sf, max(MODEL_KS))
+    scores = MR.grid_scores(MR.grid_records(q, hits, ks=MODEL_KS))
+    return MR.paired_bootstrap(scores, MODEL_BASE)
+
+
 def q_stream_topk(spark, sf):
     vc = TD.vector_corpus(spark, sf)
     src = f"{sf.rstrip('/')}/embeddings.parquet"
@@ -511,6 +523,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_table": q_score_table,
     "run_summary": q_run_summary,
     "run_compare": q_run_compare,
+    "model_compare": q_model_compare,
     "stream_topk": q_stream_topk,
     "stream_ingest": q_stream_ingest,
     "raw_corpus_json": q_raw_corpus_json,
@@ -628,10 +641,17 @@ vw as materialized (select qid, id, score,
 vh as (select vw.*, ve.v from vw join ve on ve.id = vw.id)"""
 
 
+def _cited_sql(contexts: str) -> str:
+    """The longest statement (the first of equals) of every context that has one."""
+    longest = (f"list_reduce(list_prepend('', coalesce({_stmts('t')}, []::VARCHAR[])), "
+               "lambda best, s2: case when length(s2) > length(best) then s2 else best end)")
+    return f"list_filter(list_transform({contexts}, lambda t: {longest}), lambda t: t <> '')"
+
+
 def _answer(contexts: str, question: str) -> str:
-    """The stand-in answer: the question's statements, then the first one of every context."""
+    """The stand-in answer: the question's statements, then the longest one of every context."""
     c = f"coalesce({contexts}, []::VARCHAR[])"
-    cited = f"list_filter(list_transform({c}, lambda t: {_stmts('t')}[1]), lambda t: t is not null)"
+    cited = _cited_sql(c)
     return (f"case when len({c}) > 0 then array_to_string(list_concat({_stmts(question)}, {cited}), "
             f"{_lit(G.ANSWER_SEPARATOR)}) else '{_REFUSAL}' end")
 
@@ -807,6 +827,7 @@ def _sql() -> dict[str, str]:
                         ", ".join(f"{_rd(m, 3)} as {m}" for m in M.METRICS) + " from mt")
     s["run_summary"] = _run_summary_sql()
     s["run_compare"] = _run_compare_sql()
+    s["model_compare"] = _model_compare_sql()
     s["stream_topk"] = s["batched_topk"]
     s["stream_ingest"] = f"""with {_docs_cte()},
         lab as (select id, doc_id, lang from d where doc_id in (select doc_id from labels)
@@ -918,6 +939,41 @@ select run_id, count(*)::BIGINT as questions, """ + ", ".join(
 from mt group by run_id"""
 
 
+def _model_compare_sql() -> str:
+    said, cited = f"coalesce({_stmts('r.question')}, []::VARCHAR[])", _cited_sql("r.contexts")
+    answers = {"full": f"list_concat({said}, {cited})", "cited": cited, "brief": f"({cited})[1:1]"}
+    records = "\n        union all ".join(
+        f"""select '{name}/' || r.run as run_id, r.qid, r.question, r.reference, r.contexts,
+               case when len(r.contexts) > 0 then array_to_string({said_}, {_lit(G.ANSWER_SEPARATOR)}) else '{_REFUSAL}' end
+               as answer from asked r""" for name, said_ in answers.items())
+    weight = " + ".join(f"(u >= {step})::INTEGER" for step in MR.POISSON_STEPS)
+    long = (f"select run_id, qid, unnest({list(M.METRICS)}) as metric, "
+            f"unnest([{', '.join(f'{m}::DOUBLE' for m in M.METRICS)}]) as v from mt")
+    return f"""with {_hits_cte(max(MODEL_KS))},
+runs as (select unnest([{', '.join(str(k) for k in MODEL_KS)}]) as kk),
+ctx as (select kk, qid, list(output order by rk) as contexts from hits join runs on hits.rk <= runs.kk group by all),
+asked as (select 'k=' || runs.kk::VARCHAR as run, q.id as qid, q.input as question, q.output as reference,
+                 coalesce(ctx.contexts, []::VARCHAR[]) as contexts
+          from qc q join runs on true left join ctx on ctx.qid = q.id and ctx.kk = runs.kk
+          union all select 'baseline' as run, id as qid, input as question, output as reference, []::VARCHAR[] as contexts from qc),
+rec as ({records}),
+{_metric_ctes(keys="run_id, qid")},
+long as materialized (select * from ({long}) where v is not null),
+pairs as materialized (select l.run_id, l.metric, l.qid, l.v, b.v as b from long l join long b on b.qid = l.qid and b.metric = l.metric
+          and b.run_id = '{MODEL_BASE}' where l.run_id <> '{MODEL_BASE}'),
+means as (select run_id, metric, count(*) as questions, avg(v) as mean_run, avg(b) as mean_base from pairs group by all),
+drawn as (select qid, rep, {weight} as w from (
+            select qid, rep, ('0x' || substr(md5(qid::VARCHAR || ':' || rep::VARCHAR), 1, 8))::BIGINT as u
+            from (select distinct qid from pairs), unnest(range({MR.REPLICATES})) as t(rep))),
+deltas as (select run_id, metric, rep, sum(w * (v - b)) / sum(w) as delta from pairs join drawn using (qid)
+           where w > 0 group by all),
+ends as (select run_id, metric, quantile_cont(delta, {MR.INTERVAL[0]}) as low, quantile_cont(delta, {MR.INTERVAL[1]}) as high
+         from deltas group by all)
+select run_id, metric, questions, {_rd('mean_run', 6)} as mean_run, {_rd('mean_base', 6)} as mean_base,
+       {_rd('mean_run - mean_base', 6)} as delta, {_rd('low', 6)} as low, {_rd('high', 6)} as high
+from means left join ends using (run_id, metric)"""
+
+
 def _run_compare_sql() -> str:
     return f"""with {_rec_cte()},
 {_baseline_rec()},

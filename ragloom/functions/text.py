@@ -73,6 +73,13 @@ def statements(text: ColumnOrName) -> Column:
     return F.filter(parts, lambda s: s.rlike(WORD_CHAR))
 
 
+@cached_column
+def longest_statement(text: ColumnOrName) -> Column:
+    """The longest statement (characters; the first of equals), the empty string if there is none."""
+    return F.aggregate(F.coalesce(statements(text), F.array().cast("array<string>")), F.lit(""),
+                       lambda best, s: F.when(F.length(s) > F.length(best), s).otherwise(best))
+
+
 @cached_column
 def distinct_tokens(text: ColumnOrName) -> Column:
     return F.array_distinct(tokens(text))

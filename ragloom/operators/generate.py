@@ -7,7 +7,8 @@ call does not fail the job: the answer becomes
 message (error as value, as the reference returns it).
 
 The offline stand-in is native: the answer restates the question and cites the
-first statement of every context, so that its statements are partly supported.
+longest statement of every (whole) context, so that its statements are partly
+supported.
 """
 
 from __future__ import annotations
@@ -32,12 +33,12 @@ class Generator(Protocol):
 
 
 def stand_in_answer(contexts_col: str = "contexts", question_col: str = "question") -> F.Column:
-    """G01 stand-in: every statement of the question, then the first statement of every context.
+    """G01 stand-in: every statement of the question, then the longest statement of every context.
 
     Without a context it is the refusal sentence.
     """
     c = F.coalesce(F.col(contexts_col), F.array().cast("array<string>"))
-    cited = F.filter(F.transform(c, lambda x: F.get(TX.statements(x), 0)), lambda x: x.isNotNull())
+    cited = F.filter(F.transform(c, TX.longest_statement), lambda x: x != "")
     said = F.coalesce(TX.statements(question_col), F.array().cast("array<string>"))
     return F.when(F.size(c) > 0, F.array_join(F.concat(said, cited), ANSWER_SEPARATOR)).otherwise(F.lit(P.REFUSAL))
 

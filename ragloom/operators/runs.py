@@ -24,14 +24,24 @@ from . import metrics as M
 SWEEP_KS = (1, 3, 4, 5)
 
 
-def sweep_records(questions: DataFrame, hits: DataFrame, ks=SWEEP_KS) -> DataFrame:
-    """Records per ``(run_id, qid)`` for every k, from hits retrieved once at ``max(ks)``."""
+def _sweep(questions: DataFrame, hits: DataFrame, ks) -> tuple[DataFrame, DataFrame]:
+    """Questions and hits once per run of the sweep."""
     hits = cut_lineage(hits)              # read once per run's contexts and once per answer
     runs = F.explode(F.array(*[F.lit(int(k)) for k in ks]))
     h = hits.select("*", runs.alias("_k")).where(F.col("rk") <= F.col("_k"))
     h = h.withColumn("run_id", F.concat(F.lit("k="), F.col("_k").cast("string"))).drop("_k")
     q = questions.select("*", F.explode(F.array(*[F.lit(f"k={int(k)}") for k in ks])).alias("run_id"))
-    return EV.records(q, h, keys=("run_id", "qid"))
+    return q, h
+
+
+def sweep_records(questions: DataFrame, hits: DataFrame, ks=SWEEP_KS) -> DataFrame:
+    """Records per ``(run_id, qid)`` for every k, from hits retrieved once at ``max(ks)``."""
+    return EV.records(*_sweep(questions, hits, ks), keys=("run_id", "qid"))
+
+
+def sweep_prompts(questions: DataFrame, hits: DataFrame, ks=SWEEP_KS) -> DataFrame:
+    """Contexts and prompts per ``(run_id, qid)`` for every k, without answers."""
+    return EV.prompts(*_sweep(questions, hits, ks), keys=("run_id", "qid"))
 
 
 def sweep_scores(questions: DataFrame, hits: DataFrame, ks=SWEEP_KS, **kw) -> DataFrame:
@@ -47,11 +57,16 @@ def run_summary(scores: DataFrame, decimals: int = 6) -> DataFrame:
         .alias("refusal_rate"))
 
 
+def baseline_prompts(questions: DataFrame) -> DataFrame:
+    """Prompts without any context."""
+    return questions.select("qid", "question", "reference") \
+        .withColumn("contexts", F.array().cast("array<string>")) \
+        .withColumn("prompt", P.baseline_prompt("question"))
+
+
 def baseline_records(questions: DataFrame, generator=None) -> DataFrame:
     """Answers without any context (the no-RAG run)."""
-    rec = (questions.select("qid", "question", "reference")
-           .withColumn("contexts", F.array().cast("array<string>"))
-           .withColumn("prompt", P.baseline_prompt("question")))
+    rec = baseline_prompts(questions)
     if generator is None:
         # the stand-in has nothing to answer from without context: it refuses
         return rec.withColumn("answer", F.lit(P.REFUSAL))

@@ -30,8 +30,8 @@ def retrieve(corpus: DataFrame, questions: DataFrame, k: int, *, exclude_col: st
     return K.top_k(corpus, questions, k, exclude_col=exclude_col, payload=["input", "output"], **topk_kw)
 
 
-def records(questions: DataFrame, hits: DataFrame, keys=("qid",), generator=None) -> DataFrame:
-    """``(keys..., question, reference, contexts, prompt, answer)``.
+def prompts(questions: DataFrame, hits: DataFrame, keys=("qid",)) -> DataFrame:
+    """``(keys..., question, reference, contexts, prompt)``.
 
     Questions without any hit are kept with an empty context list (J03 left join).
     """
@@ -39,9 +39,14 @@ def records(questions: DataFrame, hits: DataFrame, keys=("qid",), generator=None
     ctx = hits.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rk", "output"))), lambda x: x["output"])
         .alias("contexts"))
-    rec = (questions.select(*keys, "question", "reference").join(ctx, keys, "left")
-           .withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
-           .withColumn("prompt", P.context_prompt(CX.join_contexts("contexts"), "question")))
+    return (questions.select(*keys, "question", "reference").join(ctx, keys, "left")
+            .withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
+            .withColumn("prompt", P.context_prompt(CX.join_contexts("contexts"), "question")))
+
+
+def records(questions: DataFrame, hits: DataFrame, keys=("qid",), generator=None) -> DataFrame:
+    """``(keys..., question, reference, contexts, prompt, answer)``."""
+    rec = prompts(questions, hits, keys)
     if generator is None:
         return rec.withColumn("answer", G.stand_in_answer("contexts"))
     # several metrics read the answers: a model is asked once
