@@ -1,8 +1,9 @@
 """JSON and CSV readers and writers.
 
-Schemas are always explicit (never inferred). JSON arrays are read with
-``multiLine`` (one array per file is then one split); JSON Lines without it,
-which splits a large file across tasks.
+Schemas are always explicit (never inferred). JSON Lines are split over tasks by
+Spark's reader. One JSON array per file, and CSV with quoted newlines, are one
+task per file with Spark's ``multiLine``; with ``split=True`` they are read by
+byte ranges (see :mod:`.splitting`), for files larger than a task.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import splitting as SP
+
 RAW_CORPUS = T.StructType([T.StructField("input", T.StringType()),
                            T.StructField("output", T.StringType()),
                            T.StructField("casename", T.StringType())])
@@ -30,41 +33,46 @@ ANSWER_SHEET = T.StructType([T.StructField("user_input", T.StringType()),
 BOM = "\ufeff"
 
 
-def _json(spark: SparkSession, path: str, schema: T.StructType, json_array: bool) -> DataFrame:
+def _json(spark: SparkSession, path: str, schema: T.StructType, json_array: bool, split: bool = False) -> DataFrame:
+    if json_array and split:
+        return SP.read_json_array(spark, path, schema)
     return (spark.read.schema(schema).option("multiLine", json_array).option("mode", "FAILFAST")
             .option("encoding", "UTF-8").json(path))
 
 
-def read_raw_corpus(spark: SparkSession, path: str, json_array: bool = True) -> DataFrame:
+def read_raw_corpus(spark: SparkSession, path: str, json_array: bool = True, split: bool = False) -> DataFrame:
     """S01 (+P02, M1, M2): ``(input, output)``; missing output -> '', missing input -> error.
 
     ``casename`` is read and dropped; a row without ``input`` raises ``ValueError``
     (checked with one aggregate, nothing is collected).
     """
-    df = _json(spark, path, RAW_CORPUS, json_array)
+    df = _json(spark, path, RAW_CORPUS, json_array, split)
     missing = df.where(F.col("input").isNull()).limit(1).count()
     if missing:
         raise ValueError("raw corpus row without 'input'")
     return df.select("input", F.coalesce(F.col("output"), F.lit("")).alias("output"))
 
 
-def read_embedded_corpus(spark: SparkSession, path: str, json_array: bool = True) -> DataFrame:
+def read_embedded_corpus(spark: SparkSession, path: str, json_array: bool = True, split: bool = False) -> DataFrame:
     """``(id, input, output, embedding array<float>)``."""
-    return _json(spark, path, EMBEDDED_CORPUS, json_array)
+    return _json(spark, path, EMBEDDED_CORPUS, json_array, split)
 
 
-def read_eval_set(spark: SparkSession, path: str, json_array: bool = True) -> DataFrame:
+def read_eval_set(spark: SparkSession, path: str, json_array: bool = True, split: bool = False) -> DataFrame:
     """``(question, reference)`` from ``{input, output}`` items."""
-    return _json(spark, path, EVAL_SET, json_array).select(
+    return _json(spark, path, EVAL_SET, json_array, split).select(
         F.col("input").alias("question"), F.col("output").alias("reference"))
 
 
-def read_answer_sheet(spark: SparkSession, path: str) -> DataFrame:
+def read_answer_sheet(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
     """S04 + P05: UTF-8 CSV (BOM allowed) ``user_input, response, reference`` ->
     ``(question, answer, reference)``. Quoted newlines and doubled quotes survive;
     an empty field is null, as pandas reads it."""
-    df = (spark.read.schema(ANSWER_SHEET).option("header", True).option("multiLine", True)
-          .option("escape", '"').option("encoding", "UTF-8").option("mode", "FAILFAST").csv(path))
+    if split:
+        df = SP.read_csv(spark, path, ANSWER_SHEET)
+    else:
+        df = (spark.read.schema(ANSWER_SHEET).option("header", True).option("multiLine", True)
+              .option("escape", '"').option("encoding", "UTF-8").option("mode", "FAILFAST").csv(path))
     return df.withColumnsRenamed({"user_input": "question", "response": "answer"}) \
         .select("question", "answer", "reference")
 
