@@ -8,9 +8,10 @@ Scale notes
   and shifted by per-partition offsets. The offsets come from one eager count
   per partition (one row per partition, bounded by the partition count, so
   they may be broadcast), so later executions never re-count the rows.
-* "First row per id wins" is a hash aggregate (``min_by``) with a map-side
-  partial step, so an id that holds a third of the load collapses to one row
-  per task before the shuffle instead of landing in one task.
+* "First row per id wins" is a hash aggregate of narrow keys with a map-side
+  partial step, so an id that holds a third of the load collapses to few rows
+  per task before the shuffle instead of landing in one task; whole rows are
+  fetched once the winners that are not in the corpus yet are known.
 * The anti join never shuffles the corpus when the load's ids fit a checked
   broadcast (semi-join reduction); beyond that bound it shuffles only narrow
   id columns.
@@ -104,11 +105,49 @@ def assert_contract(corpus: DataFrame, dim: int, **kw) -> dict:
     return row
 
 
+def _winner_keys(load: DataFrame, id_col: str, order_col: str) -> DataFrame:
+    """``(_id, _null, _order, _row, _times)``: of each id the key of its first row, and how often that row occurs.
+
+    The order is total: the order column (nulls last), then a hash of the whole
+    row. Only these narrow keys are aggregated: first equal rows, which spreads a
+    hot id, then ids, which collapses it to one row per task.
+    """
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(load.columns)])
+    keys = load.select(F.col(id_col).alias("_id"), F.col(order_col).isNull().alias("_null"), F.col(order_col).alias("_order"),
+                       row.alias("_row"))
+    times = keys.groupBy("_id", "_null", "_order", "_row").agg(F.count(F.lit(1)).alias("_times"))
+    first = times.groupBy("_id").agg(F.min(F.struct("_null", "_order", "_row", "_times")).alias("k"))
+    return first.select("_id", "k._null", "k._order", "k._row", "k._times")
+
+
+def _winners(load: DataFrame, id_col: str, order_col: str) -> DataFrame:
+    """:func:`_winner_keys`, computed once."""
+    return cut_lineage(_winner_keys(load, id_col, order_col))
+
+
+def _rows_of(load: DataFrame, winners: DataFrame, id_col: str, order_col: str) -> DataFrame:
+    """The rows of ``load`` that ``winners`` names, each once."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(load.columns)])
+    n, size, times = winners.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col("_id").cast("string"))), F.lit(0)),
+                                 F.max("_times")).first()
+    names = F.broadcast(winners) if n <= MAX_BROADCAST_IDS and size + 40 * n <= MAX_BROADCAST_ID_BYTES else winners
+    here = load.withColumn("_here", row)
+    found = here.join(names, here[id_col].eqNullSafe(names["_id"]) & here[order_col].eqNullSafe(names["_order"])
+                      & (here["_here"] == names["_row"]))
+    once = found.where(F.col("_times") == 1).select(*load.columns)
+    if (times or 1) == 1:
+        return once
+    # rows that are equal in every column: one of them
+    return once.unionByName(found.where(F.col("_times") > 1).dropDuplicates(["_id"]).select(*load.columns))
+
+
 def first_per_id(load: DataFrame, id_col: str = "id", order_col: str = "load_seq") -> DataFrame:
-    """K03 (M4): the first row of each id in load order (a unique key) wins, also inside one load."""
-    # the winner is found on (id, order) alone; texts are not sorted or aggregated
-    win = load.groupBy(F.col(id_col).alias("_id")).agg(F.min(order_col).alias("_order"))
-    return load.join(win, load[id_col].eqNullSafe(win["_id"]) & (load[order_col] == win["_order"]), "left_semi")
+    """K03 (M4): one row per id, the first in load order, also inside one load.
+
+    Null orders come last, equal orders are decided by a hash of the row, equal
+    rows count once; a null id is an id like any other.
+    """
+    return _rows_of(load, _winners(load, id_col, order_col), id_col, order_col)
 
 
 MAX_BROADCAST_IDS = 2_000_000
@@ -120,17 +159,19 @@ def rows_to_insert(load: DataFrame, corpus_ids: DataFrame, id_col: str = "id",
                    max_broadcast_bytes: int = MAX_BROADCAST_ID_BYTES) -> DataFrame:
     """``INSERT ... ON CONFLICT (id) DO NOTHING`` as first-per-id + left anti join.
 
-    When the load's distinct ids are checked to fit a broadcast, the corpus is
-    never shuffled: its id column is scanned against the broadcast load ids
-    (semi join), and the load is anti-joined with that small present set.
-    Otherwise both id columns are shuffled (sort-merge anti join).
+    Everything is decided on narrow keys: the winners of the load are found and
+    anti-joined with the corpus before any other column is read; the rows that
+    remain are fetched last. When the load's distinct ids are checked to fit a
+    broadcast, the corpus is never shuffled: its id column is scanned against
+    the broadcast load ids (semi join), and the winners are anti-joined with
+    that small present set. Otherwise both id columns are shuffled.
     """
-    first = first_per_id(load, id_col, order_col)
-    present = present_ids(first.select(id_col), corpus_ids, id_col, max_broadcast_ids,
-                          max_broadcast_bytes)
-    if present is not None:
-        return first.join(F.broadcast(present), id_col, "left_anti")
-    return first.join(corpus_ids.select(id_col), id_col, "left_anti")
+    winners = _winners(load, id_col, order_col)
+    ids = winners.select(F.col("_id").alias(id_col))
+    present = present_ids(ids, corpus_ids, id_col, max_broadcast_ids, max_broadcast_bytes)
+    known = F.broadcast(present) if present is not None else corpus_ids.select(id_col)
+    new = cut_lineage(winners.join(known, F.col("_id") == known[id_col], "left_anti"))
+    return _rows_of(load, new, id_col, order_col)
 
 
 def present_ids(load_ids: DataFrame, corpus_ids: DataFrame, id_col: str = "id",
