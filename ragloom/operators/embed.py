@@ -6,9 +6,9 @@ Two ways to embed a column:
   expression, so it runs in the JVM inside whole-stage pipelines;
 * any :class:`Embedder` (``texts -> vectors``, picklable, built once per task):
   applied with ``mapInPandas`` in sub-batches of ``batch_size`` texts, with a
-  retry of ``retries`` attempts and exponential waits. Concurrency against a
-  model service is the number of tasks running at once; cap it with
-  ``max_concurrency`` (a repartition to that many tasks).
+  retry of ``retries`` attempts and exponential waits. ``max_concurrency`` is a
+  budget of calls at once for the whole job: tasks are merged in place
+  (``coalesce``, no row moves) until tasks x ``calls_per_task`` stay within it.
 
 A real model stage is billed and not deterministic: materialise its output
 (``session.cut_lineage`` or a written table) before any second use.
@@ -101,11 +101,27 @@ def hash_embed(df: DataFrame, text_col: str, out_col: str = "embedding", dim: in
     return df.withColumn(out_col, TX.hash_embedding(text_col, dim))
 
 
+def within_budget(df: DataFrame, max_concurrency: int | None, calls_per_task: int = 1) -> DataFrame:
+    """``df`` in so few tasks that ``calls_per_task`` calls of each stay within the job's budget; rows stay in place."""
+    if calls_per_task < 1 or (max_concurrency is not None and max_concurrency < calls_per_task):
+        raise ValueError("need 1 <= calls_per_task <= max_concurrency")
+    return df.coalesce(max_concurrency // calls_per_task) if max_concurrency else df
+
+
+def in_parallel(call: Callable[[list], list], chunks: list[list], calls_per_task: int) -> list[list]:
+    """``call`` of every chunk, in order, at most ``calls_per_task`` at once."""
+    if calls_per_task == 1 or len(chunks) < 2:
+        return [call(c) for c in chunks]
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(calls_per_task) as pool:
+        return list(pool.map(call, chunks))
+
+
 def embed(df: DataFrame, text_col: str, out_col: str = "embedding", *,
           embedder: Embedder | Callable[[], Embedder] | None = None, dim: int = 64,
           batch_size: int = BATCH_SIZE, retries: int = RETRY_LIMIT,
           max_concurrency: int | None = None, factory: bool = False,
-          retry_on: tuple[type[BaseException], ...] = RETRYABLE) -> DataFrame:
+          retry_on: tuple[type[BaseException], ...] = RETRYABLE, calls_per_task: int = 1) -> DataFrame:
     """Embed ``text_col`` into ``out_col`` (``array<float>``), keeping every row.
 
     ``embedder=None`` uses the native hashing expression. Otherwise the embedder
@@ -117,20 +133,22 @@ def embed(df: DataFrame, text_col: str, out_col: str = "embedding", *,
         return hash_embed(df, text_col, out_col, dim)
     out_schema = T.StructType(df.schema.fields + [
         T.StructField(out_col, T.ArrayType(T.FloatType()), True)])
-    src = df.repartition(max_concurrency) if max_concurrency else df
+    src = within_budget(df, max_concurrency, calls_per_task)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = embedder() if factory else embedder
+
+        def call(at: list[int]) -> list:
+            return call_model(model, [texts[i] for i in at], attempts=retries, retry_on=retry_on) if at else []
+
         for pdf in batches:
             texts = pdf[text_col].tolist()
             vecs: list = [None] * len(texts)
-            for start in range(0, len(texts), batch_size):
-                chunk = texts[start:start + batch_size]
-                live = [i for i, t in enumerate(chunk) if t is not None]
-                if live:
-                    got = call_model(model, [chunk[i] for i in live], attempts=retries, retry_on=retry_on)
-                    for i, v in zip(live, got, strict=True):
-                        vecs[start + i] = None if v is None else np.asarray(v, dtype=np.float32)
+            live = [[i for i in range(start, min(start + batch_size, len(texts))) if texts[i] is not None]
+                    for start in range(0, len(texts), batch_size)]
+            for at, got in zip(live, in_parallel(call, live, calls_per_task), strict=True):
+                for i, v in zip(at, got, strict=True):
+                    vecs[i] = None if v is None else np.asarray(v, dtype=np.float32)
             yield pdf.assign(**{out_col: vecs})
 
     return src.mapInPandas(run, out_schema)

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions import prompts as P
 from ..functions import text as TX
+from .embed import in_parallel, within_budget
 
 #: Between the statements of a stand-in answer.
 ANSWER_SEPARATOR = ". "
@@ -45,29 +46,32 @@ def stand_in_answer(contexts_col: str = "contexts", question_col: str = "questio
 
 def generate(df: DataFrame, prompt_col: str = "prompt", *, generator: Generator | Callable,
              answer_col: str = "answer", error_col: str = "error", batch_size: int = 16,
-             factory: bool = False, max_concurrency: int | None = None) -> DataFrame:
-    """Answer every prompt; keeps all input columns."""
+             factory: bool = False, max_concurrency: int | None = None, calls_per_task: int = 1) -> DataFrame:
+    """Answer every prompt; keeps all input columns.
+
+    ``max_concurrency`` bounds the calls at once of the whole job (see :mod:`.embed`).
+    """
     schema = T.StructType(df.schema.fields + [T.StructField(answer_col, T.StringType(), True),
                                               T.StructField(error_col, T.StringType(), True)])
-    src = df.repartition(max_concurrency) if max_concurrency else df
+    src = within_budget(df, max_concurrency, calls_per_task)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = generator() if factory else generator
+
+        def call(chunk: list[str]) -> list[tuple[str, str | None]]:
+            try:
+                got = list(model(chunk))
+                if len(got) != len(chunk):
+                    raise ValueError(f"generator returned {len(got)} answers for {len(chunk)} prompts")
+                return [(a, None) for a in got]
+            except Exception as e:  # noqa: BLE001 - error as value, per batch
+                return [(P.ERROR_PREFIX + str(e), str(e))] * len(chunk)
+
         for pdf in batches:
             prompts = pdf[prompt_col].tolist()
-            answers: list = [None] * len(prompts)
-            errors: list = [None] * len(prompts)
-            for s in range(0, len(prompts), batch_size):
-                chunk = prompts[s:s + batch_size]
-                try:
-                    got = list(model(chunk))
-                    if len(got) != len(chunk):
-                        raise ValueError(f"generator returned {len(got)} answers for {len(chunk)} prompts")
-                    answers[s:s + len(chunk)] = got
-                except Exception as e:  # noqa: BLE001 - error as value, per batch
-                    for i in range(len(chunk)):
-                        answers[s + i] = P.ERROR_PREFIX + str(e)
-                        errors[s + i] = str(e)
+            chunks = [prompts[s:s + batch_size] for s in range(0, len(prompts), batch_size)]
+            replies = [r for chunk in in_parallel(call, chunks, calls_per_task) for r in chunk]
+            answers, errors = [a for a, _ in replies], [e for _, e in replies]
             yield pdf.assign(**{answer_col: answers, error_col: errors})
 
     return src.mapInPandas(run, schema)
