@@ -29,10 +29,13 @@ from ragloom.operators import context as CX
 from ragloom.operators import corpus as C
 from ragloom.operators import embed as E
 from ragloom.operators import generate as G
+from ragloom.operators import id_table as IT
 from ragloom.operators import judge as J
 from ragloom.operators import metrics as M
 from ragloom.operators import mmr as MMR
 from ragloom.operators import model_runs as MR
+from ragloom.operators import pruned as PR
+from ragloom.operators import reuse as RU
 from ragloom.operators import runs as R
 from ragloom.operators import standins as SI
 from ragloom.operators import topk as K
@@ -40,7 +43,9 @@ from ragloom.plans import answer as PA
 from ragloom.plans import evaluation as EV
 from ragloom.session import ensure_checkpoint_dir, ship_code, work_path
 from ragloom.sources import files as FS
+from ragloom.sources import splitting as SP
 from ragloom.sources import testdata as TD
+from ragloom.streaming import keyed as KS
 from ragloom.streaming import stream as ST
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -123,6 +128,16 @@ def q_insert_if_absent(spark, sf):
     return C.rows_to_insert(load, existing).select("id", "doc_id", "lang")
 
 
+def q_insert_bucketed(spark, sf):
+    """K03/K06 beyond the broadcast bound: the corpus' ids in a bucketed table that is joined without an exchange."""
+    load, existing = _docs_load(spark, sf)
+    table, corpus = IT.fresh_name(), work_path(spark, "bucketed-corpus")
+    IT.create(spark, table, existing, buckets=8)
+    IT.insert(load, corpus, table, columns=["id", "doc_id", "lang"])
+    IT.drop(spark, table)
+    return spark.read.parquet(corpus).select("id", "doc_id", "lang")
+
+
 def q_load_report(spark, sf):
     load, existing = _docs_load(spark, sf)
     return C.load_report(load, existing)
@@ -418,6 +433,40 @@ def q_stream_ingest(spark, sf):
     return spark.read.parquet(corpus_path).select("id", "doc_id", "lang")
 
 
+def q_stream_ingest_keyed(spark, sf):
+    """ST2: the documents as a stream with the seen ids in keyed state; the corpus before the stream is known."""
+    _, existing = _docs_load(spark, sf)
+    before, sink = work_path(spark, "keyed-before"), work_path(spark, "keyed-corpus")
+    existing.write.parquet(before)
+    src = f"{sf.rstrip('/')}/documents.parquet"
+    ST.run_to_end(KS.keyed_document_stream(
+        spark, src, spark.read.parquet(src).schema, sink, existing=before,
+        prepare=lambda b: b.select(C.content_id("text").alias("id"), F.col("doc_id").alias("load_seq"), "doc_id", "lang")))
+    return spark.read.parquet(sink).select("id", "doc_id", "lang")
+
+
+def q_topk_pruned(spark, sf):
+    """R05 from a cluster index that skips folders and runs by angle bounds, and stays exact."""
+    vc = TD.vector_corpus(spark, sf)
+    hits = PR.search(PR.build_index(vc), TD.vector_queries(vc), 5, exclude_col="self_id")
+    return hits.select("qid", "rk", "id", _r("score").alias("score"))
+
+
+def q_raw_corpus_array(spark, sf):
+    """K01 then S01: the Q/A pairs as one JSON array in one file, read by byte ranges."""
+    path = work_path(spark, "raw-array")
+    SP.write_json_array(TD.qa_pairs(spark, sf).select("input", "output", F.lit("case {[,]}").alias("casename")), path)
+    return FS.read_raw_corpus(spark, path, split=True)
+
+
+def q_answer_sheet_split(spark, sf):
+    """K07 then S04: a sheet of answers with quoted newlines, read by byte ranges."""
+    path = work_path(spark, "answer-sheet-split")
+    sheet = _records(spark, sf).select(F.col("question").alias("user_input"), F.col("answer").alias("response"), "reference")
+    FS.write_scores_csv(sheet.coalesce(1), path)
+    return FS.read_answer_sheet(spark, path, split=True)
+
+
 def q_raw_corpus_json(spark, sf):
     """K01 then S01: the Q/A pairs as a JSON corpus, written and read back."""
     path = work_path(spark, "raw-corpus")
@@ -465,6 +514,22 @@ def q_embed_distinct(spark, sf):
     return emb.select("conv_id", "turn", *_vec_summary(F.col("embedding")))
 
 
+def q_embed_cached(spark, sf):
+    """Vectors from a table that runs share; the second run finds all of them there."""
+    conv, path = TD.read_table(spark, sf, "conversations").select("conv_id", "turn", "text"), work_path(spark, "vectors")
+    for _ in range(2):
+        emb = RU.embed_cached(conv, "text", "embedding", path, embedder=E.HashEmbedder(DIM), name="hash")
+    return emb.select("conv_id", "turn", *_vec_summary(F.col("embedding")))
+
+
+def q_generate_resumable(spark, sf):
+    """Answers from a table keyed by the prompt, asked for in slices."""
+    _, q = _qa(spark, sf)
+    prompts = q.select("qid", P.baseline_prompt("question").alias("prompt"))
+    out = RU.generate_resumable(prompts, work_path(spark, "answers"), generator=SI.ShortPrompts(), name="short", batch_size=1)
+    return out.select("qid", "answer", "error")
+
+
 def q_generate_errors(spark, sf):
     """A generator through the batch stage; its errors are values."""
     _, q = _qa(spark, sf)
@@ -486,6 +551,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rename_eval_columns": q_rename_eval_columns,
     "contract_report": q_contract_report,
     "insert_if_absent": q_insert_if_absent,
+    "insert_bucketed": q_insert_bucketed,
     "load_report": q_load_report,
     "add_documents": q_add_documents,
     "hash_embed": q_hash_embed,
@@ -501,6 +567,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topk_no_score": q_topk_no_score,
     "batched_topk": q_batched_topk,
     "topk_tiles": q_topk_tiles,
+    "topk_pruned": q_topk_pruned,
     "topk_per_question_k": q_topk_per_question_k,
     "mmr": q_mmr,
     "contexts_joined": q_contexts_joined,
@@ -526,13 +593,18 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "model_compare": q_model_compare,
     "stream_topk": q_stream_topk,
     "stream_ingest": q_stream_ingest,
+    "stream_ingest_keyed": q_stream_ingest_keyed,
+    "raw_corpus_array": q_raw_corpus_array,
+    "answer_sheet_split": q_answer_sheet_split,
     "raw_corpus_json": q_raw_corpus_json,
     "embedded_corpus_json": q_embedded_corpus_json,
     "eval_set_json": q_eval_set_json,
     "answer_sheet_csv": q_answer_sheet_csv,
     "embed_model": q_embed_model,
     "embed_distinct": q_embed_distinct,
+    "embed_cached": q_embed_cached,
     "generate_errors": q_generate_errors,
+    "generate_resumable": q_generate_resumable,
     "judge_errors": q_judge_errors,
 }
 
@@ -734,6 +806,7 @@ def _sql() -> dict[str, str]:
                coalesce(sum(bad_elem), 0)::BIGINT as bad_element
         from per"""
     s["insert_if_absent"] = f"with {_docs_cte()} select id, doc_id, lang from ins"
+    s["insert_bucketed"] = s["insert_if_absent"]
     s["load_report"] = f"""with {_docs_cte()},
         per as (select id, count(*) as n from d group by id)
         select sum(n)::BIGINT as attempted, count(*)::BIGINT as distinct_ids,
@@ -769,7 +842,7 @@ def _sql() -> dict[str, str]:
     s["topk_no_id"] = f"with {_hits_cte(3)} select qid, rk, input, output, {_rd('score')} as score from hits"
     s["topk_no_score"] = f"with {_hits_cte(4)} select qid, rk, input, output from hits"
     s["batched_topk"] = f"with {_vhits_cte(5)} select qid, rk, id, {_rd('score')} as score from vh"
-    s["topk_tiles"] = s["batched_topk"]
+    s["topk_tiles"] = s["topk_pruned"] = s["batched_topk"]
     s["topk_per_question_k"] = f"""with {_QC},
         qk as (select id as qid, case when len({_stmts('input')}) > 1 then len({_stmts('input')}) end as k from qc),
         pr as (select q.id as qid, c.id, {_cos('q.v', 'c.v')} as score from qc q join qc c on c.id <> q.id),
@@ -833,24 +906,29 @@ def _sql() -> dict[str, str]:
         lab as (select id, doc_id, lang from d where doc_id in (select doc_id from labels)
                 qualify row_number() over (partition by id order by doc_id) = 1)
         select id, doc_id, lang from lab union all select id, doc_id, lang from ins"""
+    s["stream_ingest_keyed"] = f"with {_docs_cte()} select id, doc_id, lang from ins"
+    s["raw_corpus_array"] = f"with {_QA} select input, output from qa"
     s["raw_corpus_json"] = f"with {_QA} select input, output from qa"
     s["embedded_corpus_json"] = f"""select vec_id::VARCHAR as id, 'in' as input, 'out' as output,
         len(embedding)::INTEGER as dim, {_rd('list_sum(embedding::DOUBLE[])', 5)} as total from embeddings"""
     s["eval_set_json"] = f"with {_QA} select input as question, output as reference from qa"
     s["answer_sheet_csv"] = (f"with {_rec_cte()} select nullif(question, '') as question, "
                              f"nullif(answer, '') as answer, nullif(reference, '') as reference from rec")
+    s["answer_sheet_split"] = s["answer_sheet_csv"]
     summary = """list_sum(v) as n_tokens, len(list_filter(v, lambda x: x > 0))::INTEGER as n_buckets,
                list_sum(list_transform(v, lambda x, i: x * i)) as weighted"""
     s["embed_model"] = f"""with {_QA}, e as (select conv_id, turn, {_hvec('input')} as v from qa)
         select conv_id, turn, {summary} from e"""
     s["embed_distinct"] = f"""with e as (select conv_id, turn, case when text is not null then {_hvec('text')} end as v
                from conversations) select conv_id, turn, {summary} from e"""
+    s["embed_cached"] = s["embed_distinct"]
     long = f"length(prompt) > {SI.ShortPrompts.limit}"
     s["generate_errors"] = f"""with {_QC},
         p as (select id as qid, {_fill_sql(P.BASELINE_TEMPLATE, question='input')} as prompt from qc)
         select qid, case when {long} then {_lit(P.ERROR_PREFIX)} || 'prompt too long'
                     else left(prompt, 5) || '|' || right(prompt, 9) end as answer,
                case when {long} then 'prompt too long' end as error from p"""
+    s["generate_resumable"] = s["generate_errors"]
     many = f"len({_stmts('answer')}) > {SI.StrictJudge.limit}"
     s["judge_errors"] = (f"with {_metrics_cte()} select qid, case when {many} then 'too many statements' end as error, "
                          + ", ".join(f"case when not {many} then {_rd(m, 6)} end as {m}" for m in M.METRICS) + " from mt")
