@@ -25,29 +25,35 @@ outside 1..capacity raise ``ValueError``.
 
 from __future__ import annotations
 
-import json
+import gc
 import os
+import re
+import zlib
 from bisect import bisect_left, bisect_right, insort
-from itertools import combinations_with_replacement
+from collections import ChainMap
+from itertools import chain, combinations_with_replacement, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, read_documents
-from .op1_bpe import Vocabulary, vocabulary_path
+from .op1_bpe import Vocabulary, byte_alphabet, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
 UNITS = 128
 SHARES = (1.0, 0.9, 0.75, 0.5)
-CACHE_CHUNKS = 300_000
+#: Known chunks and words from which the memo starts anew, and the longest that it keeps.
+CACHE_CHUNKS = 800_000
 CACHE_CHARS = 64
+#: Bytes of text that are tokenized at once.
+GROUP_BYTES = 8 << 20
 ROWS_PER_SALT = 100_000
-SLICE_ROWS = 64
 
 
 # ---------------------------------------------------------------------------
@@ -58,30 +64,36 @@ SLICE_ROWS = 64
 MARKS = ".,;:!?#*$%&)"
 
 
-class _Memo:
-    """Bounded memo in two generations."""
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices ``values[start:start + size]`` one after the other, and where each ends."""
+    ends = np.cumsum(sizes)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+    return values[at], ends
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
 
-    def lacks(self, keys: set[str]) -> set[str]:
-        """Those of ``keys`` that are unknown; the others are in ``young`` afterwards."""
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
-        missing = {k for k in keys if k not in self.young}
-        known = missing & self.old.keys()
-        self.young.update((k, self.old[k]) for k in known)
-        return missing - known
+#: Words of letters whose lower case is one letter each and that no normalisation changes (ASCII and Latin-1).
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+
+
+#: The letter that stands for each byte in a byte-level vocabulary.
+BYTE_LETTERS = dict(enumerate(byte_alphabet()))
 
 
 class WordTokenizer:
-    """The tokenizers library behind bounded memos of blank-separated chunks and their words.
+    """The tokenizers library behind a bounded memo of blank-separated chunks and their words.
 
     White space separates pre-tokens and is dropped, so a text's ids are the
     ids of its chunks one after the other. A chunk is a word and the marks
     behind it; an ASCII word is looked up in lower case, as the tokenizer
     lowers it itself (chunks with ``<`` may hold special tokens and are left
     alone).
+
+    Words of Latin letters need none of the normalisation or splitting before
+    the merges and go to the library's model as they are, byte by byte.
+
+    A batch of texts is split and its chunks are numbered by Arrow, only the
+    distinct ones are looked up, and the ids are gathered by numpy from one
+    array that holds the ids of every known chunk.
     """
 
     def __init__(self, spec: str):
@@ -91,7 +103,26 @@ class WordTokenizer:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.chunks, self.words = _Memo(CACHE_CHUNKS), _Memo(CACHE_CHUNKS)
+        self.merge = self.tokenizer.model.tokenize
+        self._forget()
+
+    def _forget(self) -> None:
+        self.entries: dict[str, int] = {}
+        self.starts, self.sizes, self.known = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+        self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
+
+    def _append(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Store entries; returns the number of the first."""
+        first, known, used = self.known, self.known + len(sizes), self.used + len(ids)
+        if known > len(self.starts):
+            more = max(known - len(self.starts), len(self.starts))
+            self.starts, self.sizes = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.starts, self.sizes))
+        if used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(used - len(self.ids), len(self.ids)), np.uint32)])
+        self.starts[first:known] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[first:known], self.ids[self.used:used] = sizes, ids
+        self.known, self.used = known, used
+        return first
 
     @staticmethod
     def _parts(chunk: str) -> tuple[str, ...]:
@@ -106,60 +137,127 @@ class WordTokenizer:
             word = word.lower()
         return (word, marks) if marks else (word,)
 
+    def _learn(self, chunks: list[str], memo: dict[str, int]) -> None:
+        """Entries of unknown chunks and their parts, into ``memo``."""
+        known = self.entries if memo is self.entries else ChainMap(memo, self.entries)
+        parts = [self._parts(c) for c in chunks]
+        new = [p for p in set(chain.from_iterable(parts)) if p not in known]
+        if new:
+            plain = [p for p in new if PLAIN(p)]
+            new = plain + [p for p in new if not PLAIN(p)]
+            found = [[t.id for t in self.merge(p.lower().encode().decode("latin-1").translate(BYTE_LETTERS))] for p in plain]
+            found += [e.ids for e in self.encode_batch(new[len(plain):], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            first = self._append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+            memo.update(zip(new, range(first, first + len(new)), strict=True))
+        joined = [(c, ps) for c, ps in zip(chunks, parts, strict=True) if len(ps) > 1]
+        if joined:
+            flat = [p for _, ps in joined for p in ps]
+            of = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+            ids, _ = _gather(self.ids, self.starts[of], self.sizes[of])
+            sizes = np.add.reduceat(self.sizes[of], np.cumsum([0] + [len(ps) for _, ps in joined[:-1]]))
+            first = self._append(ids, sizes)
+            memo.update(zip((c for c, _ in joined), range(first, first + len(joined)), strict=True))
+        memo.update([(c, known[ps[0]]) for c, ps in zip(chunks, parts, strict=True) if len(ps) == 1 and ps[0] != c])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the bounds of each text (null: no ids)."""
+        collecting = gc.isenabled()
+        gc.disable()                                          # many small objects, no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.entries) > CACHE_CHUNKS:
+            self._forget()
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        entry = np.fromiter(map(self.entries.get, names, repeat(-1)), np.int64, len(names))
+        missing = [names[i] for i in np.flatnonzero(entry < 0)]
+        self._learn([c for c in missing if len(c) <= CACHE_CHARS], self.entries)
+        kept, own = (self.known, self.used), {}
+        self._learn([c for c in missing if len(c) > CACHE_CHARS], own)
+        if missing:
+            entry[entry < 0] = [own[c] if c in own else self.entries[c] for c in missing]
+        at = entry[coded.indices.to_numpy()]
+        ids, ends = _gather(self.ids, self.starts[at], self.sizes[at])
+        self.known, self.used = kept                          # long chunks are not remembered
+        chunks = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        return ids, np.concatenate([[0], ends])[chunks]
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        missing = self.chunks.lacks({c for chunks in split for c in chunks})
-        memo, own = self.chunks.young, {}
-        if missing:
-            parts = {c: self._parts(c) for c in missing}
-            new = list(self.words.lacks({p for ps in parts.values() for p in ps}))
-            words, long = self.words.young, {}
-            for w, e in zip(new, self.encode_batch(new, add_special_tokens=False), strict=True):
-                (words if len(w) <= CACHE_CHARS else long)[w] = np.array(e.ids, "<u4").tobytes()
-            for c, ps in parts.items():
-                (memo if len(c) <= CACHE_CHARS else own)[c] = b"".join(
-                    [long[p] if p in long else words[p] for p in ps])
-        if own:
-            return [b"".join([own[c] if c in own else memo[c] for c in chunks]) for chunks in split]
-        return [b"".join(map(memo.__getitem__, chunks)) for chunks in split]
+        ids, bounds = self.encode(pa.array(texts, pa.large_string()))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
+def _groups(batches):
+    """The rows of Arrow batches in tables whose texts (the last column) have about ``GROUP_BYTES`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+        start = 0
+        for i, n in enumerate(lengths):
+            size += int(n)
+            if size >= GROUP_BYTES:
+                held.append(batch.slice(start, i + 1 - start))
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size, start = [], 0, i + 1
+        if start < batch.num_rows:
+            held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def token_pieces(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", capacity: int = CAPACITY,
-                 end_id: int = END_ID) -> DataFrame:
-    """One row per piece: the input columns but the text, ``piece``, ``start``, ``length``, ``ids`` (binary)."""
-    outputs = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType())]
+                 end_id: int = END_ID, digest: bool = False) -> DataFrame:
+    """One row per piece: the input columns but the text, ``piece``, ``start``, ``length``, ``ids`` (binary).
+
+    With ``digest`` the ids stay in the task and ``ids_crc32`` takes their place.
+    """
+    outputs = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()),
+               ("ids_crc32", T.LongType()) if digest else ("ids", T.BinaryType())]
     taken = {n for n, _ in outputs} | {text_col.lower()}
     kept = [f for f in df.schema.fields if f.name.lower() not in taken]
     schema = T.StructType(kept + [T.StructField(n, t) for n, t in outputs])
-    src, spec, end = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text_col).alias("__text")), \
-        vocabulary.broadcast, np.array([end_id], "<u4").tobytes()
+    src, spec = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text_col).alias("__text")), vocabulary.broadcast
 
     def run(batches):
         if spec.value not in _TOKENIZERS:
             _TOKENIZERS.clear()
             _TOKENIZERS[spec.value] = WordTokenizer(spec.value)
-        tok, step = _TOKENIZERS[spec.value], 4 * capacity
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                row, piece, start, blobs = [], [], [], []
-                for i, ids in enumerate(tok.encode_all(part.column(part.num_columns - 1).to_pylist())):
-                    ids += end
-                    for k, lo in enumerate(range(0, len(ids), step)):
-                        row.append(i)
-                        piece.append(k)
-                        start.append(lo // 4)
-                        blobs.append(ids[lo:lo + step])
-                idx = pa.array(row, pa.int64())
-                cols = [part.column(c).take(idx) for c in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [*cols, pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                     pa.array([len(b) // 4 for b in blobs], pa.int64()), pa.array(blobs, pa.binary())],
-                    names=schema.names)
+        tok = _TOKENIZERS[spec.value]
+        for part in _groups(batches):
+            texts = part.column(part.num_columns - 1)
+            ids, bounds = tok.encode(pa.concat_arrays(texts.chunks).cast(pa.large_string()))
+            ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
+            bounds = bounds + np.arange(len(bounds))
+            sizes = np.diff(bounds)
+            pieces = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(sizes)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(capacity, sizes[row] - start)
+            data, first = ids.tobytes(), 4 * (bounds[row] + start)        # pieces follow one another
+            if digest:
+                view = memoryview(data)
+                last = pa.array([zlib.crc32(view[a:a + 4 * n]) for a, n in zip(first.tolist(), length.tolist(), strict=True)],
+                                pa.int64())
+            else:
+                offsets = np.append(first, len(data)).astype(np.int32)
+                last = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            out = pa.Table.from_arrays(
+                [*(part.column(c).take(pa.array(row)) for c in range(part.num_columns - 1)),
+                 pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), last],
+                names=schema.names)
+            yield from out.to_batches()
 
     return src.mapInArrow(run, schema)
 
@@ -392,8 +490,8 @@ def pack(pieces: DataFrame, keys: list[str], length_col: str = "length", capacit
 def pack_documents(docs: DataFrame, spark: SparkSession, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of ``docs``."""
     vocabulary = Vocabulary.load(spark, vocabulary_path(VOCABULARY))
-    pieces = token_pieces(docs.select("doc_id", "text"), vocabulary, capacity=capacity)
-    pieces = materialize(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    pieces = token_pieces(docs.select("doc_id", "text"), vocabulary, capacity=capacity, digest=True)
+    pieces = materialize(pieces, "pieces")
     return pack(pieces, ["doc_id", "piece", "ids_crc32"], capacity=capacity)
 
 
@@ -405,9 +503,3 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage (the last): the places of all pieces of all documents."""
     return pack_documents(docs, spark)
-
-
-def describe(plan: PackPlan, histogram: dict[int, int]) -> str:
-    """Sequences of a plan against the least possible number, as JSON."""
-    tokens = sum(k * v for k, v in histogram.items())
-    return json.dumps({"sequences": plan.sequences, "at_least": -(-tokens // plan.capacity), "runs": len(plan.runs)})

@@ -55,6 +55,24 @@ def test_chunks_give_the_librarys_ids():
         assert np.frombuffer(got, "<u4").tolist() == tok.tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_plain_words_give_the_librarys_ids():
+    """Words of Latin letters skip the library's splitting; so do none with other marks or letters."""
+    with open(vocabulary_path(P.VOCABULARY), encoding="utf-8") as fh:
+        tok = P.WordTokenizer(fh.read())
+    rnd = random.Random(9)
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xc0, 0x100), 0xaa, 0xb5, 0xba, 0x130, 0x131, 0x17f]]
+    texts = letters + ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 14))) for _ in range(3000)]
+    texts += ["".join(rnd.choice(letters[:52]) for _ in range(rnd.randint(60, 90))) for _ in range(50)]
+    for t, got in zip(texts, tok.encode_all(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tok.tokenizer.encode(t, add_special_tokens=False).ids, t
+    small, used = P.CACHE_CHUNKS, tok.used
+    try:
+        P.CACHE_CHUNKS = 10                                   # the memo starts anew
+        assert tok.encode_all(texts[:40]) == tok.encode_all(texts[:40]) and tok.used < used
+    finally:
+        P.CACHE_CHUNKS = small
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans(seed):
     rnd = random.Random(seed)
