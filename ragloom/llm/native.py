@@ -20,20 +20,35 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def running_totals(values: Column) -> Column:
-    """Sum of the elements before each element, in two levels so that long arrays stay cheap."""
+def greatest_of(values: Column) -> Column:
+    """Largest of non-negative elements, 0 without any."""
+    return F.coalesce(F.array_max(values), F.lit(0)).cast("long")
+
+
+def _running(values: Column, reduce: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """``reduce`` of the elements before each element, in two levels so that long arrays stay cheap."""
     def with_blocks(v):
         blocks = F.ceil(F.size(v) / F.lit(BLOCK)).cast("int")
         sums = F.transform(F.sequence(F.lit(0), blocks - 1),
-                           lambda b: total(F.slice(v, b * F.lit(BLOCK) + 1, F.lit(BLOCK))))
+                           lambda b: reduce(F.slice(v, b * F.lit(BLOCK) + 1, F.lit(BLOCK))))
         return let(sums, lambda s: let(
-            F.transform(s, lambda _, b: total(F.slice(s, F.lit(1), b))),
-            lambda p: F.transform(v, lambda _, i: F.get(p, (i / F.lit(BLOCK)).cast("int")) + total(
-                F.slice(v, (i / F.lit(BLOCK)).cast("int") * F.lit(BLOCK) + 1, i % F.lit(BLOCK))))))
+            F.transform(s, lambda _, b: reduce(F.slice(s, F.lit(1), b))),
+            lambda p: F.transform(v, lambda _, i: join(F.get(p, (i / F.lit(BLOCK)).cast("int")), reduce(
+                F.slice(v, (i / F.lit(BLOCK)).cast("int") * F.lit(BLOCK) + 1, i % F.lit(BLOCK)))))))
     return let(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<bigint>"))
                .otherwise(with_blocks(v)))
 
 
+def running_totals(values: Column) -> Column:
+    """Sum of the elements before each element."""
+    return _running(values, total, lambda a, b: a + b)
+
+
+def running_maxima(values: Column) -> Column:
+    """Largest of the (non-negative) elements before each element, 0 before the first."""
+    return _running(values, greatest_of, F.greatest)
+
+
 def match_starts(pieces: Column, hits: Column) -> Column:
     """Start (code points) of each match, from the text split at the matches and the matches themselves."""
     sizes = F.transform(hits, lambda h, i: (F.length(F.get(pieces, i)) + F.length(h)).cast("long"))

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read_documents, text_or_empty
-from .native import let, match_starts, total, two_sided, upper_tail
+from .native import let, match_starts, running_maxima, total, two_sided, upper_tail
 
 #: The base patterns.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -105,7 +105,7 @@ def encoding(run: Column) -> Column:
             .when(part.rlike("^[A-Z2-7]+$") & digit & upper, "base32")
             .when(part.rlike("^[0-9a-zA-Z]+$") & one_case, "base36")
             .when(kinds >= 2, "mixed"))
-    return F.when(digit & lower & upper & ~part.rlike("^[0-9a-fA-F]+$") & ~run.rlike("[-_].*[+/]|[+/].*[-_]"), "base64") \
+    return F.when(digit & lower & upper & ~part.rlike("^[0-9a-fA-F]+$") & ~(run.rlike("[-_]") & run.rlike("[+/]")), "base64") \
         .otherwise(F.when(run.rlike("[-_]"), F.concat(name, F.lit("-"))).otherwise(name))
 
 
@@ -116,37 +116,48 @@ def symbols(run: Column, enc: Column) -> Column:
 
 
 def random_p(run: Column, alphabet: Column) -> Column:
-    """Combined p-value of the battery for a run over an alphabet (see the module docstring)."""
-    def battery(x):
-        n, size = F.size(x).cast("double"), F.length(alphabet).cast("double")
-        # chi-squared: the sum of squared counts is the sum, over positions, of their symbol's count
-        same = total(F.transform(x, lambda c: F.size(F.filter(x, lambda d: d == c)).cast("long")))
+    """Combined p-value of the battery for a run over an alphabet (see the module docstring).
+
+    Every step is linear in the run: what all symbols share (their number, their
+    mean) is bound once and not computed again for each of them.
+    """
+    def battery(v):
+        x, n, size, mid, letters = v["x"], v["n"], v["size"], v["mid"], v["letters"]
+        # chi-squared, from the count of each symbol of the alphabet
+        same = total(F.transform(F.split(letters, ""), lambda c: let(
+            (F.length(v["run"]) - F.length(F.replace(v["run"], c, F.lit("")))).cast("long"), lambda k: k * k)))
         df = size - 1
         chi = same * size / n - n
         uniform = upper_tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - F.lit(2 / 9) / df))
                              / F.sqrt(F.lit(2 / 9) / df))
         # runs above and below the middle
         high = total(F.transform(x, lambda c: F.when(c * 2 >= size, 1).otherwise(0).cast("long"))).cast("double")
-        low = n - high
         runs = 1 + total(F.transform(x, lambda c, i: F.when(
             (i > 0) & ((c * 2 >= size) != (F.get(x, i - 1) * 2 >= size)), 1).otherwise(0).cast("long")))
-        mean = 1 + 2 * high * low / n
-        var = (mean - 1) * (mean - 2) / (n - 1)
-        run_test = F.when(var > 0, two_sided((runs - mean) / F.sqrt(var))).otherwise(F.lit(0.0))
+
+        def runs_test(h):
+            mean = 1 + 2 * h["high"] * (n - h["high"]) / n
+            var = (mean - 1) * (mean - 2) / (n - 1)
+            return F.when(var > 0, two_sided((h["runs"] - mean) / F.sqrt(var))).otherwise(F.lit(0.0))
+
         # serial correlation at lag one
-        mid = total(x) / n
         spread = F.aggregate(x, F.lit(0.0), lambda a, c: a + (c - mid) * (c - mid))
         lagged = F.aggregate(F.transform(x, lambda c, i: F.when(
             i > 0, (c - mid) * (F.get(x, i - 1) - mid)).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v)
-        serial = F.when(spread > 0, two_sided((lagged / spread + 1 / n) * F.sqrt(n))).otherwise(F.lit(0.0))
+        serial = let(spread, lambda d: F.when(d > 0, two_sided((lagged / d + 1 / n) * F.sqrt(n))).otherwise(F.lit(0.0)))
         # Fisher: -2 sum(ln p) is chi-squared with 6 degrees of freedom
-        half = -(F.log(F.greatest(uniform, F.lit(1e-300))) + F.log(F.greatest(run_test, F.lit(1e-300)))
+        half = -(F.log(F.greatest(uniform, F.lit(1e-300)))
+                 + F.log(F.greatest(let(F.struct(high.alias("high"), runs.alias("runs")), runs_test), F.lit(1e-300)))
                  + F.log(F.greatest(serial, F.lit(1e-300))))
         return let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
 
-    codes = F.transform(F.split(F.translate(run, "-_", "+/"), ""),
-                        lambda c: (F.instr(alphabet, c) - 1).cast("long"))
-    return let(F.filter(codes, lambda c: c >= 0), battery)
+    def bound(y):
+        codes = F.transform(F.split(y["run"], ""), lambda c: (F.instr(y["letters"], c) - 1).cast("long"))
+        return let(F.filter(codes, lambda c: c >= 0), lambda x: let(F.struct(
+            x.alias("x"), F.size(x).cast("double").alias("n"), F.length(y["letters"]).cast("double").alias("size"),
+            (total(x) / F.size(x).cast("double")).alias("mid"), y["run"].alias("run"), y["letters"].alias("letters")), battery))
+
+    return let(F.struct(F.translate(run, "-_", "+/").alias("run"), alphabet.alias("letters")), bound)
 
 
 def length_class(n: Column) -> Column:
@@ -250,8 +261,7 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span (overlapping ones as one) replaced by ``mark``."""
     def build(x):
         s = x["s"]
-        ends = F.transform(s, lambda _, i: F.aggregate(F.slice(s, 1, i), F.lit(0).cast("long"),
-                                                       lambda a, z: F.greatest(a, z["end"])))
+        ends = running_maxima(F.transform(s, lambda z: z["end"]))
         parts = F.zip_with(s, ends, lambda z, e: F.when(z["start"] >= e, F.concat(
             x["t"].substr((e + 1).cast("int"), (z["start"] - e).cast("int")), F.lit(mark))).otherwise(F.lit("")))
         last = F.array_max(F.transform(s, lambda z: z["end"]))

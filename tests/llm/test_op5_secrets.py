@@ -1,8 +1,10 @@
 """Secret scans against a brute-force scan with Python's regular expressions."""
 
 import hashlib
+import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -96,6 +98,90 @@ def test_redaction_and_defined_cases(spark):
     assert S.cuts(empty) == {} and S.decide(empty, {}).count() == 0
 
 
+def brute_p(run, alphabet):
+    """The battery, step by step."""
+    x = [alphabet.index(c) for c in run.translate(str.maketrans("-_", "+/")) if c in alphabet]
+    n, size = len(x), len(alphabet)
+
+    def tail(z):
+        return math.erfc(z / math.sqrt(2)) / 2
+
+    chi = sum(x.count(i) ** 2 for i in set(x)) * size / n - n
+    df = size - 1
+    uniform = tail(((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / 9 / df)) / math.sqrt(2 / 9 / df))
+    side = [c * 2 >= size for c in x]
+    high = sum(side)
+    runs = 1 + sum(a != b for a, b in zip(side, side[1:], strict=False))
+    mean = 1 + 2 * high * (n - high) / n
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    run_test = min(1.0, 2 * tail(abs(runs - mean) / math.sqrt(var))) if var > 0 else 0.0
+    mid = sum(x) / n
+    spread = sum((c - mid) ** 2 for c in x)
+    lagged = sum((a - mid) * (b - mid) for a, b in zip(x, x[1:], strict=False))
+    serial = min(1.0, 2 * tail(abs((lagged / spread + 1 / n) * math.sqrt(n)))) if spread > 0 else 0.0
+    half = -sum(math.log(max(p, 1e-300)) for p in (uniform, run_test, serial))
+    return math.exp(-half) * (1 + half + half * half / 2)
+
+
+def test_p_values_equal_the_brute_ones(spark):
+    rnd = random.Random(10)
+    runs = []
+    for name, letters in S.ALPHABETS.items():
+        for size in (20, 24, 33, 64, 300):
+            for pool in (letters, letters[:7], letters[::3]):
+                runs.append((name, "".join(rnd.choice(pool) for _ in range(size))))
+    df = spark.createDataFrame(runs, "name string, run string")
+    alphabet = F.lit(None).cast("string")
+    for name, letters in S.ALPHABETS.items():
+        alphabet = F.when(F.col("name") == name, F.lit(letters)).otherwise(alphabet)
+    for r in df.withColumn("p", S.random_p(F.col("run"), alphabet)).collect():
+        assert abs(r["p"] - brute_p(r["run"], S.ALPHABETS[r["name"]])) < 2e-5, r
+
+
+def brute_cut(p, share):
+    """The smallest cut, from the p-values themselves."""
+    bins = [0] * S.BINS
+    for x in p:
+        bins[min(int(x * S.BINS), S.BINS - 1)] += 1
+    null = 2 * sum(1 for x in p if x >= 0.5)
+    for b in range(1, S.BINS):
+        above = [x for x in p if x >= b / S.BINS]
+        if above and len(above) - null * (1 - b / S.BINS) <= share * len(above):
+            return b / S.BINS
+    return None
+
+
+def test_cuts_equal_the_brute_ones(spark):
+    rnd = random.Random(11)
+    keys = _keys(rnd, 300) + [(w * 9)[:40] for w in {"".join(rnd.choice("abcDEF123") for _ in range(7)) for _ in range(200)}]
+    df = spark.createDataFrame([(k,) for k in keys], "text string")
+    scanned = S.scan(df)
+    by = {}
+    for r in scanned.select("text", F.explode("runs").alias("r")).collect():
+        by.setdefault(r["r"]["stratum"], {})[r["text"]] = r["r"]["p"]
+    got = S.cuts(scanned)
+    large = {k: list(v.values()) for k, v in by.items() if sum(x >= 1 / S.BINS for x in v.values()) >= S.ENOUGH}
+    assert large
+    for stratum, p in large.items():
+        assert got.get(stratum) == brute_cut(p, S.FALSE_SHARE)
+
+
+def test_very_long_runs_are_linear(spark):
+    rnd = random.Random(12)
+    letters = S.ALPHABETS["base64"]
+    long = "".join(rnd.choices(letters, k=1_000_000))
+    df = spark.createDataFrame([(1, "img " + long + " end"), (2, long[:6000]), (3, "a" * 300_000), (4, "token=abcdef " * 20_000)],
+                               "doc_id long, text string")
+    began = time.time()
+    scanned = S.scan(df)
+    rows = {r["doc_id"]: r for r in S.decide(scanned, {"base64/5": 0.01}).select(
+        "doc_id", "runs", "spans", F.length(S.redact(F.col("text"), F.col("spans"))).alias("n")).collect()}
+    assert time.time() - began < 60
+    assert [(r["start"], r["end"]) for r in rows[1]["runs"]] == [(4, 1_000_004)] and rows[1]["runs"][0]["p"] > 0.01
+    assert len(rows[2]["runs"]) == 1 and rows[3]["runs"] == []
+    assert len(rows[4]["spans"]) == 20_000 and rows[4]["n"] == 20_000 * 9
+
+
 def _keys(rnd, n, size=40):
     return ["".join(rnd.choice(S.ALPHABETS["base64"][:62]) for _ in range(size)) for _ in range(n)]
 
