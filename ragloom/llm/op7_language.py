@@ -54,14 +54,23 @@ RATE = 0.1
 DECAY = 1e-5
 SLICE_ROWS = 64
 MEMO_WORDS = 300_000
+#: Hashes of training documents that are broadcast to find their texts (24 bytes and the language each).
+MAX_BROADCAST_PICKS = 500_000
 #: Pipeline: a document is rejected if no language has this share of its words.
 MIN_SCORE = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def _letters(run: str) -> list[str]:
+    """Runs of letters in a run of letters and other numbers (fractions, circled digits, Roman numerals)."""
+    return "".join(c if c.isalpha() else " " for c in run).split()
+
+
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, lower-cased; a run of more than ``PIECE`` letters in consecutive pieces."""
-    return [run[i:i + PIECE] for run in WORD.findall((text or "").lower()) for i in range(0, len(run), PIECE)]
+    runs = WORD.findall((text or "").lower())
+    return [run[i:i + PIECE] for found in runs for run in ([found] if found.isalpha() else _letters(found))
+            for i in range(0, len(run), PIECE)]
 
 
 class Features:
@@ -261,19 +270,30 @@ def training_rows(labelled: DataFrame, key: Column, text_col: str = "text", lang
                   docs_per_language: int = TRAIN_DOCS, words_per_doc: int = TRAIN_WORDS):
     """A bounded sample of ``(language, words)``: per language the documents with the smallest hash of ``key``."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()) \
-        .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
-                F.xxhash64(key).alias("h"))
-    pick = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))) \
-        .where(F.col("rn") <= docs_per_language).select("lang", "text", "h")
+        .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(key).alias("h"),
+                F.xxhash64(text_col).alias("t"))
+    # only hashes are ranked (a bounded number of each task); the texts picked stay in place until they are cut
+    pick = rows.select("lang", "h", "t").withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))) \
+        .where(F.col("rn") <= docs_per_language).select("lang", "h", "t").distinct()
+    if pick.count() <= MAX_BROADCAST_PICKS:
+        pick = F.broadcast(pick)
 
     def cut(batches):
         for batch in batches:
-            for lang, text, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out = []
+            for lang, text, h, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(text)
                 at = h % max(1, len(words) - words_per_doc + 1)
-                yield pa.RecordBatch.from_pydict({"lang": [lang], "words": [words[at:at + words_per_doc]]})
-
-    return [(r["lang"], r["words"]) for r in pick.mapInArrow(cut, "lang string, words array<string>").collect()]
+                out.append((lang, h, t, words[at:at + words_per_doc]))
+            yield pa.RecordBatch.from_pydict({
+                "lang": pa.array([r[0] for r in out], pa.string()), "h": pa.array([r[1] for r in out], pa.int64()),
+                "t": pa.array([r[2] for r in out], pa.int64()), "words": pa.array([r[3] for r in out], pa.list_(pa.string()))})
+
+    found = rows.join(pick, ["lang", "h", "t"], "left_semi").select("lang", "text", "h", "t") \
+        .mapInArrow(cut, "lang string, h long, t long, words array<string>")
+    # repeated rows count once
+    once = found.groupBy("lang", "h", "t").agg(F.any_value("words").alias("words")).orderBy("lang", "h", "t")
+    return [(r["lang"], r["words"]) for r in once.collect()]
 
 
 def identify(df: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:

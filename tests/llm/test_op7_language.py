@@ -77,6 +77,13 @@ def test_defined_cases(spark, model):
     assert out.columns == ["doc_id", "text", "lang"] and [r["doc_id"] for r in out.collect()] == [1]
 
 
+def test_numbers_are_no_letters(spark, model):
+    df = spark.createDataFrame([("½ ² Ⅷ ①",), ("x²y ½tsp",)], "text string")
+    got = [(r["lang_pred"], r["score"]) for r in L.identify(df, model).collect()]
+    assert got[0] == ("und", 0.0) and got[1][0] != "und"
+    assert L.words_of("x²y ½tsp Ⅷ") == ["x", "y", "tsp"]
+
+
 def test_every_letter_of_a_long_run_counts(spark, model):
     assert "".join(L.words_of("ab" * 2500)) == "ab" * 2500
     rows = spark.read.parquet(f"{SF_MID}/documents.parquet").where("n_chars > 600").select("lang", "text").collect()
