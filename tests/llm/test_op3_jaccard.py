@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from brute import jaccard_components, shingle_set
@@ -50,6 +51,25 @@ def test_groups_larger_than_a_small_bucket(spark):
     assert run(spark, docs) == jaccard_components(docs)
 
 
+def test_frequent_passages_make_no_pairs(spark):
+    """Sets that share a passage of frequent shingles don't meet, linked ones behind the passage are found."""
+    rnd = random.Random(21)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(f"u{i}x{j}" for j in range(45)) + " " + " ".join(passage) for i in range(150)]
+    texts += near_copies(rnd, texts[0].split(), 5, 2) + near_copies(rnd, texts[1].split(), 5, 2)
+    texts += [" ".join(passage + [f"v{i}{j}" for j in range(i % 12)]) for i in range(40)]       # hot tokens alone link these
+    docs = [(i, t) for i, t in enumerate(texts)]
+    assert run(spark, docs) == jaccard_components(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    levels = spark.sparkContext.broadcast(J._levels(J._scan(df)))
+    bitmaps = J._scan(df).where("n > 0").select(F.col("doc_id").alias("node"), "bits")
+    buckets = J._buckets(J._prefixes(df, levels), bitmaps)
+    in_hot = {r["node"] for r in buckets.where("hot_bucket").select("node").distinct().collect()}
+    assert in_hot and not in_hot & set(range(2, 150))
+    pairs = J._second_order(J._all_pairs(buckets.withColumn("label", F.col("node"))), df, levels)
+    assert pairs.count() < 5 * len(texts)
+
+
 def test_defined_cases(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (9, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("clash"))
@@ -98,6 +118,27 @@ def test_linked_sets_share_more_than_they_leave_out():
     assert checked > 500
 
 
+def test_batches_give_the_sets_of_single_texts():
+    rnd = random.Random(2)
+    texts = [None, "", " \t", "one", "a b c d", "A b  c D e", "x" * 3_000_000 + " y z w v u", "é漢 Ω ß É é"] * 3
+    texts += ["".join(rnd.choice("aB \n\x0bé") for _ in range(rnd.randrange(60))) for _ in range(500)]
+    rnd.shuffle(texts)
+    for got, text in zip(J.shingle_sets(pa.array(texts)), texts, strict=True):
+        assert got.tolist() == J.shingles(text).tolist() and len(got) == len(shingle_set(text))
+    sliced = pa.array(["skip", *texts]).slice(1)
+    assert [x.tolist() for x in J.shingle_sets(sliced)] == [x.tolist() for x in J.shingle_sets(pa.array(texts))]
+    assert J.shingle_sets(pa.array([], pa.string())) == []
+
+
+def test_bitmaps_never_differ_more_than_the_sets():
+    rnd = random.Random(3)
+    for _ in range(300):
+        a = {rnd.getrandbits(64) for _ in range(rnd.randint(1, 400))}
+        b = {x for x in a if rnd.random() < 0.9} | {rnd.getrandbits(64) for _ in range(rnd.randint(1, 30))}
+        x, y = (J.bitmap(np.array(sorted(s), np.uint64)) for s in (a, b))
+        assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(a ^ b)
+
+
 def test_shingles_are_the_brute_ones():
     for text in ("", None, "A b", "a b c d e", "a b c d e f a b c d e", "É x\x0by\x0cz\tw v u"):
         assert len(J.shingles(text)) == len(shingle_set(text))
