@@ -80,7 +80,7 @@ HELD = 1 << 22
 MAX_BROADCAST_NODES = 1_000_000
 SLICES = 64
 #: Bytes of text that are shingled at once, and bits of a set's bitmap.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 BITS = 256
 
 
@@ -233,7 +233,11 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _slices(held: list[np.ndarray]):
     """Counts of the gathered tokens by counter, as compressed slices (counts above 255 are clipped)."""
-    sketch = np.minimum(np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS), 255).astype(np.uint8)
+    at = np.concatenate(held)
+    sketch, part = np.empty(1 << SKETCH_BITS, np.uint8), 1 << (SKETCH_BITS - 4)
+    for i in range(0, len(sketch), part):                     # in parts, as the counts are wider than the sketch
+        own = at[(at >= i) & (at < i + part)] - i
+        sketch[i:i + part] = np.minimum(np.bincount(own, minlength=part), 255)
     parts = [(i, part) for i, part in enumerate(np.split(sketch, SLICES)) if part.any()]
     return pa.RecordBatch.from_arrays(
         [pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.binary()),
