@@ -49,10 +49,10 @@ END_ID = 1
 UNITS = 128
 SHARES = (1.0, 0.9, 0.75, 0.5)
 #: Known chunks and words from which the memo starts anew, and the longest that it keeps.
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 500_000
 CACHE_CHARS = 64
 #: Bytes of text that are tokenized at once.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 ROWS_PER_SALT = 100_000
 
 
