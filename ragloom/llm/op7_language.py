@@ -53,7 +53,8 @@ EPOCHS = 40
 RATE = 0.1
 DECAY = 1e-5
 SLICE_ROWS = 64
-MEMO_WORDS = 300_000
+#: Words whose scores a worker keeps (workers outlive their tasks, so later stages live beside this memory).
+MEMO_WORDS = 100_000
 #: Hashes of training documents that are broadcast to find their texts (24 bytes and the language each).
 MAX_BROADCAST_PICKS = 500_000
 #: Pipeline: a document is rejected if no language has this share of its words.
@@ -77,15 +78,7 @@ class Features:
     """Feature indices of a word: affixes, n-grams, lexicon; hashed into ``BUCKETS``."""
 
     def __init__(self, lexicon: dict[str, int]):
-        self.lexicon, self.memo = lexicon, {}
-
-    def index(self, name: str) -> int:
-        got = self.memo.get(name)
-        if got is None:
-            if len(self.memo) > 500_000:
-                self.memo.clear()
-            got = self.memo[name] = zlib.crc32(name.encode()) % BUCKETS
-        return got
+        self.lexicon = lexicon
 
     def of(self, word: str) -> list[int]:
         w = f"<{word}>"
@@ -94,7 +87,7 @@ class Features:
         known = self.lexicon.get(word)
         if known is not None:
             names += [f"l={known}", "w" + word]
-        return [self.index(n) for n in names]
+        return [zlib.crc32(n.encode()) % BUCKETS for n in names]
 
 
 def emissions(weights: np.ndarray, features: list[list[int]]) -> np.ndarray:
