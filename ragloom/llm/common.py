@@ -31,11 +31,24 @@ def read_documents(spark: SparkSession, sf_dir: str, table: str = "documents") -
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+#: Spark's setting that removes a query's shuffle files when the query is done.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and return the table that is read back."""
+    """Write ``df`` as Parquet under the shared folder and return the table that is read back.
+
+    Nothing reads the shuffles of the write again, so their files go with it
+    (else they stay until the driver happens to collect garbage).
+    """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
