@@ -79,8 +79,8 @@ HELD = 1 << 22
 #: Documents (8 MB) or classes (64 MB at most) that are broadcast to find their texts or prefixes; beyond, they are joined.
 MAX_BROADCAST_NODES = 1_000_000
 SLICES = 64
-#: Bytes of text that are shingled at once, and bits of a set's bitmap.
-GROUP_BYTES = 1 << 20
+#: Bytes of text that are shingled at once (about 50 bytes of memory each), and bits of a set's bitmap.
+GROUP_BYTES = 1 << 18
 BITS = 256
 
 
@@ -140,6 +140,19 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return _mix((sums[end] - sums[start]) * down[start]), np.searchsorted(start, offsets)
 
 
+def _long_text(data: np.ndarray) -> np.ndarray:
+    """Word hashes of one text of any length, taken in blocks that end at a blank."""
+    parts, at, n = [], 0, len(data)
+    while at < n:
+        to = min(at + GROUP_BYTES, n)
+        while to < n and not _BLANK[data[to]]:
+            ahead = np.flatnonzero(_BLANK[data[to:to + 4096]])
+            to = min(to + (int(ahead[0]) if len(ahead) else 4096), n)
+        parts.append(_word_hashes(data[at:to], np.array([0, to - at]))[0])
+        at = to
+    return np.concatenate(parts)
+
+
 def _few(words: np.ndarray) -> np.ndarray:
     """The whole sequence of fewer words than a shingle has."""
     if not len(words):
@@ -165,7 +178,11 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
         _, ends, data = part.buffers()
         offsets = np.frombuffer(ends, np.int64)[part.offset:part.offset + len(part) + 1]
         data = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-        words, first = _word_hashes(data, offsets - offsets[0])
+        if len(data) > GROUP_BYTES:                                    # a group of one text
+            words = _long_text(data)
+            first = np.array([0, len(words)])
+        else:
+            words, first = _word_hashes(data, offsets - offsets[0])
         n = len(words) - WORDS + 1
         if n > 0:
             h = words[:n] * _FACTORS[0]

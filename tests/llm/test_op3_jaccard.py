@@ -152,3 +152,13 @@ def test_stage_keeps_one_of_each_group(spark):
     out = J.jaccard_stage(spark, docs, "")
     assert out.columns == docs.columns
     assert sorted((r["doc_id"] or 0 for r in out.collect())) == [0, 1, 2]
+
+
+def test_long_texts_in_blocks_have_the_same_shingles(monkeypatch):
+    rnd = random.Random(11)
+    texts = [" ".join("w" * rnd.randint(1, 9) + str(rnd.randint(0, 99)) for _ in range(rnd.choice([3, 40, 900])))
+             for _ in range(30)] + ["x" * 9000, "x" * 9000 + " a b c d e " + "y" * 5000 + " ", " " * 3000 + "a b", "", None]
+    want = [J.shingles(t).tolist() for t in texts]
+    for size in (1, 64, 1000):
+        monkeypatch.setattr(J, "GROUP_BYTES", size)
+        assert [s.tolist() for s in J.shingle_sets(pa.array(texts, pa.large_string()))] == want
