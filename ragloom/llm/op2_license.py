@@ -11,8 +11,17 @@ one MinHash each they collide with probability 1 - (1 - J)^b; b is the least
 number that makes this ``COLLISION``. Each collision is verified exactly: the
 share of the template's shingles in the window must reach ``CONTAINMENT``.
 
-A window without any shingle of any template collides with none, so texts
-without one are passed by with one regular expression; that loses nothing.
+A window that contains k of a template's n shingles holds one of any n - k + 1
+of them. The longest such word pairs of each template are its *marks*: texts
+without a mark are passed by with one regular expression, and windows without
+a mark of their class are not hashed. That loses nothing.
+
+The templates are the standard notices of common licenses (``NOTICES``), the
+short lines in which they are named (``LINES``) and the SPDX tags of
+``SPDX_IDS``. The notices of the GPL, LGPL and AGPL differ by a word, so one
+template stands for them (``gnu-notice``) and the names of the last two are
+lines; likewise ``cc-notice``. A version that a notice doesn't state is not
+told apart. Other texts are a parameter (``scan(templates=...)``).
 
 Only built-in functions run, row by row, without a shuffle. Templates are
 constants of the plan (a bounded parameter).
@@ -37,14 +46,61 @@ from pyspark.sql import functions as F
 from .common import read_documents, text_or_empty
 from .native import let
 
-#: The license lines that the query looks for.
-TEMPLATES = {
+#: Short lines that name a license.
+LINES = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "mit": "Released under the MIT License.",
+    "agpl": "GNU Affero General Public License",
+    "boost-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "cc-by-nc": "Creative Commons Attribution-NonCommercial",
+    "cc-by-sa": "Creative Commons Attribution-ShareAlike",
+    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
+    "lgpl": "GNU Lesser General Public License",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Standard notices.
+NOTICES = {
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file
+        except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
+        distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+        either express or implied. See the License for the specific language governing permissions and limitations
+        under the License.""",
+    "bsd-notice": """Redistribution and use in source and binary forms, with or without modification, are permitted
+        provided that the following conditions are met: Redistributions of source code must retain the above copyright
+        notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the
+        above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution.""",
+    "bsd-3-clause": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse
+        or promote products derived from this software without specific prior written permission.""",
+    "cc-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc0-notice": """To the extent possible under law, the author has waived all copyright and related or neighboring
+        rights to this work.""",
+    "epl-notice": """This program and the accompanying materials are made available under the terms of the Eclipse Public
+        License""",
+    "gnu-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
+        your option) any later version.""",
+    "isc-notice": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee
+        is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "mit-notice": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+        associated documentation files (the "Software"), to deal in the Software without restriction, including without
+        limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+        Software, and to permit persons to whom the Software is furnished to do so, subject to the following
+        conditions: The above copyright notice and this permission notice shall be included in all copies or
+        substantial portions of the Software.""",
+    "mpl-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of
+        the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "zlib-notice": """This software is provided 'as-is', without any express or implied warranty. In no event will the
+        authors be held liable for any damages arising from the use of this software.""",
+}
+#: Beginnings of SPDX identifiers (up to the major version).
+SPDX_IDS = ("AGPL-3", "Apache-2", "BSD-2", "BSD-3", "BSL-1", "CC-BY", "CC0-1", "EPL-2", "GPL-2", "GPL-3", "ISC", "LGPL-2",
+            "LGPL-3", "MIT", "MPL-2", "Unlicense", "Zlib")
+TEMPLATES = LINES | NOTICES | {f"spdx-{i.lower()}": f"SPDX-License-Identifier: {i}" for i in SPDX_IDS}
 CONTAINMENT = 0.8
 COLLISION = 0.99999
 SEED = 42
@@ -78,6 +134,7 @@ class Template:
     size: int
     shingles: list[int]
     bands: list[int]
+    marks: list[tuple[str, str]]
 
 
 def bands_needed(shingles: int, size: int, containment: float = CONTAINMENT, collision: float = COLLISION) -> int:
@@ -87,6 +144,12 @@ def bands_needed(shingles: int, size: int, containment: float = CONTAINMENT, col
     return max(1, math.ceil(math.log(1 - collision) / math.log(1 - least)))
 
 
+def marks_of(words: list[str], containment: float = CONTAINMENT) -> list[tuple[str, str]]:
+    """Word pairs of which every window that contains the template has one: the longest ones, as they are rare."""
+    pairs = sorted(set(zip(words, words[1:], strict=False)), key=lambda p: (-min(map(len, p)), -len("".join(p)), p))
+    return pairs[:len(pairs) - math.ceil(containment * len(pairs) - 1e-9) + 1]
+
+
 def prepare(templates: dict[str, str], containment: float = CONTAINMENT) -> list[Template]:
     out = []
     for name, text in sorted(templates.items()):
@@ -99,7 +162,7 @@ def prepare(templates: dict[str, str], containment: float = CONTAINMENT) -> list
         shingles = sorted({shingle_hash(a, b) for a, b in zip(words, words[1:], strict=False)})
         bands = [min(band_hash(s, j) for s in shingles)
                  for j in range(bands_needed(len(shingles), size, containment))]
-        out.append(Template(name, words, size, shingles, bands))
+        out.append(Template(name, words, size, shingles, bands, marks_of(words, containment)))
     return out
 
 
@@ -119,6 +182,21 @@ def _span(window: Column, mins: Column, t: Template, start: Column, containment:
         F.lit(t.name).alias("name")))
 
 
+def _marks(group: list[Template]) -> Column:
+    return _longs(sorted({shingle_hash(a, b) for t in group for a, b in t.marks}))
+
+
+def _mark_pattern(templates: list[Template]) -> str:
+    """Pattern of a text that has a mark; marks are grouped by first letter and first word."""
+    tree: dict[str, dict[str, set[str]]] = {}
+    for a, b in (p for t in templates for p in t.marks):
+        tree.setdefault(a[0], {}).setdefault(a[1:], set()).add(b)
+    gap = r"[^\p{L}\p{N}]+"
+    letters = [first + "(?:" + "|".join(f"{rest}{gap}(?:{'|'.join(sorted(seconds))})" for rest, seconds in sorted(by.items())) + ")"
+               for first, by in sorted(tree.items())]
+    return r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(letters) + r")(?![\p{L}\p{N}])"
+
+
 def _window_spans(shingles: Column, start: Column, group: list[Template], containment: float) -> Column:
     """Spans of the templates of one length class in one window (``shingles`` of the window)."""
     most = max(len(t.bands) for t in group)
@@ -132,7 +210,7 @@ def _window_spans(shingles: Column, start: Column, group: list[Template], contai
             return F.filter(F.array(*[_span(x, m, t, start, containment) for t in group]), lambda s: s.isNotNull())
         return let(mins, verify)
 
-    return F.when(F.size(shingles) > 0, let(shingles, retrieve)).otherwise(F.array().cast(SPAN))
+    return let(shingles, lambda x: F.when(F.arrays_overlap(x, _marks(group)), retrieve(x)).otherwise(F.array().cast(SPAN)))
 
 
 def license_spans(text: Column, templates: list[Template], containment: float = CONTAINMENT) -> Column:
@@ -140,13 +218,12 @@ def license_spans(text: Column, templates: list[Template], containment: float =
     classes: dict[int, list[Template]] = {}
     for t in templates:
         classes.setdefault(t.size, []).append(t)
-    pairs = sorted({p for t in templates for p in zip(t.words, t.words[1:], strict=False)})
-    some = r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(rf"{a}[^\p{{L}}\p{{N}}]+{b}" for a, b in pairs) + r")(?![\p{L}\p{N}])"
 
     def in_class(h, size, group):
         starts = F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)), F.lit(size))
-        return F.flatten(F.transform(starts, lambda s: _window_spans(
+        spans = F.flatten(F.transform(starts, lambda s: _window_spans(
             F.slice(h, s + 1, F.lit(2 * size - 1)), s, group, containment)))
+        return F.when(F.arrays_overlap(h, _marks(group)), spans).otherwise(F.array().cast(SPAN))
 
     def scan(words):
         def by_class(h):
@@ -160,7 +237,7 @@ def license_spans(text: Column, templates: list[Template], containment: float =
     whole = let(let(words, scan), lambda spans: F.array_sort(F.filter(spans, lambda s: ~F.exists(
         spans, lambda o: (o["name"] == s["name"]) & (o["start"] <= s["start"]) & (o["end"] >= s["end"])
         & (o["end"] - o["start"] > s["end"] - s["start"])))))
-    return F.when(text.rlike(some), whole).otherwise(F.array()).cast(SPAN)
+    return F.when(text.rlike(_mark_pattern(templates)), whole).otherwise(F.array()).cast(SPAN)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str = "text",

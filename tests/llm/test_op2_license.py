@@ -78,3 +78,76 @@ def test_bands_reach_the_collision_probability():
         shared = math.ceil(0.8 * shingles)
         j = shared / (2 * size - 1 + shingles - shared)
         assert 1 - (1 - j) ** b >= L.COLLISION > 1 - (1 - j) ** (b - 1)
+
+
+MIT = """/*
+ * Copyright (c) 2019 Some One
+ *
+ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+ * copies of the Software, and to permit persons to whom the Software is
+ * furnished to do so, subject to the following conditions:
+ *
+ * The above copyright notice and this permission notice shall be included in
+ * all copies or substantial portions of the Software.
+ */"""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may
+   be used to endorse or promote products derived from this software without
+   specific prior written permission."""
+
+
+def test_standard_notices_and_tags(spark):
+    cases = [(MIT, {"mit-notice"}), (LGPL, {"gnu-notice", "lgpl"}), (BSD, {"bsd-notice", "bsd-3-clause"}),
+             ("# SPDX-License-Identifier: MIT\nimport os", {"spdx-mit"}),
+             ("// SPDX-License-Identifier: GPL-2.0-or-later", {"spdx-gpl-2"}),
+             ("<!-- SPDX-License-Identifier: CC-BY-SA-4.0 -->", {"spdx-cc-by"}),
+             ("long text " * 5000 + LGPL.upper() + " and more" * 5000, {"gnu-notice", "lgpl"}),
+             (L.NOTICES["apache-2.0-notice"], {"apache-2.0", "apache-2.0-notice"}),
+             ("The terms of the contract and the rights of the public are subject to the conditions of the notice.", set()),
+             ("Permission to use the copy is granted by the authors of this software for any purpose.", set()),
+             ("The license identifier of the car is hereby granted without restriction.", set())]
+    df = spark.createDataFrame([(t,) for t, _ in cases], "text string")
+    rows = got(df)
+    assert [{s[2] for s in r} for r in rows] == [names for _, names in cases]
+    templates = L.prepare(L.TEMPLATES)
+    assert rows == [brute(t, templates) for t, _ in cases]
+
+
+def test_marks_lose_no_window_at_the_threshold(spark):
+    """Notices with words deleted or replaced at random, on both sides of the containment, as brute force finds them."""
+    rnd = random.Random(9)
+    templates, texts = L.prepare(L.TEMPLATES), []
+    for name, text in L.NOTICES.items():
+        words = L.words_of(text)
+        for share in (0.02, 0.05, 0.08, 0.1, 0.15):
+            texts.append(" ".join(w if rnd.random() > share else rnd.choice(["", "other"]) for w in words))
+        # all marks of the template are broken: no window can contain it any more
+        marks = set(L.marks_of(words))
+        broken = [w for i, w in enumerate(words) if (words[i - 1], w) not in marks]
+        assert not any(s[2] == name and marks & set(zip(broken, broken[1:], strict=False)) == set()
+                       for s in brute(" ".join(broken), templates))
+        texts.append(" ".join(broken))
+    want = [brute(t, templates) for t in texts]
+    found = sum(map(bool, want))
+    assert 10 < found < len(want)
+    assert got(spark.createDataFrame([(t,) for t in texts], "text string")) == want
+
+
+def test_bands_of_all_templates_reach_the_collision_probability():
+    for t in L.prepare(L.TEMPLATES):
+        shared = math.ceil(L.CONTAINMENT * len(t.shingles) - 1e-9)
+        j = shared / (2 * t.size - 1 + len(t.shingles) - shared)
+        assert 1 - (1 - j) ** len(t.bands) >= L.COLLISION and len(t.bands) <= 100
