@@ -71,6 +71,8 @@ SPARE = 10
 PIVOT_ROUNDS = 2
 #: Pivots of a bucket in a round; with up to so many members a bucket mostly gives all its pairs.
 PIVOTS = 16
+#: Open buckets that a member carries to tell whether a pair meets in an earlier one.
+FIRSTS = 8
 SKETCH_BITS = 24
 #: Rarity level from which a token is hot.
 HOT = 1
@@ -489,25 +491,37 @@ def _pivot_pairs(buckets: DataFrame, seed: int) -> DataFrame:
 def _all_pairs(buckets: DataFrame) -> DataFrame:
     """All pairs with different labels: members outside a bucket's commonest label with all members.
 
-    Every member carries its tokens of open buckets, so that a pair is counted
-    where it meets and leaves the join only in its first common bucket.
+    Every member carries the first ``FIRSTS`` of its open buckets, cold ones
+    before hot ones. A pair with a common one before this bucket meets there and
+    is dropped here, so a pair leaves the join about once however many buckets
+    it shares. Each different pair is then counted over all its buckets.
     """
-    own = buckets.groupBy("node").agg(*[F.array_sort(F.collect_set(F.when(F.col("hot_bucket") == hot, F.col("token")))).alias(c)
-                                        for c, hot in (("cold_tokens", False), ("hot_tokens", True))])
+    own = buckets.groupBy("node").agg(
+        *[F.array_sort(F.collect_set(F.when(F.col("hot_bucket") == hot, F.col("token")))).alias(c)
+          for c, hot in (("cold", False), ("hot_tokens", True))],
+        *[F.any_value(c).alias(c) for c in ("n", "hot", "hot_kept")])
     own = materialize(own, "open-tokens")
-    buckets = buckets.join(own, "node")
+    firsts = own.select("node", F.slice("cold", 1, FIRSTS).alias("cold_firsts"), F.slice("hot_tokens", 1, FIRSTS).alias("hot_firsts"))
+    buckets = buckets.join(firsts, "node")
     sizes = buckets.groupBy("token", "label").agg(F.count("*").alias("k"))
     main = sizes.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
     outside = buckets.join(main, "token").where(F.col("label") != F.col("main"))
     once = (F.col("m.label") == F.col("o.main")) | (F.col("m.node") < F.col("o.node"))
-    (a, n, hot_a, kept_a, _), (b, m, hot_b, kept_b, _) = _member("m"), _member("o")
-    cold = F.array_intersect("m.cold_tokens", "o.cold_tokens")
-    hot = F.array_intersect("m.hot_tokens", "o.hot_tokens")
-    alone = _hot_alone(n, m, hot_a, hot_b)
-    here = F.col("m.token") == F.when(alone, F.array_min(F.concat(cold, hot))).otherwise(F.array_min(cold))
-    enough = F.size(cold) + F.size(hot) >= _needed_shared(n, m, alone, kept_a, kept_b)
-    pairs = buckets.alias("m").join(outside.alias("o"), "token").where(once & _fits("m", "o") & here & enough)
-    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    cold = F.array_intersect("m.cold_firsts", "o.cold_firsts")
+    hot = F.array_intersect("m.hot_firsts", "o.hot_firsts")
+    before = F.when(F.col("m.hot_bucket"), (F.size(cold) > 0) | F.coalesce(F.array_min(hot) < F.col("m.token"), F.lit(False))) \
+        .otherwise(F.coalesce(F.array_min(cold) < F.col("m.token"), F.lit(False)))
+    pairs = buckets.alias("m").join(outside.alias("o"), "token").where(once & _fits("m", "o") & ~before)
+    a, b = F.col("m.node"), F.col("o.node")
+    pairs = materialize(pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "bucket-pairs")
+    # the counted filter
+    of = [own.select(*[F.col(c).alias(f"{c}_{x}") for c in own.columns]).withColumnRenamed(f"node_{x}", x) for x in ("a", "b")]
+    n, m = F.col("n_a"), F.col("n_b")
+    alone = _hot_alone(n, m, F.col("hot_a"), F.col("hot_b"))
+    shared = F.size(F.array_intersect("cold_a", "cold_b")) \
+        + F.when(alone, F.size(F.array_intersect("hot_tokens_a", "hot_tokens_b"))).otherwise(0)
+    return pairs.join(of[0], "a").join(of[1], "b") \
+        .where(shared >= _needed_shared(n, m, alone, F.col("hot_kept_a"), F.col("hot_kept_b"))).select("a", "b")
 
 
 def _open_buckets(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
