@@ -236,7 +236,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def write_json_array(df: DataFrame, path: str) -> None:
-    """One JSON array in one file (written by one task, as a file of this form has to be)."""
+    """One JSON array in one file (written by one task, as a file of this form has to be).
+
+    The rows are computed by many tasks and checkpointed; the writing task only copies them, batch by batch.
+    """
+    from ..session import cut_lineage
+
     def lines(batches):
         first = True
         for batch in batches:
@@ -246,5 +251,5 @@ def write_json_array(df: DataFrame, path: str) -> None:
                 first = False
         yield pa.RecordBatch.from_pydict({"value": ["[]" if first else "]"]})
 
-    rows = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    rows = cut_lineage(df.select(F.to_json(F.struct(*df.columns)).alias("value")))
     rows.coalesce(1).mapInArrow(lines, "value string").write.option("lineSep", " ").text(path)

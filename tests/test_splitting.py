@@ -4,9 +4,12 @@ import csv
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragloom.sources import files as FS
 from ragloom.sources import splitting as SP
@@ -112,3 +115,19 @@ def test_array_writer(spark, tmp_dir):
     assert sorted(map(tuple, got)) == sorted((a, b or "") for a, b in rows)
     SP.write_json_array(df.limit(0), f"{tmp_dir}/none")
     assert FS.read_raw_corpus(spark, f"{tmp_dir}/none", split=True).count() == 0
+
+
+def test_array_rows_are_made_before_the_one_task_that_writes(spark, tmp_dir):
+    """The join behind the rows runs in tasks of its own: the writing task holds no part of it."""
+    import pyspark
+    rows = spark.range(0, 400, 1, 8).repartition(5, "id").select("id", F.lit("{").alias("t"))
+
+    def seen(batches):
+        for batch in batches:
+            yield batch.append_column("p", pa.array([pyspark.TaskContext.get().partitionId()] * batch.num_rows, pa.int32()))
+
+    SP.write_json_array(rows.mapInArrow(seen, "id long, t string, p int"), tmp_dir + "/one")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("p", T.IntegerType())])
+    got = SP.read_json_array(spark, tmp_dir + "/one", schema).collect()
+    tasks = {r["p"] for r in got}
+    assert sorted(r["id"] for r in got) == list(range(400)) and len(tasks) == 5
