@@ -10,8 +10,10 @@ difference comes from a paired bootstrap that is itself one aggregation: in
 replicate ``b`` a question counts ``w(question, b)`` times, with ``w`` drawn from
 a Poisson distribution of mean 1 by a hash (the large-sample form of drawing
 questions with replacement). All runs see the same weights, so the replicates
-are paired. Rows are pre-aggregated per task to runs x replicates; the interval
-is the percentile of at most ``replicates`` values per run and metric.
+are paired. A question's weights are drawn once for all runs and metrics; a task
+multiplies its questions' weights and differences as matrices and sends runs x
+metrics x replicates sums. The interval is the percentile of at most
+``replicates`` values per run and metric.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prompts as P
 from ..functions import text as TX
+from ..functions import vectors as V
 from ..session import cut_lineage
 from . import generate as G
 from . import metrics as M
@@ -104,13 +109,43 @@ def grid_scores(records: DataFrame, **kw) -> DataFrame:
 
 def weights(key: Column, replicates: int) -> Column:
     """``array<int>``: how often a question counts in each replicate."""
+    def steps(u):
+        out = F.when(u < POISSON_STEPS[0], 0)
+        for i, step in enumerate(POISSON_STEPS[1:], 1):
+            out = out.when(u < step, i)
+        return out.otherwise(len(POISSON_STEPS))
+
     def weight(b):
         u = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), b.cast("string"))), 1, 8), 16, 10).cast("long")
-        return sum(F.when(u >= step, 1).otherwise(0) for step in POISSON_STEPS)
+        return V.let(u, steps)           # one hash per weight
 
     return F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), weight)
 
 
+def _weighted_sums(batches):
+    """Per run and metric of a task's questions: ``sum(w * d)`` and ``sum(w * n)`` of every replicate."""
+    cells: dict[tuple[str, str], list[np.ndarray]] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        drawn, found = batch.column(0), batch.column(1)
+        w = drawn.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+        of = found.value_parent_indices().to_numpy()
+        runs, metrics, n, d = found.flatten().flatten()
+        n, d = (x.to_numpy(zero_copy_only=False).astype(np.float64) for x in (n, d))
+        names = pa.table([runs, metrics, pa.array(np.arange(len(of)))], names=["run", "metric", "at"])
+        for r in names.group_by(["run", "metric"]).aggregate([("at", "list")]).to_pylist():
+            at = np.array(r["at_list"], dtype=np.int64)
+            rows = w[of[at]]
+            sums = cells.setdefault((r["run"], r["metric"]), [np.zeros(w.shape[1]), np.zeros(w.shape[1])])
+            sums[0] += d[at] @ rows
+            sums[1] += n[at] @ rows
+    for (run, metric), (wd, wn) in cells.items():
+        yield pa.RecordBatch.from_pydict({
+            "run_id": pa.array([run] * len(wd), pa.string()), "metric": pa.array([metric] * len(wd), pa.string()),
+            "replicate": pa.array(np.arange(len(wd), dtype=np.int32)), "wd": pa.array(wd), "wn": pa.array(wn)})
+
+
 def paired_bootstrap(scores: DataFrame, base_run: str, metrics=M.METRICS, replicates: int = REPLICATES, key: str = "qid",
                      interval: tuple[float, float] = INTERVAL, decimals: int = 6) -> DataFrame:
     """``(run_id, metric, questions, mean_run, mean_base, delta, low, high)`` of every run against ``base_run``.
@@ -118,18 +153,23 @@ def paired_bootstrap(scores: DataFrame, base_run: str, metrics=M.METRICS, replic
     A question takes part in a metric where both runs have a value. ``low`` and
     ``high`` are null where no question does.
     """
+    scores = cut_lineage(scores.select("run_id", key, *metrics))        # read for the runs and for the base run
     long = scores.select("run_id", key, F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("s")) \
         .select("run_id", key, "s.metric", "s.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
     base = long.where(F.col("run_id") == base_run).select(key, "metric", F.col("v").alias("b"))
+    # rows of one key (once each where the key is unique per run) weigh alike: their sums are enough
     pairs = cut_lineage(long.where(F.col("run_id") != base_run).join(base, [key, "metric"])
-                        .select("run_id", "metric", key, "v", "b"))
-    means = pairs.groupBy("run_id", "metric").agg(F.count("*").alias("questions"), F.avg("v").alias("mean_run"),
-                                                  F.avg("b").alias("mean_base"))
-    drawn = pairs.select("run_id", "metric", (F.col("v") - F.col("b")).alias("d"),
-                         F.posexplode(weights(F.col(key), replicates)).alias("replicate", "w")).where("w > 0")
-    deltas = drawn.groupBy("run_id", "metric", "replicate").agg(
-        (F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("delta"))
+                        .groupBy(key, "run_id", "metric").agg(
+                            F.count("*").alias("n"), F.sum("v").alias("v"), F.sum("b").alias("b"),
+                            F.sum(F.col("v") - F.col("b")).alias("d")))
+    means = pairs.groupBy("run_id", "metric").agg(
+        F.sum("n").alias("questions"), (F.sum("v") / F.sum("n")).alias("mean_run"), (F.sum("b") / F.sum("n")).alias("mean_base"))
+    drawn = pairs.groupBy(key).agg(F.collect_list(F.struct("run_id", "metric", "n", "d")).alias("cells")) \
+        .select(weights(F.col(key), replicates).cast("array<tinyint>").alias("w"), "cells")
+    sums = drawn.mapInArrow(_weighted_sums, "run_id string, metric string, replicate int, wd double, wn double")
+    deltas = sums.groupBy("run_id", "metric", "replicate").agg(F.sum("wd").alias("wd"), F.sum("wn").alias("wn")) \
+        .where("wn > 0").select("run_id", "metric", (F.col("wd") / F.col("wn")).alias("delta"))
     ends = deltas.groupBy("run_id", "metric").agg(F.percentile("delta", list(interval)).alias("ends"))
 
     def rd(c):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as SE
-from conftest import SF_SMALL
+from conftest import SF_SMALL, plan_text
 from ragloom.functions import prompts as P
 from ragloom.operators import model_runs as MR
 from ragloom.operators import topk as K
@@ -75,3 +75,35 @@ def test_weights_are_poisson(spark):
     w = [x for r in spark.range(200).select(MR.weights(F.col("id"), 100).alias("w")).collect() for x in r["w"]]
     assert sum(w) / len(w) == pytest.approx(1.0, abs=0.03)
     assert sum(x == 0 for x in w) / len(w) == pytest.approx(0.3679, abs=0.02)
+
+
+def test_bootstrap_draws_each_question_once(spark):
+    """Against sums over the weights; repeated keys count per row, null keys and values not at all."""
+    rnd = random.Random(5)
+    rows = [(run, key, rnd.random() if i % 7 else None, rnd.random())
+            for run in ("a", "b", "c") for i, key in enumerate([*range(40), 3, 3, 9, None])]
+    df = spark.createDataFrame(rows, "run_id string, qid int, m double, x double")
+    w = {r["qid"]: r["w"] for r in df.select("qid", MR.weights(F.col("qid"), 30).alias("w")).distinct().collect()}
+    got = {(r["run_id"], r["metric"]): r for r in MR.paired_bootstrap(df, "a", metrics=("m", "x"), replicates=30,
+                                                                     interval=(0.0, 1.0)).collect()}
+    assert len(got) == 4
+    for (run, metric), r in got.items():
+        at = 2 + (metric == "x")
+        pairs = [(p[1], p[at], q[at]) for p in rows for q in rows if p[0] == run and q[0] == "a" and p[1] is not None
+                 and p[1] == q[1] and p[at] is not None and q[at] is not None]
+        deltas = [sum(w[k][b] * (v - u) for k, v, u in pairs) / sum(w[k][b] for k, _, _ in pairs) for b in range(30)]
+        assert r["questions"] == len(pairs) and r["mean_base"] == pytest.approx(sum(u for *_, u in pairs) / len(pairs), abs=1e-6)
+        assert (r["low"], r["high"]) == pytest.approx((min(deltas), max(deltas)), abs=1e-6)
+
+
+def test_bootstrap_makes_no_row_per_replicate(spark, monkeypatch):
+    """A thousand replicates multiply no question: only the tasks' sums leave the product of the matrices."""
+    sent = []
+    checkpoint = MR.cut_lineage
+    monkeypatch.setattr(MR, "cut_lineage", lambda df: sent.append(df.columns) or checkpoint(df))
+    df = spark.range(2000).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("run_id"), F.col("id").alias("qid"),
+                                  F.rand(1).alias("m"))
+    out = MR.paired_bootstrap(df, "a", metrics=("m",), replicates=50)
+    plan = plan_text(out)
+    assert "MapInArrow" in plan and "posexplode" not in plan
+    assert ["run_id", "qid", "m"] in sent and out.count() == 1
