@@ -332,3 +332,16 @@ def test_per_question_k_is_met_in_full(spark):
     assert {r["qid"]: r["count"] for r in got} == {1: 8, 2: 3, 3: 20}
     with pytest.raises(ValueError):
         K.search_per_question_k(corpus, q.withColumn("k", F.lit(0)))
+
+
+def test_tiles_stay_few_as_the_tables_grow():
+    """Small tiles hold for small tables only: rows are not sent once per 100 rows of the other side."""
+    small = K._tiles(2000, 2000, 64, K.CORPUS_BLOCK_ROWS, K.QUERY_BLOCK_ROWS, 64 << 10, 48)
+    assert small == (16, 16)
+    for n in (120_000, 720_000, 7_200_000):
+        cb, qb = K._tiles(n, n, 64, K.CORPUS_BLOCK_ROWS, K.QUERY_BLOCK_ROWS, 64 << 10, 48)
+        assert cb <= max(16, 1.3 * n / K.CORPUS_BLOCK_ROWS) and qb <= max(16, 1.3 * n / K.QUERY_BLOCK_ROWS)
+        assert n / cb * 64 * 8 <= K.TILE_BYTES and n / qb * 64 * 8 <= K.TILE_BYTES
+    # enough tiles for the cores, and the given bounds where they need few blocks
+    assert K._tiles(20_000, 130_000, 64, 50_000, 32_768, K.TILE_BYTES, 48) == (1, 40)
+    assert K._tiles(100, 100, 4, 50, 25, K.TILE_BYTES, 1) == (3, 5)
