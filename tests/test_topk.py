@@ -334,6 +334,59 @@ def test_per_question_k_is_met_in_full(spark):
         K.search_per_question_k(corpus, q.withColumn("k", F.lit(0)))
 
 
+def _plain_top(c, q, ids, excl, k):
+    out = []
+    for qi in range(len(q)):
+        best = []
+        for ri in range(len(c)):
+            if excl[qi] is not None and excl[qi] == ids[ri]:
+                continue
+            d = float(np.sqrt((c[ri] @ c[ri]) * (q[qi] @ q[qi])))
+            s = float(np.clip((c[ri] @ q[qi]) / d, -1, 1)) if d > 0 else None
+            best.append((s is None, -(s or 0.0), ids[ri], s))
+        out += [(qi, b[2], b[3]) for b in sorted(best, key=lambda b: b[:3])[:k]]
+    return out
+
+
+@pytest.mark.filterwarnings("ignore:overflow")
+@pytest.mark.parametrize("kind", ["counts", "floats", "same", "tiny", "huge", "zeros"])
+@pytest.mark.parametrize("k", [1, 4, 40])
+def test_float32_filter_keeps_the_exact_first_k(kind, k, monkeypatch):
+    """Score blocks in float32 lose no hit, whatever the sizes of vectors and blocks, also among ties and copies."""
+    import pyarrow as pa
+    monkeypatch.setattr(K, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(K, "BLOCK_QUESTIONS", 5)
+    monkeypatch.setattr(K, "PAIR_PIECE", 64)
+    rng = np.random.default_rng(7)
+    c, q = rng.poisson(0.4, (90, 8)).astype(float), rng.poisson(0.4, (13, 8)).astype(float)
+    if kind == "floats":
+        c, q = rng.normal(size=c.shape), rng.normal(size=q.shape)
+        c[40:60] = c[40] + 1e-9 * rng.normal(size=(20, 8))        # nearer to each other than float32 can tell
+        q[:4] = c[40]
+    elif kind == "same":
+        c[:], q[:] = 1.0, 2.0
+    elif kind in ("tiny", "huge"):
+        c[::3] *= 2.0 ** -400 if kind == "tiny" else 2.0 ** 400
+        q[::4] *= 2.0 ** -266 if kind == "tiny" else 2.0 ** 266
+    elif kind == "zeros":
+        c[::2], q[::3] = 0.0, 0.0
+    ids = [f"d{i:03d}" for i in rng.permutation(90)]
+    excl = [None if i % 3 == 0 else ids[i] for i in range(13)]
+    vecs = pa.array(c.tolist(), pa.list_(pa.float64()))
+    tbl = pa.table({"id": ids, "embedding": vecs})
+    for blocks in ([tbl], [tbl.slice(0, 7), tbl.slice(7, 50), tbl.slice(57)]):
+        out, _ = K._local_topk(blocks, "id", "embedding", ["id"], q, pa.array(range(13)), excl, 8, k)
+        score = [None if np.isnan(s) else s for s in out.column(K._SCORE).to_pylist()]
+        got = list(zip(out.column(K._QI).to_pylist(), out.column("id").to_pylist(), score, strict=True))
+        want = _plain_top(c, q, ids, excl, k)
+        if kind == "floats":          # sums of products may differ in the last bit
+            assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-12)
+            assert [g[0] for g in got] == [w[0] for w in want]
+        else:
+            assert [g[:2] for g in got] == [w[:2] for w in want]
+            assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-12)
+
+
 def test_tiles_stay_few_as_the_tables_grow():
     """Small tiles hold for small tables only: rows are not sent once per 100 rows of the other side."""
     small = K._tiles(2000, 2000, 64, K.CORPUS_BLOCK_ROWS, K.QUERY_BLOCK_ROWS, 64 << 10, 48)
