@@ -53,6 +53,8 @@ EPOCHS = 40
 RATE = 0.1
 DECAY = 1e-5
 SLICE_ROWS = 64
+#: Words whose features are hashed at once.
+WORDS_AT_ONCE = 8192
 #: Words whose scores a worker keeps (workers outlive their tasks, so later stages live beside this memory).
 MEMO_WORDS = 100_000
 #: Hashes of training documents that are broadcast to find their texts (24 bytes and the language each).
@@ -90,15 +92,76 @@ class Features:
         return [zlib.crc32(n.encode()) % BUCKETS for n in names]
 
 
-def emissions(weights: np.ndarray, features: list[list[int]]) -> np.ndarray:
+    def flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``of`` of many words at once: all indices in a row, and the number of each word's."""
+        data = np.frombuffer("".join([f"<{w}>" for w in words]).encode(), np.uint8)
+        # byte offsets of the characters, and characters (with < and >) of each word
+        at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        n = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        first = np.cumsum(n) - n
+        known = [(i, w) for i, w in enumerate(words) if w in self.lexicon]
+        sizes = 2 * n
+        sizes[[i for i, _ in known]] += 2
+        to = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.int64)
+
+        def put(where, lo, hi, state=_EMPTY):
+            out[where] = _crc32(data, at[lo], at[hi], state)
+
+        for width, before in ((2, 0), (3, n - 1)):
+            grams = n - width + 1
+            nth = np.arange(int(grams.sum())) - np.repeat(np.cumsum(grams) - grams, grams)
+            lo = np.repeat(first, grams) + nth
+            put(np.repeat(to + before, grams) + nth, lo, lo + width)
+        end, rest = first + n, to + 2 * n - 3
+        put(rest, first + 1, np.minimum(first + 4, end), _AFTER_P)
+        put(rest + 1, np.maximum(first, end - 4), end - 1, _AFTER_S)
+        put(rest + 2, np.maximum(first, end - 5), end - 1, _AFTER_S)
+        for i, w in known:
+            out[rest[i] + 3:rest[i] + 5] = [zlib.crc32(f"l={self.lexicon[w]}".encode()), zlib.crc32(f"w{w}".encode())]
+        return out % BUCKETS, sizes
+
+
+def _crc32_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC32 = _crc32_table()
+_EMPTY = np.uint32(0xFFFFFFFF)
+
+
+def _crc32(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, state: np.uint32) -> np.ndarray:
+    """``zlib.crc32`` of many short stretches of bytes that go on from the state behind a common start."""
+    crc = np.full(len(lo), state, np.uint32)
+    live, j = np.arange(len(lo)), 0
+    while len(live):
+        if j:
+            more = lo[live] + j < hi[live]
+            live = live if more.all() else live[more]
+        if len(live) == len(crc):
+            crc = _CRC32[(crc ^ data[lo + j]) & 0xFF] ^ (crc >> 8)
+        elif len(live):
+            own = crc[live]
+            crc[live] = _CRC32[(own ^ data[lo[live] + j]) & 0xFF] ^ (own >> 8)
+        j += 1
+    return ~crc
+
+
+_AFTER_P, _AFTER_S = (~np.uint32(zlib.crc32(c)) for c in (b"p", b"s"))
+
+
+def emissions(weights: np.ndarray, features: Features, words: list[str]) -> np.ndarray:
     """Sum of the weights of each word's features."""
-    sizes = np.fromiter(map(len, features), np.int64, len(features))
-    flat = np.fromiter(chain.from_iterable(features), np.int64, int(sizes.sum()))
+    flat, sizes = features.flat(words)
     return np.add.reduceat(weights[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
 
 
-def forward_backward(scores: np.ndarray, mask: np.ndarray, trans: np.ndarray, start: np.ndarray):
+def forward_backward(scores: np.ndarray, mask: np.ndarray, trans: np.ndarray, start: np.ndarray, sums: bool = True):
     """Posteriors ``(chains, steps, labels)``, summed transition posteriors and log-likelihood terms.
+    Without ``sums``, which only learning needs, the last two are left out.
 
     ``scores`` are emission scores, ``mask`` marks the words (a prefix of each chain).
     """
@@ -119,10 +182,11 @@ def forward_backward(scores: np.ndarray, mask: np.ndarray, trans: np.ndarray, st
         b = beta[:, t + 1] * e[:, t + 1] / norm[:, t + 1, None]
         live = mask[:, t + 1]
         beta[:, t] = np.where(live[:, None], b @ move.T, 1.0)
-        pairs += move * (alpha[live, t].T @ b[live])
+        if sums:
+            pairs += move * (alpha[live, t].T @ b[live])
     post = alpha * beta
     post /= post.sum(axis=2, keepdims=True)
-    log_z = (np.log(norm) + top[:, :, 0] * mask).sum()
+    log_z = (np.log(norm) + top[:, :, 0] * mask).sum() if sums else None
     return post * mask[:, :, None], pairs, log_z
 
 
@@ -213,7 +277,9 @@ class Labeller:
             first, need = len(rows), len(rows) + len(missing)
             while need > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[first:need] = emissions(self.model["weights"], [self.features.of(w) for w in missing])
+            for lo in range(0, len(missing), WORDS_AT_ONCE):
+                part = missing[lo:lo + WORDS_AT_ONCE]
+                self.table[first + lo:first + lo + len(part)] = emissions(self.model["weights"], self.features, part)
             rows.update(zip(missing, range(first, need), strict=True))
         return np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
 
@@ -242,7 +308,7 @@ class Labeller:
             mask = steps < lengths[own][:, None]
             at = np.where(mask, starts[own][:, None] + steps, 0)
             post, _, _ = forward_backward(self.table[ids[at]].astype(float), mask, self.model["trans"],
-                                          self.model["start"])
+                                          self.model["start"], sums=False)
             out[at[mask]] = post[mask]
         return np.split(out, np.cumsum(sizes)[:-1])
 

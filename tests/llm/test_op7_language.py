@@ -90,3 +90,13 @@ def test_every_letter_of_a_long_run_counts(spark, model):
     en, de = ("".join(next(L.words_of(r["text"]) for r in rows if r["lang"] == lang)) for lang in ("en", "de"))
     df = spark.createDataFrame([(en[:40] + (de * 10)[:2000],)], "text string")
     assert L.identify(df, model).first()["lang_pred"] == "de"
+
+
+def test_features_of_many_words_are_those_of_each():
+    """Hashed together, in the order that fixes the rounding of their sums."""
+    words = ["a", "ab", "abc", "abcd", "abcde", "é", "été", "漢", "漢字漢字漢字", "𐐀b", "x" * 40, "the", "ﬁß"]
+    feats = L.Features({"the": 1, "漢": 0})
+    flat, sizes = feats.flat(words)
+    want = [feats.of(w) for w in words]
+    assert sizes.tolist() == [len(w) for w in want]
+    assert flat.tolist() == [i for w in want for i in w]
