@@ -398,3 +398,13 @@ def test_tiles_stay_few_as_the_tables_grow():
     # enough tiles for the cores, and the given bounds where they need few blocks
     assert K._tiles(20_000, 130_000, 64, 50_000, 32_768, K.TILE_BYTES, 48) == (1, 40)
     assert K._tiles(100, 100, 4, 50, 25, K.TILE_BYTES, 1) == (3, 5)
+
+
+def test_tiles_are_not_gathered_into_few_tasks(spark):
+    """However few bytes they have: a tile's work is its pairs."""
+    rows = [(i, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(200)]
+    vc = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = vc.selectExpr("id as qid", "embedding as qvec")
+    schema = K._local_schema(vc, q, "qid", "id", [])
+    tiles = K._blocked_form(vc, q, schema, "qid", "qvec", "id", "embedding", None, [], 3, 50, 20, K.TILE_BYTES)
+    assert tiles.rdd.getNumPartitions() == 5 * 12
