@@ -77,3 +77,18 @@ def test_mmr_late_payload_same_picks(spark):
     a = MMR.mmr(vc, q, exclude_col="self_id", late_payload=False).select("qid", "pos", "id").collect()
     b = MMR.mmr(vc, q, exclude_col="self_id", late_payload=True).select("qid", "pos", "id").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_questions_share_calls_and_may_cross_batches(spark, capsys):
+    vc = TD.vector_corpus(spark, SF_SMALL)
+    m = MMR.mmr(vc, TD.vector_queries(vc), exclude_col="self_id")
+    want = sorted(m.collect())
+    m.explain()
+    assert "FlatMapGroupsInArrow" not in capsys.readouterr().out       # a call per question
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        assert sorted(MMR.mmr(vc, TD.vector_queries(vc), exclude_col="self_id").collect()) == want
+    finally:
+        spark.conf.set(key, old)
