@@ -140,12 +140,14 @@ class WordTokenizer:
     def _learn(self, chunks: list[str], memo: dict[str, int]) -> None:
         """Entries of unknown chunks and their parts, into ``memo``."""
         known = self.entries if memo is self.entries else ChainMap(memo, self.entries)
-        parts = [self._parts(c) for c in chunks]
+        parts = [(c.lower(),) if c.isascii() and c.isalpha() else self._parts(c) for c in chunks]
         new = [p for p in set(chain.from_iterable(parts)) if p not in known]
         if new:
             plain = [p for p in new if PLAIN(p)]
             new = plain + [p for p in new if not PLAIN(p)]
-            found = [[t.id for t in self.merge(p.lower().encode().decode("latin-1").translate(BYTE_LETTERS))] for p in plain]
+            # ASCII parts are in lower case and their letters stand for themselves
+            found = [[t.id for t in self.merge(p if p.isascii() else p.lower().encode().decode("latin-1").translate(BYTE_LETTERS))]
+                     for p in plain]
             found += [e.ids for e in self.encode_batch(new[len(plain):], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             first = self._append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
@@ -175,7 +177,7 @@ class WordTokenizer:
             self._forget()
         split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         entry = np.fromiter(map(self.entries.get, names, repeat(-1)), np.int64, len(names))
         missing = [names[i] for i in np.flatnonzero(entry < 0)]
         self._learn([c for c in missing if len(c) <= CACHE_CHARS], self.entries)

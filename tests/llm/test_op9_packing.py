@@ -128,3 +128,15 @@ def test_one_very_common_length_is_dealt_over_salts(spark, monkeypatch):
     out = P.pack(materialize(rows, "hot"), ["doc_id"]).collect()
     assert len(out) == 2000 and len({(r["sequence_id"], r["offset"]) for r in out}) == 2000
     check_rows(out, 4096)
+
+
+def test_plain_words_take_the_short_way(monkeypatch):
+    """Words of ASCII letters are not taken apart; the others, mixed with them, keep the library's ids."""
+    with open(vocabulary_path(P.VOCABULARY), encoding="utf-8") as f:
+        tok = P.WordTokenizer(f.read())
+    library, seen, parts = Tokenizer.from_file(vocabulary_path(P.VOCABULARY)), [], P.WordTokenizer._parts
+    monkeypatch.setattr(P.WordTokenizer, "_parts", staticmethod(lambda c: seen.append(c) or parts(c)))
+    texts = ["The THE the. Été a1 <pad> <s", "", None, "Ünder (x) KK İ ipso\nFaCTO facto!"]
+    got = [np.frombuffer(b, "<u4").tolist() for b in tok.encode_all(texts)]
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert seen and not {"The", "THE", "ipso", "FaCTO"} & set(seen)
