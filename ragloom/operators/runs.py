@@ -45,7 +45,9 @@ def sweep_prompts(questions: DataFrame, hits: DataFrame, ks=SWEEP_KS) -> DataFra
 
 
 def sweep_scores(questions: DataFrame, hits: DataFrame, ks=SWEEP_KS, **kw) -> DataFrame:
-    return M.score_table(sweep_records(questions, hits, ks), keys=("run_id", "qid"), **kw)
+    # every context adds its statement to the answer, so the runs of a question hardly share one: looking for
+    # equal answers would compute and shuffle all records twice
+    return M.score_table(sweep_records(questions, hits, ks), keys=("run_id", "qid"), **{"dedupe_answers": False, **kw})
 
 
 def run_summary(scores: DataFrame, decimals: int = 6) -> DataFrame:
