@@ -164,10 +164,13 @@ def forward_backward(scores: np.ndarray, mask: np.ndarray, trans: np.ndarray, st
     Without ``sums``, which only learning needs, the last two are left out.
 
     ``scores`` are emission scores, ``mask`` marks the words (a prefix of each chain).
+    Beside the scores two arrays of their size are held: the posteriors take the place of ``alpha``.
     """
     n, steps, k = scores.shape
     top = scores.max(axis=2, keepdims=True)
-    e = np.exp(scores - top)
+    e = scores - top
+    np.exp(e, out=e)
+    del scores
     move, first = np.exp(trans), np.exp(start)
     alpha, norm = np.empty_like(e), np.ones((n, steps))
     for t in range(steps):
@@ -176,18 +179,19 @@ def forward_backward(scores: np.ndarray, mask: np.ndarray, trans: np.ndarray, st
         live = mask[:, t]
         norm[:, t] = np.where(live, s, 1.0)
         alpha[:, t] = np.where(live[:, None], a / s[:, None], alpha[:, t - 1] if t else 1.0 / k)
-    beta = np.ones_like(e)
+    beta, post = np.ones((n, k)), alpha
     pairs = np.zeros((k, k))
     for t in range(steps - 2, -1, -1):
-        b = beta[:, t + 1] * e[:, t + 1] / norm[:, t + 1, None]
+        b = beta * e[:, t + 1] / norm[:, t + 1, None]
         live = mask[:, t + 1]
-        beta[:, t] = np.where(live[:, None], b @ move.T, 1.0)
+        beta = np.where(live[:, None], b @ move.T, 1.0)
         if sums:
             pairs += move * (alpha[live, t].T @ b[live])
-    post = alpha * beta
+        post[:, t] *= beta
     post /= post.sum(axis=2, keepdims=True)
+    post *= mask[:, :, None]
     log_z = (np.log(norm) + top[:, :, 0] * mask).sum() if sums else None
-    return post * mask[:, :, None], pairs, log_z
+    return post, pairs, log_z
 
 
 def train(samples: list[tuple[str, list[str]]]) -> dict | None:
@@ -219,33 +223,42 @@ def train(samples: list[tuple[str, list[str]]]) -> dict | None:
             chains.append(wa + wb)
             labels.append([la] * len(wa) + [lb] * len(wb))
     types = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(chains)))}
-    feats = Features(lexicon)
-    features = [feats.of(w) for w in types]
-    sizes = np.fromiter(map(len, features), np.int64, len(features))
-    flat = np.fromiter(chain.from_iterable(features), np.int64, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(features)), sizes)
-    used, compact = np.unique(flat, return_inverse=True)
+    feats, names = Features(lexicon), list(types)
+    # pieces of the types bound what hashing and summing hold beside the features
+    pieces = [slice(lo, lo + WORDS_AT_ONCE) for lo in range(0, len(names), WORDS_AT_ONCE)]
+    flat, sizes = zip(*(feats.flat(names[p]) for p in pieces), strict=True)
+    sizes = np.concatenate(sizes)
+    used = np.unique(np.concatenate([np.unique(f) for f in flat]))
+    compact = np.concatenate([np.searchsorted(used, f) for f in flat])
+    del flat
+    owner = np.repeat(np.arange(len(names), dtype=np.int32), sizes)
+    first = np.cumsum(sizes) - sizes
     steps = max(map(len, chains))
     ids, gold, mask = (np.zeros((len(chains), steps), t) for t in (np.int64, np.int64, bool))
     for i, (c, y) in enumerate(zip(chains, labels, strict=True)):
         ids[i, :len(c)], gold[i, :len(c)], mask[i, :len(c)] = [types[w] for w in c], y, True
-    hot = np.eye(k)[gold] * mask[:, :, None]
     gold_pairs = np.zeros((k, k))
     both = mask[:, 1:]
     np.add.at(gold_pairs, (gold[:, :-1][both], gold[:, 1:][both]), 1)
-    gold_start = hot[:, 0].sum(axis=0)
+    gold_start = np.bincount(gold[:, 0], minlength=k)
     params = {"w": np.zeros((len(used), k)), "trans": np.zeros((k, k)), "start": np.zeros(k)}
     moment = {n: (np.zeros_like(p), np.zeros_like(p)) for n, p in params.items()}
     scale = 1.0 / mask.sum()
-    word_ids = ids[mask]
+    word_ids, word_gold = ids[mask], gold[mask]
+    by_type = np.empty((len(names), k))
     for epoch in range(1, EPOCHS + 1):
-        by_type = np.add.reduceat(params["w"][compact], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
+        for p in pieces:
+            own = first[p]
+            features = compact[own[0]:own[-1] + sizes[p][-1]]
+            by_type[p] = np.add.reduceat(params["w"][features], own - own[0], axis=0)
         post, pairs, _ = forward_backward(by_type[ids], mask, params["trans"], params["start"])
-        off = (post - hot)[mask]
+        off = post[mask]
+        off[np.arange(len(off)), word_gold] -= 1
         per_type = np.stack([np.bincount(word_ids, off[:, j], len(types)) for j in range(k)], axis=1)
         per_feature = np.stack([np.bincount(compact, per_type[owner, j], len(used)) for j in range(k)], axis=1)
         grads = {"w": per_feature * scale + DECAY * params["w"], "trans": (pairs - gold_pairs) * scale,
                  "start": (post[:, 0].sum(axis=0) - gold_start) * scale}
+        del post, off
         for n, g in grads.items():
             m, v = moment[n]
             m[:] = 0.9 * m + 0.1 * g

@@ -1,6 +1,7 @@
 """Language ID: held-out accuracy, exact forward-backward, code switching, defined cases."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -100,3 +101,28 @@ def test_features_of_many_words_are_those_of_each():
     want = [feats.of(w) for w in words]
     assert sizes.tolist() == [len(w) for w in want]
     assert flat.tolist() == [i for w in want for i in w]
+
+
+def _peak(fn) -> int:
+    tracemalloc.start()
+    try:
+        fn()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_forward_backward_holds_two_arrays():
+    rng = np.random.default_rng(1)
+    scores, mask = rng.normal(size=(600, 128, 4)), np.ones((600, 128), bool)
+    assert _peak(lambda: L.forward_backward(scores, mask, np.zeros((4, 4)), np.zeros(4))) < 3.5 * scores.nbytes
+
+
+def test_training_holds_little_beside_its_features(monkeypatch):
+    """The driver learns: what it holds for a word type is a few numbers a feature, not lists of them."""
+    monkeypatch.setattr(L, "EPOCHS", 1)
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefghij"), 12)) for _ in range(30_000)]
+    rows = [("de" if i % 2 else "en", words[i * 100:i * 100 + 100]) for i in range(300)]
+    n_features = sum(len(f) for f in map(L.Features({}).of, words[:1000])) * len(words) // 1000
+    assert _peak(lambda: L.train(rows)) < 52 * n_features
